@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, topk, url_filter, warc
+from . import line_dedup, mixing, pieces, simhash, topk, toxicity, url_filter, warc
 
+#: A public BPE vocabulary; another file can be given by parameter.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -19,16 +21,32 @@ def op2_url_filter(spark, sf_dir):
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op4_simhash(spark, sf_dir):
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "grade", "is_toxic")
+
+
 def op6_mixing(spark, sf_dir):
     out = mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_pieces(spark, sf_dir, model: str = MODEL):
+    out = pieces.encode(table(spark, sf_dir, "documents"), model, 2)
+    return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "inclusion")
+
+
 def op9_warc(spark, sf_dir):
     out = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     own = F.col("payload").isNotNull()
@@ -42,7 +60,7 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_simhash, op6_mixing, op9_warc, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_line_dedup, op4_simhash, op5_toxicity, op6_mixing, op8_pieces, op9_warc, op10_topk)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, coalesce(instr(url, '://'), 0) AS found, coalesce(substr(url, instr(url, '://') + 3), '') AS rest FROM pages),
