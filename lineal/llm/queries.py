@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, pieces, simhash, topk, toxicity, url_filter, warc
+from . import line_dedup, mixing, pieces, simhash, spotsigs, topk, toxicity, url_filter, warc
 
 #: A public BPE vocabulary; another file can be given by parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,6 +42,10 @@ def op6_mixing(spark, sf_dir):
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_spotsigs(spark, sf_dir):
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark, sf_dir, model: str = MODEL):
     out = pieces.encode(table(spark, sf_dir, "documents"), model, 2)
     return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "inclusion")
@@ -60,7 +64,7 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_line_dedup, op4_simhash, op5_toxicity, op6_mixing, op8_pieces, op9_warc, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_line_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_spotsigs, op8_pieces, op9_warc, op10_topk)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, coalesce(instr(url, '://'), 0) AS found, coalesce(substr(url, instr(url, '://') + 3), '') AS rest FROM pages),
