@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, pieces, simhash, spotsigs, topk, toxicity, url_filter, warc
+from . import line_dedup, mixing, pieces, simhash, spotsigs, suffix_dedup, topk, toxicity, url_filter, warc
 
 #: A public BPE vocabulary; another file can be given by parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_url_filter(spark, sf_dir):
     out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -64,7 +69,7 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_line_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_spotsigs, op8_pieces, op9_warc, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_line_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_spotsigs, op8_pieces, op9_warc, op10_topk)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, coalesce(instr(url, '://'), 0) AS found, coalesce(substr(url, instr(url, '://') + 3), '') AS rest FROM pages),
