@@ -35,9 +35,13 @@ def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[fl
     return out
 
 
+def _mark(key: str, text: str, seed: int):
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+
+
 @dataclass
 class Mix:
-    """documents: key, source, size, start (place in its source's shuffled word stream), s; sources: s,
+    """documents: key, h (hash of key and text), source, size, start (place in its source's shuffled word stream), s; sources: s,
     source, source_size, target, blocks, quota; schedule: slot, s, rank, epoch, block; pieces: key, s,
     block, words."""
 
@@ -63,7 +67,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     The number of sources is checked, as their totals pass through the driver.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("key"), F.col(source).alias("source"), F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"))
+    base = docs.select(F.col(key).cast("long").alias("key"), F.col(source).alias("source"), F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long").alias("size"), _mark(key, text, seed).alias("h"))
     base = materialize(base, "sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("z"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
@@ -80,11 +84,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     small = F.broadcast(sources)  # at most MAX_SOURCES rows
 
     # places in the shuffled streams
-    d = base.join(small, base.source.eqNullSafe(sources.source)).select("key", base.source, "size", "h", "s", "blocks", "source_size", F.floor((F.shiftrightunsigned("h", 33) * F.col("buckets")) / F.lit(float(1 << 31))).alias("bucket"))
+    d = base.join(small, base.source.eqNullSafe(sources.source)).select("key", "h", base.source, "size", "s", "blocks", "source_size", F.floor((F.shiftrightunsigned("h", 33) * F.col("buckets")) / F.lit(float(1 << 31))).alias("bucket"))
     sums = d.groupBy("s", "bucket").agg(F.sum("size").alias("bz"))
     offset = sums.select("s", "bucket", (F.sum("bz").over(Window.partitionBy("s").orderBy("bucket")) - F.col("bz")).alias("off"))
     within = Window.partitionBy("s", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = d.withColumn("run", F.sum("size").over(within)).join(offset, ["s", "bucket"]).select("key", "source", "size", "s", "blocks", "source_size", (F.col("off") + F.col("run") - F.col("size")).alias("start"))
+    placed = d.withColumn("run", F.sum("size").over(within)).join(offset, ["s", "bucket"]).select("key", "h", "source", "size", "s", "blocks", "source_size", (F.col("off") + F.col("run") - F.col("size")).alias("start"))
 
     # the schedule
     m = max(1, (ends[-1] - 1).bit_length())
@@ -110,7 +114,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def taken(plan: Mix) -> DataFrame:
-    """(key, source, size, source_size, target, taken): how many of each document's words the mix takes,
+    """(key, h, source, size, source_size, target, taken): how many of each document's words the mix takes,
     repeats counted; never over cap times its size."""
     times = plan.schedule.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
     got = plan.pieces.join(times, ["s", "block"]).groupBy("s", "start", "key").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
@@ -118,4 +122,14 @@ def taken(plan: Mix) -> DataFrame:
     got = got.select(F.col("s").alias("gs"), F.col("start").alias("gstart"), "taken")
     joined = all_.join(got, (F.col("s") == F.col("gs")) & (F.col("at") == F.col("gstart")), "left")
     info = F.broadcast(plan.sources.select(F.col("s").alias("is"), "source_size", "target"))
-    return joined.join(info, F.col("s") == F.col("is")).select("key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return joined.join(info, F.col("s") == F.col("is")).select("key", "h", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them: words taken over size, to the nearest number (half up).
+    Rows without words go. Repeated rows share what is taken of them all."""
+    got = taken(mix(docs, key, text, source, seed=seed, **how)).where("size > 0")
+    times = got.groupBy(F.col("key").alias("_k"), F.col("h").alias("_h")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
+    marked = docs.withColumn("_m", _mark(key, text, seed))
+    joined = marked.join(times, F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_m") == F.col("_h")))
+    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
