@@ -1,4 +1,6 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import genealogy_plans, interval_plans, model_plans, sequence_plans
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "genealogy_plans", "interval_plans", "model_plans", "sequence_plans"]
