@@ -53,7 +53,10 @@ def pos_to_idx(asked: DataFrame, markers: DataFrame, keys: list[str], pos: str =
 def markers_in(ranges: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
     """keys and idx of the markers with lo <= position < hi: ranges are cut into bins, joined on bins."""
     w = bin_width(ranges)
-    bins = F.sequence(F.floor(F.col("lo") / w), F.floor(F.col("hi") / w))
+    ends = markers.agg(F.min("position").alias("a"), F.max("position").alias("b")).first()
+    low, high = (ends.a or 0.0, ends.b or 0.0)  # no bins beyond the markers, for endless ranges
+    at = lambda c: F.floor(F.greatest(F.least(F.col(c), F.lit(high)), F.lit(low)) / w)
+    bins = F.sequence(at("lo"), at("hi"))
     cut = ranges.where("lo < hi").select(*keys, "lo", "hi", F.explode(bins).alias("bin"))
     m = markers.select("idx", "position", F.floor(F.col("position") / w).alias("bin"))
     return cut.join(m, "bin").where("lo <= position and position < hi").select(*keys, "idx", "position")

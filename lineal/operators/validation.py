@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .graph import degrees, vertex_intervals, with_latitudes
 
 TREE_RULES = ["children lie below parents", "children have smaller numbers", "root has two children", "internal vertices have two children and a parent", "leaves have a parent alone", "one root"]
-GRAPH_RULES = ["leaves have a parent alone", "coalescences have two children", "recombinations have a child and two parents", "children lie below parents", "parental intervals are the children's union", "leaf sequences are the sample's", "one mutation per marker"]
+GRAPH_RULES = ["leaves have a parent alone", "coalescences have two children", "recombinations have a child and two parents", "children lie below parents", "parental intervals are unions of child intervals", "leaf sequences are those of the sample", "one mutation per marker"]
 
 
 def _counted(rules: dict[str, DataFrame]) -> DataFrame:

@@ -210,7 +210,7 @@ def recombination_mask(spark, sf_dir):
     return g.event_rules(ev, e).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "side_lo", "side_hi")
 
 
-@query(f"WITH {A}, c AS (SELECT src AS v, lo, hi, max(hi) OVER (PARTITION BY src ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ae), i AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top THEN 1 ELSE 0 END) OVER (PARTITION BY v ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM c), u AS (SELECT v, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY v, k UNION ALL SELECT v, 0, CAST('infinity' AS DOUBLE) FROM av WHERE kind = 'leaf') SELECT CAST(v AS BIGINT) AS v, lo, CASE WHEN hi < 'infinity' THEN hi END AS hi FROM u")
+@query(f"WITH {A}, c AS (SELECT src AS v, lo, hi, max(hi) OVER (PARTITION BY src ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT DISTINCT src, lo, hi FROM ae)), i AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top THEN 1 ELSE 0 END) OVER (PARTITION BY v ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM c), u AS (SELECT v, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY v, k UNION ALL SELECT v, 0, CAST('infinity' AS DOUBLE) FROM av WHERE kind = 'leaf') SELECT CAST(v AS BIGINT) AS v, lo, CASE WHEN hi < 'infinity' THEN hi END AS hi FROM u")
 def ancestral_intervals(spark, sf_dir):
     v, e, _, _ = fx.graph(spark, sf_dir)
     return g.vertex_intervals(e, v).select(F.col("v").cast("long").alias("v"), "lo", F.when(F.col("hi") < g.INF, F.col("hi")).alias("hi"))

@@ -13,7 +13,7 @@ SETS = IV + """, a AS (SELECT user_id, lo, hi FROM iv WHERE event_id % 2 = 0), b
 
 
 def _islands(source, owner, name):
-    return f"""{name}1 AS (SELECT *, max(hi) OVER (PARTITION BY {owner} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {source} WHERE lo < hi),
+    return f"""{name}1 AS (SELECT *, max(hi) OVER (PARTITION BY {owner} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT DISTINCT {owner}, lo, hi FROM {source}) WHERE lo < hi),
 {name}2 AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top THEN 1 ELSE 0 END) OVER (PARTITION BY {owner} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isle FROM {name}1),
 {name} AS (SELECT {owner}, min(lo) AS lo, max(hi) AS hi FROM {name}2 GROUP BY {owner}, isle)"""
 
