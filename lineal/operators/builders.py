@@ -1,0 +1,200 @@
+"""Builders of genealogies: sequential within one sample, parallel across samples as grouped maps.
+
+Each group is one sample (bounded by what one genealogy can hold); many samples spread over tasks. Draws
+come from a generator seeded by the seed and the group's key, so that reruns agree.
+"""
+
+from __future__ import annotations
+
+import math
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Columns of what builders return beside the group's keys: edges with their ends' latitudes.
+EDGES = "src int, dst int, lo double, hi double, src_lat double, dst_lat double, n_leaves int, n_markers int, n_mutations int, log_density double"
+
+
+class Genealogy:
+    """A genealogy under construction: latitudes, the tree at the current place, and edges with intervals."""
+
+    def __init__(self, flags: np.ndarray, rng: np.random.Generator, mu: float, ne: float):
+        self.flags, self.rng, self.mu, self.ne = flags.astype(bool), rng, mu, ne
+        self.n = len(flags)
+        self.lat: dict[int, float] = {v: 0.0 for v in range(1, self.n + 1)}
+        self.parent: dict[int, int] = {}
+        self.since: dict[int, float] = {}
+        self.done: list[tuple[int, int, float, float]] = []
+        self.log_density = 0.0
+
+    def build_tree(self, bias: float = 1.0) -> None:
+        """Coalesce lineages in pairs: the first uniformly, its partner by Gumbel-max over Hamming distances, after
+        exponential waiting times; a vertex has the AND of its children's sequences."""
+        live = list(range(1, self.n + 1))
+        seq = {v: self.flags[v - 1] for v in live}
+        now = 0.0
+        for v in range(self.n + 1, 2 * self.n):
+            k = len(live)
+            a = live.pop(int(self.rng.integers(k)))
+            self.log_density -= math.log(k)
+            d = (np.array([seq[x] for x in live]) ^ seq[a]).sum(axis=1).astype(float)
+            far = d * (1 + bias)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                potential = np.where(d == 0, 0.0, far * (math.log(self.mu) - np.log(far) + 1))
+            finite = np.isfinite(potential)
+            if not finite.any():
+                potential, finite = np.zeros(len(live)), np.ones(len(live), bool)
+            noisy = np.where(finite, potential + self.rng.gumbel(size=len(live)), -np.inf)
+            i = int(np.argmax(noisy))
+            top = potential[finite].max()
+            self.log_density += potential[i] - top - math.log(np.exp(potential[finite] - top).sum())
+            b = live.pop(i)
+            mean = 2 * self.ne / (k * (k - 1))
+            step = self.rng.exponential(mean)
+            self.log_density += -math.log(mean) - step / mean
+            now += step
+            self.lat[v], seq[v] = now, seq[a] & seq[b]
+            for x in (a, b):
+                self.parent[x], self.since[x] = v, 0.0
+            live.append(v)
+
+    def states(self, marker: int) -> dict[int, bool]:
+        """Whether each vertex of the current tree is derived at a marker: the AND over the leaves below."""
+        out = {v: bool(self.flags[v - 1, marker]) for v in range(1, self.n + 1)}
+        for v in sorted(self.parent, key=self.lat.__getitem__):
+            p = self.parent[v]
+            out[p] = out.get(p, True) and out[v]
+        return out
+
+    def mutation_edges(self, marker: int) -> list[int]:
+        """Lower ends of the edges of the current tree on which the marker's derived state arises."""
+        s = self.states(marker)
+        return sorted(v for v, p in self.parent.items() if s[v] and not s[p])
+
+    def _cut(self, v: int, at: float) -> None:
+        p = self.parent.pop(v)
+        lo = self.since.pop(v)
+        if lo < at:
+            self.done.append((p, v, lo, at))
+
+    def _join(self, v: int, p: int, at: float) -> None:
+        self.parent[v], self.since[v] = p, at
+
+    def recombine(self, d1: int, d2: int, at: float) -> None:
+        """Right of `at`, the lineage of d1 leaves its parent and joins the edge above d2."""
+        s1, s2 = self.parent[d1], self.parent[d2]
+        top = min(self.lat[s1], self.lat[s2])
+        width = top - self.lat[d1]
+        rlat = self.lat[d1] + width * self.rng.beta(2, 2)
+        low = max(rlat, self.lat[d2])
+        clat = self.lat[s2] - (self.lat[s2] - low) * self.rng.beta(2, 2)
+        rv = max(max(self.lat) + 1, 2 * self.n)
+        cv = rv + 1
+        self.lat[rv], self.lat[cv] = rlat, clat
+        # rv and cv stand on their edges over the whole interval; left of `at` they are unary
+        lo1, lo2 = self.since[d1], self.since[d2]
+        if lo1 < at:
+            self.done.append((s1, rv, lo1, at))
+        self.parent[d1] = rv
+        self.parent[d2] = cv
+        self._join(rv, cv, at)
+        self._join(cv, s2, lo2)
+        # what is left without children right of `at` goes
+        v = s1
+        while v in self.parent and v not in self.parent.values():
+            up = self.parent[v]
+            self._cut(v, at)
+            v = up
+        self.log_density -= math.log(width) + math.log(self.lat[s2] - low)
+
+    def _pick(self, live: list[int]) -> tuple[int, int]:
+        """An edge to recombine on and one to join, drawn by the room that both leave (short stretches of time would
+        soon be beyond the precision of latitudes)."""
+        low = np.array([self.lat[d] for d in live])
+        high = np.array([self.lat[self.parent[d]] for d in live])
+        room = np.minimum(np.minimum.outer(high, high) - low[:, None], high[None, :] - np.maximum.outer(low, low))
+        np.fill_diagonal(room, 0.0)
+        chance = np.maximum(room, 0.0).ravel() / np.maximum(room, 0.0).sum()
+        at = int(self.rng.choice(len(chance), p=chance))
+        self.log_density += math.log(chance[at])
+        return live[at // len(live)], live[at % len(live)]
+
+    def build_graph(self, positions: np.ndarray) -> int:
+        """Recombine, from left to right, until each marker arises on one edge at most; the number of mutations."""
+        total, before = 0, 0.0
+        for m in range(self.flags.shape[1]):
+            pos = float(positions[m])
+            live = self.mutation_edges(m)
+            while len(live) > 1:
+                d1, d2 = self._pick(live)
+                self.recombine(d1, d2, before + (pos - before) * float(self.rng.uniform(0.05, 0.95)))
+                live = self.mutation_edges(m)
+            total += len(live)
+            before = pos
+        return total
+
+    def edges(self) -> list[tuple[int, int, float, float]]:
+        return self.done + [(p, v, self.since[v], math.inf) for v, p in self.parent.items()]
+
+
+def _rows(pdf: pd.DataFrame, keys: list[str], order: str, flags: str, seed: int, mu: float, ne: float, graph: bool) -> pd.DataFrame:
+    pdf = pdf.sort_values(order)
+    names = [pdf[k].iloc[0] for k in keys]
+    rng = np.random.default_rng([seed, zlib.crc32(repr([str(x) for x in names]).encode())])
+    matrix = np.array(pdf[flags].tolist())
+    g = Genealogy(matrix, rng, mu, ne)
+    mutations = 0
+    if g.n > 1:
+        g.build_tree()
+        if graph:
+            mutations = g.build_graph(np.arange(1, matrix.shape[1] + 1))
+        else:
+            mutations = sum(len(g.mutation_edges(m)) for m in range(matrix.shape[1]))
+    varied = int((matrix.any(axis=0) & ~matrix.all(axis=0)).sum())
+    out = pd.DataFrame([(*e, g.lat[e[0]], g.lat[e[1]], g.n, varied, mutations, g.log_density) for e in g.edges()], columns=[c.split()[0] for c in EDGES.split(", ")])
+    for i, (k, x) in enumerate(zip(keys, names, strict=True)):
+        out.insert(i, k, x)
+    return out
+
+
+def _build(samples: DataFrame, keys: list[str], order: str, flags: str, seed: int, mu: float, ne: float, graph: bool) -> DataFrame:
+    schema = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    return samples.select(*keys, order, flags).groupBy(*keys).applyInPandas(lambda pdf: _rows(pdf, keys, order, flags, seed, mu, ne, graph), f"{schema}, {EDGES}")
+
+
+def build_trees(samples: DataFrame, keys: list[str], order: str, flags: str, seed: int = 0, mu: float = 1e-8, ne: float = 1e4) -> DataFrame:
+    """A coalescent tree of each group of samples (keys, order, flags array): its edges (EDGES)."""
+    return _build(samples, keys, order, flags, seed, mu, ne, False)
+
+
+def build_graphs(samples: DataFrame, keys: list[str], order: str, flags: str, seed: int = 0, mu: float = 1e-8, ne: float = 1e4) -> DataFrame:
+    """A consistent recombination graph of each group: each marker mutates at most once. Recombination vertices are
+    even, recoalescences odd, from 2n on; events are on the tree at the marker's place."""
+    return _build(samples, keys, order, flags, seed, mu, ne, True)
+
+
+def _summary(built: DataFrame, keys: list[str]) -> DataFrame:
+    ends = built.select(*keys, F.col("src").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(built.select(*keys, F.col("dst").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("up"))).groupBy(*keys, "v").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    roots = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("nv"), F.count_if(F.col("up") == 0).alias("roots"))
+    per = built.groupBy(*keys).agg(F.first("n_leaves").alias("n_leaves"), F.count_if(F.col("src_lat") < F.col("dst_lat")).alias("falling"), F.count_if(~(F.col("lo") < F.col("hi"))).alias("empty"), F.count_distinct(F.when((F.col("dst") >= 2 * F.col("n_leaves")) & (F.col("dst") % 2 == 0), F.col("dst"))).alias("n_events"), F.max("src_lat").alias("tmrca"), F.first("n_markers").alias("n_markers"), F.first("n_mutations").alias("n_mutations"), F.first("log_density").alias("log_density"))
+    return per.join(roots, keys)
+
+
+def summarise_trees(built: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, n_leaves, violations (edges that fall, vertices that are missing, extra roots), tmrca, n_mutations."""
+    keys = keys or built.columns[: len(built.columns) - len(EDGES.split(", "))]
+    s = _summary(built, keys)
+    wrong = F.col("falling") + F.abs(F.col("nv") - (2 * F.col("n_leaves") - 1)) + (F.col("roots") - 1)
+    return s.select(*keys, "n_leaves", wrong.alias("violations"), F.round("tmrca", 6).alias("tmrca"), "n_mutations")
+
+
+def summarise_graphs(built: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, n_leaves, n_events, violations (edges that fall or are empty, extra roots, markers that mutate more than
+    once), n_markers that vary, n_mutations, tmrca, log_density."""
+    keys = keys or built.columns[: len(built.columns) - len(EDGES.split(", "))]
+    s = _summary(built, keys)
+    wrong = F.col("falling") + F.col("empty") + (F.col("roots") - 1) + F.greatest(F.col("n_mutations") - F.col("n_markers"), F.lit(0))
+    return s.select(*keys, "n_leaves", "n_events", wrong.alias("violations"), "n_markers", "n_mutations", F.round("tmrca", 6).alias("tmrca"), F.round("log_density", 6).alias("log_density"))
