@@ -1,11 +1,9 @@
-"""Shared helpers: shared scratch tables, Arrow batches, connected groups."""
+"""Shared helpers: tables in the shared folder, connected groups."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,19 +40,6 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches):
-        for b in batches:
-            out = f(b)
-            if out is None:
-                continue
-            yield from [out] if isinstance(out, pa.RecordBatch) else out
-
-    return df.mapInArrow(run, schema)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected groups of an undirected edge list of longs: (node, component), component the smallest
     node reachable. Nodes without edges don't appear. Alternates large-star and small-star steps, each a

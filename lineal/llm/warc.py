@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -190,7 +189,3 @@ def archive_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url",
     write_warc(pages, path, key, url, html)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
     return read_warc(pages.sparkSession, path).select(page(F.col("record_id")).alias(key), "record_type", F.when(F.col("refers_to").isNotNull(), page(F.col("refers_to"))).alias("refers_to"), "digest", "length", "payload")
-
-
-def payload_digest(payload: bytes) -> str:
-    return hashlib.sha256(payload).hexdigest()
