@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from .sample import interval_masks, markers_in
+from .sample import interval_masks
 
 
 def vertex_sequences(closure_: DataFrame, haplotypes: DataFrame, markers: DataFrame) -> DataFrame:
@@ -70,6 +70,3 @@ def edgesmap(edges: DataFrame) -> DataFrame:
     off = per.withColumn("own", F.sum("count").over(Window.partitionBy("part").orderBy("src")) - F.col("count")).join(big, "part").select("src", (F.col("big") + F.col("own")).alias("off"))
     k = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
     return e.withColumn("k", k).join(off, "src").select("src", "dst", (F.col("off") + F.col("k")).cast("long").alias("number"))
-
-
-__all__ = ["breakpoint_bounds", "edge_differences", "edgesmap", "long_sequences", "markers_in", "mutation_edges", "next_inconsistent", "vertex_sequences"]

@@ -36,9 +36,8 @@ def pos_to_idx(asked: DataFrame, markers: DataFrame, keys: list[str], pos: str =
     A forward as-of join: positions are cut into units; within a unit markers and questions are merged in order, and
     what a unit cannot answer is the first marker of a later one (one row per unit).
     """
-    width = F.floor("p")
     m = markers.select(F.col("position").alias("p"), "idx").withColumn("unit", F.floor("p"))
-    ask = asked.select(*keys, F.col(pos).alias("p")).withColumn("unit", width)
+    ask = asked.select(*keys, F.col(pos).alias("p")).withColumn("unit", F.floor("p"))
     both = ask.withColumn("idx", F.lit(None).cast("int")).unionByName(m.select("p", "unit", "idx"), allowMissingColumns=True).withColumn("is_marker", F.col("idx").isNotNull())
     # at equal positions the question comes first, so that the marker there answers it
     order = Window.partitionBy("unit").orderBy("p", "is_marker").rowsBetween(0, Window.unboundedFollowing)
