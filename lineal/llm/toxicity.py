@@ -19,6 +19,9 @@ SAMPLE, TERMS = 12_000, 384
 PREFIXES = range(4, 9)
 #: A term is looked at if this many sampled documents hold it.
 LEAST_DOCS = 6
+#: Standard deviations by which a term's share of toxic rows must exceed that of others: among some hundred thousand
+#: terms, chance alone gives hardly one.
+LEAST_Z = 5.0
 #: Mentions from which a toxic document is of grade 2 and of grade 3 (below: grade 1).
 GRADE_EDGES = (3, 6)
 #: Words whose terms a worker remembers.
@@ -96,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     2 or 3 by how many mentions they hold of the terms most over-represented in toxic rows (GRADE_EDGES).
     Term statistics of the sample are counted on Spark; the driver gets the chosen terms and, per sampled
     row, the counts of those alone. Null texts are empty; null labels and labels without a document are
-    left out. No toxic row, or none that isn't: a model that finds nothing.
+    left out. No toxic row, none that isn't, or no telling term: a model that finds nothing.
     """
     known = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(toxic).alias("_y"))
     chosen = known.orderBy(F.xxhash64("_k"), "_k").limit(sample)
@@ -125,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     stats = rows.mapInArrow(held, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = (F.col("a") + F.col("b")) / (n0 + n1)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    best = stats.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("z", z).orderBy(F.desc("z"), "term").limit(terms).collect()
+    best = stats.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
+    if not best:
+        return Model()
     model = Model({r.term: i for i, r in enumerate(best)}, np.zeros(len(best) + 1))
     telling = {i for i, r in enumerate(best) if (r.a / n1) > 8 * (r.b + 0.5) / n0}
 

@@ -48,6 +48,6 @@ def test_held_out_accuracy_and_odd_rows(frame):
 def test_no_labels_find_nothing(frame):
     docs, _ = corpus(20)
     df = frame(docs, "doc_id long, text string")
-    for labels in ([], [(1, 1)], [(1, None), (None, 1)]):
+    for labels in ([], [(1, 1)], [(1, None), (None, 1)], [(1, 0), (2, 1)]):
         model = tx.fit(df, frame(labels, "doc_id long, toxic int"))
         assert tx.score(df, model).where("is_toxic").count() == 0
