@@ -84,7 +84,7 @@ def test_round_trip_and_odd_rows(spark, frame):
     got = Counter(r.doc_id for r in out)
     assert got[0] == got[1] == 1 and all(got[i] == (1 if t == "\x00\x7f" else 2) for i, t in enumerate(texts) if t) and got[None] == 2
     for r in out:
-        assert r.text == ("null key" if r.doc_id is None else texts[r.doc_id] or "") and 0 < r.inclusion <= 1
+        assert r.text == ("null key" if r.doc_id is None else texts[r.doc_id] or "") and 0 <= r.inclusion <= 1
     again = ps.encode(df.repartition(5), MODEL, 2)
     assert sorted(map(str, again.collect())) == sorted(map(str, ps.encode(df, MODEL, 2).collect()))
     assert ps.encode(df.limit(0), MODEL).count() == 0
