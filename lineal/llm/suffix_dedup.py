@@ -57,7 +57,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 def segments(b: bytes, length: int = LENGTH, gram: int = GRAM):
     """(h, start, n, twice) arrays: each string of `length` bytes is named by the least hash h of its grams; a
     segment is a run of n strings of equal h that begin at start, start + 1, ... Equal strings have equal h.
-    twice: the gram may come twice in one string, so that the segment may hold a string twice."""
+    twice: the gram comes again within or right after the strings of its first place, so that the segment may hold a string twice."""
     whole = np.frombuffer(b, np.uint8)
     total = len(whole) - length + 1
     width = length - gram + 1
@@ -72,7 +72,7 @@ def segments(b: bytes, length: int = LENGTH, gram: int = GRAM):
         greatest = ~_least(~np.concatenate([edge, least, edge]), width)
         chosen = np.nonzero(greatest == grams)[0]
         value = grams[chosen]
-        again = np.unique(value[1:][(value[1:] == value[:-1]) & (np.diff(chosen) < width)])
+        again = np.unique(value[1:][(value[1:] == value[:-1]) & (np.diff(chosen) <= width)])
         out.append((least[cut], cut + at, np.diff(np.append(cut, len(least))), np.isin(least[cut], again) if len(again) else np.zeros(len(cut), bool)))
     if not out:
         none = np.zeros(0, np.int64)

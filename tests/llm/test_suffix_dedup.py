@@ -103,3 +103,14 @@ def test_query(spark, tmp_path, frame):
     for r in queries.op1_suffix_dedup(spark, str(tmp_path)).collect():
         n, removed, spans, kept = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, len(spans), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("period", [76, 77, 78])
+def test_repeats_of_a_string_window_s_own_period(frame, period):
+    """A line that stands several times in a row in one document, and nowhere else."""
+    rng = random.Random(period)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(period - 1)) + "\n"
+    rows = [(1, line * 3), (2, "another text " + line[::-1] * 4)]
+    want = brute(rows, suffix_dedup.LENGTH)
+    assert all(x[1] > 0 for x in want.values())
+    assert got(suffix_dedup.repeated_strings(frame(rows, "doc_id long, text string"))) == want
