@@ -419,15 +419,23 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
     return [(s.found, s.next_best()) for s in samplers]
 
 
-_OUT = "key string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
+def inclusions(above: float) -> tuple[float, float]:
+    """Chance that a segmentation's perturbed value exceeds the threshold, from its log chance less the threshold;
+    and the logarithm of that chance, which is `above` itself where that is far below 0."""
+    chance = float(-np.expm1(-np.exp(min(50.0, above))))
+    return chance, float(np.log(chance)) if above > -30 else float(above)
+
+
+_OUT = "key string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, log_inclusion double"
 
 
 def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", seed: int = 11, alpha: float = ALPHA) -> DataFrame:
-    """(key, sample, ids, log_prob, perturbed, inclusion): at most k distinct segmentations of each text,
+    """(key, sample, ids, log_prob, perturbed, inclusion, log_inclusion): at most k distinct segmentations of each text,
     drawn without replacement with chances by their scores, sample 1 with the highest perturbed value.
 
     inclusion is the chance that a segmentation's perturbed value exceeds the (k+1)-th: dividing by it makes
-    weighted sums unbiased; 1 where all segmentations were drawn; of very long texts it is below what a double holds, and 0. Draws depend on seed, key and text alone:
+    weighted sums unbiased; 1 where all segmentations were drawn. Of long texts it is below what a double holds, and 0;
+    log_inclusion, its logarithm, holds it for texts of any length: weigh by exp(-log_inclusion), in logarithms. Draws depend on seed, key and text alone:
     repeated rows and reruns give equal results. A text with fewer than k segmentations gives all of them; a
     null or empty text gives one without ids. Texts of any length are held whole, one at a time. The model file is
     read on the driver and its pieces (at most some ten thousand) are broadcast. No shuffle.
@@ -444,12 +452,11 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
             drawn, rows = iter(drawn), []
             for name, _, t in some:
                 if not t:
-                    rows.append((name, 1, np.zeros(0, np.int32), 0.0, 0.0, 1.0))
+                    rows.append((name, 1, np.zeros(0, np.int32), 0.0, 0.0, 1.0, 0.0))
                     continue
                 paths, kappa = next(drawn)
                 for i, p in enumerate(paths, 1):
-                    inclusion = 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(50.0, p.total - kappa))))
-                    rows.append((name, i, next(ids), p.total, p.gumbel, inclusion))
+                    rows.append((name, i, next(ids), p.total, p.gumbel, *inclusions(p.total - kappa)))
             return _rows(rows)
 
         for b in batches:
@@ -468,10 +475,10 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
 
 
 def _rows(rows) -> pa.RecordBatch:
-    key, sample, ids, log_prob, perturbed, inclusion = zip(*rows, strict=True)
+    key, sample, ids, *scores = zip(*rows, strict=True)
     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
     flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(sample, pa.int32()), flat, pa.array(log_prob, pa.float64()), pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64())], [x.split()[0] for x in _OUT.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(sample, pa.int32()), flat, *(pa.array(x, pa.float64()) for x in scores)], [x.split()[0] for x in _OUT.split(", ")])
 
 
 def decode_ids(ids, surfaces: list[bytes | None]) -> str:

@@ -53,7 +53,7 @@ def op7_spotsigs(spark, sf_dir):
 
 def op8_pieces(spark, sf_dir, model: str = MODEL):
     out = pieces.encode(table(spark, sf_dir, "documents"), model, 2)
-    return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "inclusion")
+    return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "inclusion", "log_inclusion")
 
 
 def op9_warc(spark, sf_dir):

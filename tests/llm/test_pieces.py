@@ -88,3 +88,13 @@ def test_round_trip_and_odd_rows(spark, frame):
     again = ps.encode(df.repartition(5), MODEL, 2)
     assert sorted(map(str, again.collect())) == sorted(map(str, ps.encode(df, MODEL, 2).collect()))
     assert ps.encode(df.limit(0), MODEL).count() == 0
+
+
+def test_inclusion_of_long_texts_is_kept_as_logarithm(frame):
+    rows = [(1, "ab"), (2, "some words in here"), (3, "some words of a long text " * 2000), (4, None)]
+    out = {(r.doc_id, r.sample): r for r in ps.encode(frame(rows, "doc_id long, text string"), MODEL, 2).collect()}
+    assert all(np.isfinite(r.log_inclusion) and r.log_inclusion <= 0 and abs(np.exp(r.log_inclusion) - r.inclusion) < 1e-12 for r in out.values())
+    assert out[(3, 1)].inclusion == 0 and out[(3, 1)].log_inclusion < -745
+    # the threshold is the same for both samples of a text
+    assert abs((out[(3, 1)].log_inclusion - out[(3, 1)].log_prob) - (out[(3, 2)].log_inclusion - out[(3, 2)].log_prob)) < 1e-6
+    assert out[(4, 1)].log_inclusion == 0
