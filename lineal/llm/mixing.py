@@ -27,7 +27,7 @@ def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[fl
         total = math.fsum(weights[i] for i in open_)
         over = {i for i in open_ if left * weights[i] / total > cap * sizes[i]}
         for i in over or open_:
-            out[i] = cap * sizes[i] if over else left * weights[i] / total
+            out[i] = float(cap * sizes[i]) if over else left * weights[i] / total
         if not over:
             break
         left -= math.fsum(out[i] for i in over)
