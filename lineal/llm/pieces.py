@@ -3,29 +3,25 @@
 from __future__ import annotations
 
 import heapq
-import re
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points that one lattice spans: a text is cut before each run of spaces, and pieces don't cross cuts.
-SPAN = 16
 #: Power of the pieces' chances: the lower, the more alike are segmentations.
 ALPHA = 0.5
-#: Nodes of lattices that a worker remembers, of 192 bytes each.
-NODES = 1_900_000
-#: Characters of texts that are drawn together, about.
-TOGETHER = 150_000
+#: Choices of lattices that a worker remembers from text to text, of 20 bytes each, with some 6 for their nodes and names.
+CHOICES = 2_000_000
+#: Characters of texts that are drawn together, about; of new lattices that are made together, at least.
+TOGETHER, MADE = 150_000, 40_000
 #: Decisions of a sample whose alternatives are drawn at once; the rest waits as one region.
 BLOCK = 16
-#: Each code point's factor, so that products of piece probabilities stay in range.
-_SCALE = 1e2
-_units = re.compile(r" {0,8}[^ ]{1,8}[^ ]{0,7}| {1,16}").findall
+#: Code points below this have a table of the pairs that pieces hold.
+_LOW = 1024
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_B = 0x9E3779B97F4A7C15
 
 
 @dataclass
@@ -56,147 +52,267 @@ class Vocabulary:
             else:
                 own = piece.replace("▁", " ")
                 surfaces.append(own.encode())
-                if len(own) <= SPAN:
-                    ids[own], ranks[own] = i, min(float(n), max(0.0, -m.get_score(i)))
+                ids[own], ranks[own] = i, min(float(n), max(0.0, -m.get_score(i)))
         total = sum(1 / (r + 2) for r in ranks.values()) + 256 / (n + 2)
         return Vocabulary(ids, {p: (1 / (r + 2) / total) ** alpha for p, r in ranks.items()}, byte_ids, (1 / (n + 2) / total) ** alpha, surfaces)
 
 
-def units(text: str) -> list[str]:
-    """The text, after one space that decoding takes off, cut into lattices' strings."""
-    return _units(" " + text) if text else []
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class _Nodes(dict):
-    """Last node of each unit; -1 for one that isn't known."""
+def _width(code: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of code points."""
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
 
-    def __missing__(self, unit: str) -> int:
-        return -1
+
+class _Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as far as asked for."""
+
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def __call__(self, n: int):
+        if n > len(self.up):
+            for name, base in (("up", _B), ("down", pow(_B, -1, 2**64))):
+                one = np.full(max(n, 1 << 18), base, np.uint64)
+                one[0] = 1
+                setattr(self, name, np.cumprod(one))
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+class Prefixes:
+    """Hashes of any substrings of one string, from running sums."""
+
+    def __init__(self, codes: np.ndarray):
+        up, self.down = _powers(len(codes) + 1)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.sums[end] - self.sums[start]) * self.down[start]
+        return _mix(h + (end - start).astype(np.uint64) * _M2)
+
+
+class Table:
+    """Open-address table from hashes to running numbers, many at a time."""
+
+    def __init__(self):
+        self.keys, self.n, self.bits = np.zeros(1 << 12, np.uint64), 0, 13
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash; -1: it isn't there."""
+        mask = (1 << self.bits) - 1
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.slots[slot]
+        open_ = np.nonzero((out >= 0) & (self.keys[out] != h))[0]
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & mask
+            got = self.slots[slot]
+            out[open_] = got
+            more = (got >= 0) & (self.keys[got] != h[open_])
+            open_, slot = open_[more], slot[more]
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of hashes that are new, each once."""
+        number = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        while self.n + len(h) > len(self.keys):
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
+        self.keys[number] = h
+        self.n += len(h)
+        if 2 * self.n > len(self.slots):
+            while 2 * self.n > 1 << self.bits:
+                self.bits += 1
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            self._place(np.arange(self.n, dtype=np.int32))
+        else:
+            self._place(number)
+        return number
+
+    def _place(self, number: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        slot = (self.keys[number] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]  # of several, one stays
+            more = self.slots[slot] != number
+            number, slot = number[more], (slot[more] + 1) & mask
 
 
 class Lattices:
-    """Per node (end of a prefix of a unit): how likely the last piece has each length, from summed
-    forward chances. Units are added many at a time: substrings are looked up by rolling hashes in an open
-    table of the pieces."""
+    """Lattices of units, which are stretches of text that no piece of the vocabulary leaves.
+
+    A unit ends wherever the two code points around a place stand side by side in no piece, so the lattice of a
+    whole text is the chain of its units' lattices, however long its words are. A node is a place in a unit; its
+    choices are the pieces that begin there, with their chances given that the node is reached, from summed chances
+    of what follows. Choices of one node stand together: cum (running chance), log_p, next (node after the piece; -1:
+    the unit's end), number (the piece's; -1 - code point where only bytes cover it) and own (the node).
+    Many units are made at a time; equal units are made once, and found by 64-bit hashes of their
+    characters and length.
+    """
 
-    _B = np.uint64(0x9E3779B97F4A7C15)
+    _KINDS = (("cum", np.float32), ("log_p", np.float32), ("next", np.int32), ("number", np.int32), ("own", np.int32))
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.powers = np.array([pow(int(self._B), k, 2**64) for k in range(SPAN + 1)], np.uint64)
         names = list(vocabulary.ids)
-        self.chance = np.array([vocabulary.chances[x] for x in names] + [0.0])
-        self.number = np.array([vocabulary.ids[x] for x in names] + [0], np.int32)
-        codes, sizes = self._codes(names)
-        whole = self._hashes(codes)[np.arange(len(names)), sizes]
-        self.hashes = np.concatenate([whole ^ sizes.astype(np.uint64) * _GOLD, np.zeros(1, np.uint64)])
-        self.bits = max(16, (8 * len(names)).bit_length())
-        self.table = np.full(1 << self.bits, len(names), np.int32)
-        for i, h in enumerate(self.hashes[:-1].tolist()):
-            slot = h >> (64 - self.bits)
-            while self.table[slot] != len(names):
-                slot = (slot + 1) & ((1 << self.bits) - 1)
-            self.table[slot] = i
+        self.longest = max(map(len, names), default=1)
+        sizes = np.array([len(x) for x in names], np.int64)
+        codes, ends = _codes("".join(names)), np.cumsum(sizes)
+        whole = Prefixes(codes)
+        self.table, piece = Table(), []
+        for size in range(1, self.longest + 1):  # all beginnings of pieces
+            at = np.nonzero(sizes >= size)[0]
+            start = ends[at] - sizes[at]
+            h, first = np.unique(whole(start, start + size), return_index=True)
+            self.table.add(h)
+            own = np.full(len(h), -1, np.int64)
+            full = np.nonzero(sizes[at] == size)[0]
+            own[np.searchsorted(h, whole(start[full], ends[at][full]))] = at[full]
+            piece.append(own)
+        self.piece = np.concatenate(piece)
+        self.log_chance = np.log(np.array([vocabulary.chances[x] for x in names]))
+        self.ids = np.array([vocabulary.ids[x] for x in names], np.int32)
+        inner = np.ones(len(codes), bool)
+        inner[ends - 1] = False
+        a, b = codes[:-1][inner[:-1]].astype(np.int64), codes[1:][inner[:-1]].astype(np.int64)
+        self.low_pairs = np.zeros(_LOW * _LOW, bool)
+        low = (a < _LOW) & (b < _LOW)
+        self.low_pairs[a[low] * _LOW + b[low]] = True
+        self.high_pairs = np.unique(a[~low] << 32 | b[~low])
         self.clear()
 
-        self.p, self.cum = np.zeros((4096, SPAN), np.float32), np.zeros((4096, SPAN), np.float32)
-        self.ids = np.zeros((4096, SPAN), np.int32)
-
     def clear(self) -> None:
-        self.memo = _Nodes()
-        self.used = 0
-
-    @staticmethod
-    def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in strings], np.int64)
-        flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.zeros((len(strings), SPAN), np.uint64)
-        codes[np.arange(SPAN)[None, :] < sizes[:, None]] = flat
-        return codes, sizes
-
-    def _hashes(self, codes: np.ndarray) -> np.ndarray:
-        """Hash of each prefix of each row."""
-        out = np.zeros((len(codes), SPAN + 1), np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(SPAN):
-                out[:, i + 1] = (out[:, i] + codes[:, i] + np.uint64(1)) * self._B
+        """Forget all units."""
+        self.known, self.roots = Table(), np.zeros(1 << 12, np.int32)
+        self.starts, self.nodes, self.used = np.zeros(1 << 14, np.int32), 0, 0
+        for name, kind in self._KINDS:
+            setattr(self, name, np.zeros(1 << 16, kind))
+
+    def cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a unit begins at each code point."""
+        out = np.ones(len(codes), bool)
+        a, b = codes[:-1], codes[1:]
+        high = (a >= _LOW) | (b >= _LOW)
+        out[1:] = ~self.low_pairs[np.where(high, 0, a * np.uint32(_LOW) + b)]
+        at = np.nonzero(high)[0]
+        if len(at):
+            pair = a[at].astype(np.int64) << 32 | b[at].astype(np.int64)
+            found = np.searchsorted(self.high_pairs, pair)
+            known = self.high_pairs[np.minimum(found, len(self.high_pairs) - 1)] == pair if len(self.high_pairs) else np.zeros(len(at), bool)
+            out[at + 1] = ~known
         return out
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Number of the piece with each hash; one past the last: none."""
-        none, flat = len(self.hashes) - 1, h.ravel()
-        slot = (flat >> np.uint64(64 - self.bits)).astype(np.int64)
-        got = self.table[slot]
-        right = self.hashes[got] == flat
-        out = np.where(right, got, none)
-        open_ = np.nonzero((got < none) & ~right)[0]
-        slot = slot[open_]
-        while len(open_):
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-            got = self.table[slot]
-            right = self.hashes[got] == flat[open_]
-            out[open_[right]] = got[right]
-            more = (got < none) & ~right
-            open_, slot = open_[more], slot[more]
-        return out.reshape(h.shape)
-
-    def last_nodes(self, strings: list[str]) -> np.ndarray:
-        """Number of each unit's last node; node - k is that of the prefix shorter by k."""
-        at = np.fromiter(map(self.memo.__getitem__, strings), np.int64, len(strings))
-        gaps = np.nonzero(at < 0)[0].tolist()
-        if gaps:
-            lacking = [strings[i] for i in gaps]
-            fresh = sorted(dict.fromkeys(lacking), key=len)  # units of like length share a table
-            for i in range(0, len(fresh), 2048):
-                self._add(fresh[i : i + 2048])
-            at[gaps] = np.fromiter(map(self.memo.__getitem__, lacking), np.int64, len(lacking))
-        return at
-
-    def _add(self, strings: list[str]) -> None:
-        codes, sizes = self._codes(strings)
-        prefix = self._hashes(codes)
-        n = len(strings)
-        alpha = np.zeros((n, SPAN + 1), np.float32)
-        alpha[:, 0] = 1.0
-        most = int(sizes.max())
-        p = np.zeros((n, most, SPAN), np.float32)
-        ids = np.zeros((n, most, SPAN), np.int32)
-        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-        weight = np.zeros((n, most, most), np.float32)  # of each end and length less one
-        for size in range(1, most + 1):
-            with np.errstate(over="ignore"):
-                h = prefix[:, size : most + 1] - prefix[:, : most + 1 - size] * self.powers[size]
-                got = self._find(h ^ np.uint64(size) * _GOLD)
-            chance, number = self.chance[got] * _SCALE**size, self.number[got]
-            if size == 1:
-                none = got == len(self.hashes) - 1
-                chance = np.where(none, self.v.byte_chance ** width[:, :most] * _SCALE, chance)
-                number = np.where(none, -1 - codes[:, :most].astype(np.int64), number)
-            weight[:, size - 1 :, size - 1] = chance
-            ids[:, size - 1 :, size - 1] = number
-        for end in range(1, most + 1):
-            terms = weight[:, end - 1, :end] * alpha[:, end - 1 :: -1] if end > 1 else weight[:, 0, :1] * alpha[:, :1]
-            alpha[:, end] = terms.sum(axis=1)
-            p[:, end - 1, :end] = terms / alpha[:, end : end + 1]
-        real = np.arange(most)[None, :] < sizes[:, None]
-        total = int(sizes.sum())
-        while self.used + total > len(self.p):
-            self.p = np.concatenate([self.p, np.zeros_like(self.p)])
-            self.cum = np.concatenate([self.cum, np.zeros_like(self.cum)])
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.p[self.used : self.used + total] = p[real]
-        np.cumsum(self.p[self.used : self.used + total], axis=1, out=self.cum[self.used : self.used + total])
-        self.ids[self.used : self.used + total] = ids[real]
-        for s, last in zip(strings, (self.used + np.cumsum(sizes) - 1).tolist(), strict=True):
-            self.memo[s] = last
-        self.used += total
+    def units(self, text: str) -> list[str]:
+        """The text, after one space that decoding takes off, cut into units."""
+        own = " " + text
+        edges = [*np.nonzero(self.cuts(_codes(own)))[0].tolist(), len(own)]
+        return [own[a:b] for a, b in zip(edges, edges[1:])] if text else []
+
+    def first_nodes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First node of each unit of the texts (none empty), and the place of each text's first unit."""
+        codes = _codes("".join(f" {t}" for t in texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        begins = self.cuts(codes)
+        begins[ends[:-1]] = True
+        edges = np.append(np.nonzero(begins)[0], len(codes))
+        firsts = np.searchsorted(edges, np.concatenate([[0], ends]))
+        h = Prefixes(codes)(edges[:-1], edges[1:])
+        got = self.known.find(h)
+        fresh = np.nonzero(got < 0)[0]
+        if len(fresh):
+            fresh = fresh[np.unique(h[fresh], return_index=True)[1]]
+            sizes = edges[fresh + 1] - edges[fresh]
+            total, at = np.cumsum(sizes), 0
+            while at < len(fresh):
+                to = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + MADE, side="right")))
+                some = fresh[at:to]
+                self._add(codes, edges[some], sizes[at:to], h[some])
+                at = to
+            got = self.known.find(h)
+        return self.roots[got], firsts
+
+    def _room(self, name: str, n: int) -> np.ndarray:
+        old = getattr(self, name)
+        if n > len(old):
+            new = np.zeros(max(n, len(old) + len(old) // 2), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+        return getattr(self, name)
+
+    def _add(self, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> None:
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        unit_end = np.repeat(ends, sizes)
+        place = np.arange(n)
+        codes = codes[place + np.repeat(begins - (ends - sizes), sizes)]
+        # nodes are numbered from the ends of units backwards, so that what a node needs is made before it
+        back = unit_end - place
+        order = np.argsort(back.astype(np.uint16) if back.max() < 1 << 16 else back, kind="stable")
+        rank = np.empty(n + 1, np.int64)
+        rank[order] = place
+        hashes, live, found = Prefixes(codes), place, []
+        degree = np.zeros(n, np.int64)
+        for size in range(1, self.longest + 1):
+            live = live[back[live] >= size]
+            got = self.table.find(hashes(live, live + size))
+            there = got >= 0
+            number = np.where(there, self.piece[got], -1)
+            if size == 1:  # a code point without a piece of its own is given as bytes
+                at, by_bytes = live, number < 0
+                log_w = np.where(by_bytes, np.log(self.v.byte_chance) * _width(codes), self.log_chance[number])
+                named = np.where(by_bytes, -1 - codes.astype(np.int64), self.ids[number])
+            else:
+                is_piece = number >= 0
+                at, number = live[is_piece], number[is_piece]
+                log_w, named = self.log_chance[number], self.ids[number]
+            found.append((rank[at], size, log_w, named, at))
+            degree[rank[at]] += 1
+            live = live[there]
+            if not len(live):
+                break
+        start = np.concatenate([[0], np.cumsum(degree)])
+        total = int(start[-1])
+        weight, after, number = np.empty(total), np.empty(total, np.int64), np.empty(total, np.int32)
+        free = start[:-1].copy()
+        for node, size, log_w, named, at in found:
+            to = free[node]
+            weight[to], number[to] = log_w, named
+            after[to] = np.where(back[at] == size, -1, rank[at + size])
+            free[node] += 1
+        own = np.repeat(place, degree)
+        sums = np.zeros(n + 1)  # log of summed chances from a node to its unit's end; the last: the end itself
+        log_p = np.empty(total)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(back)[1:])]).tolist()
+        for a, b in zip(edges, edges[1:]):
+            lo, hi = int(start[a]), int(start[b])
+            x = weight[lo:hi] + sums[after[lo:hi]]
+            at, wide = start[a:b] - lo, own[lo:hi] - a
+            top = np.maximum.reduceat(x, at)
+            sums[a:b] = top + np.log(np.add.reduceat(np.exp(x - top[wide]), at))
+            log_p[lo:hi] = x - sums[a:b][wide]
+        p = np.exp(log_p)
+        cum = np.cumsum(p)
+        cum -= np.concatenate([[0.0], cum])[start[:-1]][own]
+        lo, hi = self.used, self.used + total
+        for name, values in (("cum", cum), ("log_p", log_p), ("next", np.where(after < 0, -1, after + self.nodes)), ("number", number), ("own", own + self.nodes)):
+            self._room(name, hi)[lo:hi] = values
+        self._room("starts", self.nodes + n + 1)[self.nodes : self.nodes + n + 1] = start + self.used
+        first = self.known.add(h)
+        self._room("roots", self.known.n)[first] = rank[ends - sizes] + self.nodes
+        self.used, self.nodes = hi, self.nodes + n
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
 
 
 def _unit_interval(x: np.ndarray) -> np.ndarray:
@@ -205,68 +321,67 @@ def _unit_interval(x: np.ndarray) -> np.ndarray:
 
 def uniforms(seed: int, stream: int, n: int) -> np.ndarray:
     """Numbers in (0, 1) fixed by seed, stream and place."""
-    with np.errstate(over="ignore"):
-        base = _mix(np.array([(seed ^ (stream * 0xD1342543DE82EF95)) & (2**64 - 1)], np.uint64))
-        return _unit_interval(_mix(base + _GOLD * np.arange(1, n + 1, dtype=np.uint64)))
-
-
-def walk(lattices: Lattices, last: np.ndarray, left: np.ndarray, base: np.ndarray):
-    """Free decisions for units whose prefixes of `left` code points are open, drawn from each unit's own
-    stream: node, length, log chance of each decision, and the place of each unit's first."""
-    rounds, node, left = [], last.copy(), left.copy()
-    count = np.zeros(len(last), np.int64)
-    active = np.nonzero(left > 0)[0]
-    step = np.uint64(0)
+    base = _mix(np.array([(seed ^ (stream * 0xD1342543DE82EF95)) & (2**64 - 1)], np.uint64))
+    return _unit_interval(_mix(base + _GOLD * np.arange(1, n + 1, dtype=np.uint64)))
+
+
+def walk(lattices: Lattices, node: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Free decisions from each node to its unit's end (-1: there already), drawn from each unit's own stream:
+    the choices, and the place of each unit's first."""
+    rounds = []
+    count = np.zeros(len(node), np.int64)
+    active = np.nonzero(node >= 0)[0]
+    node, step = node[active], 0
+    starts, cum, after = lattices.starts, lattices.cum, lattices.next
     while len(active):
-        step += np.uint64(1)
-        own = node[active]
-        with np.errstate(over="ignore"):
-            u = _unit_interval(_mix(base[active] + step * _GOLD))
-        cum = lattices.cum[own]
-        size = (cum >= (u.astype(np.float32) * cum[:, -1])[:, None]).argmax(axis=1)
-        rounds.append((active, own, size + 1, lattices.p[own, size]))
+        step = (step + int(_GOLD)) % 2**64
+        u = _unit_interval(_mix(base[active] + np.uint64(step))).astype(np.float32)
+        lo, hi = starts[node], starts[node + 1] - 1
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            right = (cum[mid] < u) & open_
+            hi = np.where(right, hi, np.where(open_, mid, hi))
+            lo = np.where(right, mid + 1, lo)
+        rounds.append((active, lo))
         count[active] += 1
-        node[active] = own - size - 1
-        left[active] -= size + 1
-        active = active[left[active] > 0]
-    starts = np.concatenate([[0], np.cumsum(count)])
-    out = np.empty(starts[-1], np.int64), np.empty(starts[-1], np.int64), np.ones(starts[-1])
-    for r, (units_, own, size, p) in enumerate(rounds):
-        at = starts[units_] + r
-        out[0][at], out[1][at], out[2][at] = own, size, p
-    return out[0], out[1], np.log(np.maximum(out[2], 1e-300)), starts
+        node = after[lo]
+        more = node >= 0
+        active, node = active[more], node[more]
+    places = np.concatenate([[0], np.cumsum(count)])
+    out = np.empty(places[-1], np.int32)
+    for r, (units, chosen) in enumerate(rounds):
+        out[places[units] + r] = chosen
+    return out, places
 
 
 @dataclass
 class Path:
-    """One segmentation: decisions in order (unit by unit, each from its end): node, length, log chance;
-    and the place of each unit's first decision, the number of decisions last."""
+    """One segmentation: its choices in order, and the place of each unit's first, their number last."""
 
-    node: np.ndarray
-    size: np.ndarray
+    choices: np.ndarray
     log_p: np.ndarray
     starts: np.ndarray
     gumbel: float
     total: float = 0.0
 
     def __post_init__(self):
-        self.total = float(self.log_p.sum())
+        self.total = float(self.log_p.sum(dtype=np.float64))
 
 
 class Sampler:
     """Gumbel top-k without replacement over all segmentations of one text.
 
-    The chain of lattices is one lattice; a segmentation is a row of decisions, the length of the last piece
-    at a node. A region is a set of segmentations that share their first decisions and avoid some
-    choices at the next; its perturbed maximum is a Gumbel variable at its log mass, truncated at that of the
+    The chain of lattices is one lattice; a segmentation is a row of choices, the next piece at a node. A
+    region is a set of segmentations that share their first choices and avoid some
+    at the next; its perturbed maximum is a Gumbel variable at its log mass, truncated at that of the
     region it came from. The search takes the region with the highest maximum, draws the segmentation
     that attains it, and splits what is left; so segmentations come out by falling perturbed value. The
     free decisions of many texts are drawn together (walk); ask() says what this text needs drawn next,
     and tell() takes it.
     """
 
-    def __init__(self, lattices: Lattices, seed: int, last: np.ndarray, sizes: np.ndarray, k: int):
-        self.l, self.seed, self.last, self.sizes = lattices, seed & (2**64 - 1), last, sizes
+    def __init__(self, lattices: Lattices, seed: int, roots: np.ndarray, k: int):
+        self.l, self.seed, self.roots = lattices, seed & (2**64 - 1), roots
         self.heap, self.number, self.want = [], 0, k + 1
         self.draws, self.at, self.stock = 0, 0, np.zeros(0)
         self.found: list[Path] = []
@@ -282,50 +397,54 @@ class Sampler:
         """Start value of the streams for the sample that comes next; each unit has one of its own."""
         return (self.seed + (len(self.found) + 1) * 0xD6E8FEB86659FD93) & (2**64 - 1)
 
-    def ask(self) -> tuple[np.ndarray, np.ndarray, int] | None:
-        """(last nodes, open code points, number of the first) of the units to draw; None: no segmentation is left."""
-        if not self.found:
-            self.plan = None
-            return self.last, self.sizes, 0
+    def _settle(self) -> bool:
+        """Split tails until a region leads; False: nothing is left."""
         while self.heap and self.heap[0][4] is None:
             value, _, path, t, _, prefix = heapq.heappop(self.heap)
-            self._open(path, t, prefix, -value)  # the tail of a path: split a further block of it
-        if not self.heap:
+            self._open(path, t, prefix, -value)
+        return bool(self.heap)
+
+    def ask(self) -> tuple[np.ndarray, int] | None:
+        """(nodes, number of the first) of the units to draw; None: no segmentation is left."""
+        if not self.found:
+            self.plan = None
+            return self.roots, 0
+        if not self._settle():
             return None
         value, _, path, t, banned, prefix = heapq.heappop(self.heap)
         unit = int(np.searchsorted(path.starts, t, side="right")) - 1
-        node = int(path.node[t])
-        row = self.l.p[node].astype(np.float64)
-        row[[b - 1 for b in banned]] = 0.0
+        node = int(self.l.own[path.choices[t]])
+        lo, hi = int(self.l.starts[node]), int(self.l.starts[node + 1])
+        row = np.exp(self.l.log_p[lo:hi].astype(np.float64))
+        row[[b - lo for b in banned]] = 0.0
         cum = np.cumsum(row)
-        size = min(int(np.searchsorted(cum, self._u(1)[0] * cum[-1])), int(np.nonzero(row)[0][-1])) + 1
-        last, left = self.last[unit:].copy(), self.sizes[unit:].copy()
-        last[0], left[0] = node - size, left[0] - int(path.size[path.starts[unit] : t].sum()) - size
-        self.plan = (path, t, banned, prefix, -value, unit, node, size, float(np.log(row[size - 1])))
-        return last, left, unit
-
-    def tell(self, node: np.ndarray, size: np.ndarray, log_p: np.ndarray, starts: np.ndarray) -> None:
+        chosen = min(int(np.searchsorted(cum, self._u(1)[0] * cum[-1])), int(np.nonzero(row)[0][-1]))
+        nodes = self.roots[unit:].copy()
+        nodes[0] = self.l.next[lo + chosen]
+        self.plan = (path, t, banned, prefix, -value, unit, lo, row, chosen)
+        return nodes, unit
+
+    def tell(self, choices: np.ndarray, starts: np.ndarray) -> None:
+        log_p = self.l.log_p[choices]
         if self.plan is None:
             g = -float(np.log(-np.log(self._u(1)[0])))
-            self.found.append(Path(node, size, log_p, starts, g))
+            self.found.append(Path(choices, log_p, starts, g))
             self._open(self.found[0], 0, 0.0, g)
             return
-        old, t, banned, prefix, g, unit, at, own, lp = self.plan
-        join = lambda a, x, b: np.concatenate([a[:t], [x], b])
-        path = Path(join(old.node, at, node), join(old.size, own, size), join(old.log_p, lp, log_p), np.concatenate([old.starts[: unit + 1], starts[1:] + t + 1]), g)
+        old, t, banned, prefix, g, unit, lo, row, chosen = self.plan
+        own = lo + chosen
+        lp = float(self.l.log_p[own])
+        path = Path(np.concatenate([old.choices[:t], np.array([own], np.int32), choices]), np.concatenate([old.log_p[:t], np.array([lp], np.float32), log_p]), np.concatenate([old.starts[: unit + 1], starts[1:] + t + 1]), g)
         self.found.append(path)
-        banned = (*banned, own)
-        left = float(self.l.p[at].sum(dtype=np.float64) - sum(float(self.l.p[at, b - 1]) for b in banned))
-        if np.count_nonzero(self.l.p[at]) > len(banned) and left > 0:
-            self._push(float(self._truncated(np.array([prefix + np.log(left)]), g)[0]), path, t, banned, prefix)
+        row[chosen] = 0.0
+        left = float(row.sum())
+        if left > 0:
+            self._push(float(self._truncated(np.array([prefix + np.log(left)]), g)[0]), path, t, (*banned, own), prefix)
         self._open(path, t + 1, prefix + lp, g)
 
     def next_best(self) -> float:
         """The perturbed value of the segmentation that would come next; -inf: there is none."""
-        while self.heap and self.heap[0][4] is None:
-            value, _, path, t, _, prefix = heapq.heappop(self.heap)
-            self._open(path, t, prefix, -value)
-        return -self.heap[0][0] if self.heap else -np.inf
+        return -self.heap[0][0] if self._settle() else -np.inf
 
     def _push(self, value: float, path: Path, t: int, banned, prefix: float) -> None:
         self.number += 1
@@ -336,21 +455,21 @@ class Sampler:
 
     def _open(self, path: Path, t: int, prefix: float, bound: float) -> None:
         """Regions that leave the path at one of its next BLOCK decisions from t on, and the tail after them."""
-        part = path.log_p[t : t + BLOCK]
+        part = path.log_p[t : t + BLOCK].astype(np.float64)
         if not len(part):
             return
         before = prefix + np.concatenate([[0.0], np.cumsum(part)])
-        choices = np.count_nonzero(self.l.p[path.node[t : t + BLOCK]], axis=1)
+        node = self.l.own[path.choices[t : t + BLOCK]]
         other = np.maximum(-np.expm1(part), 1e-12)  # chances are single precision: where there is a choice, it has mass
         values = self._truncated(before[:-1] + np.log(other), bound)
         end = t + len(part)
-        rest = min(0.0, path.total - float(path.log_p[:t].sum() + part.sum()))
-        keep = np.nonzero(choices > 1)[0]
+        keep = np.nonzero(self.l.starts[node + 1] - self.l.starts[node] > 1)[0]
         if len(keep) > self.want:
             keep = keep[np.argpartition(-values[keep], self.want - 1)[: self.want]]  # no more can come next
         for i in keep.tolist():
-            self._push(float(values[i]), path, t + i, (int(path.size[t + i]),), float(before[i]))
+            self._push(float(values[i]), path, t + i, (int(path.choices[t + i]),), float(before[i]))
         if end < len(path.log_p):
+            rest = min(0.0, float(path.log_p[end:].sum(dtype=np.float64)))
             mass = before[-1] + np.log(max(-np.expm1(rest), 1e-12))
             # the value is the maximum of what is left; it bounds the regions that this is split into
             self._push(float(self._truncated(np.array([mass]), bound)[0]), path, end, None, float(before[-1]))
@@ -358,17 +477,13 @@ class Sampler:
 
 def piece_ids(lattices: Lattices, paths: list[Path]) -> list[np.ndarray]:
     """Piece numbers of each path in its text's order; what no piece covers is its bytes' pieces."""
-    sizes = np.array([len(x.node) for x in paths], np.int64)
-    ends = np.cumsum(sizes)
-    firsts = np.concatenate([x.starts[:-1] + e for x, e in zip(paths, ends - sizes, strict=True)])
-    n = np.diff(np.append(firsts, ends[-1]))
-    turned = np.repeat(2 * firsts + n - 1, n) - np.arange(ends[-1])
-    raw = lattices.ids[np.concatenate([x.node for x in paths]), np.concatenate([x.size for x in paths]) - 1][turned]
+    raw = lattices.number[np.concatenate([x.choices for x in paths])]
+    ends = np.cumsum([len(x.choices) for x in paths])
     bare = np.nonzero(raw < 0)[0]
     if len(bare):
         by = np.array(lattices.v.byte_ids, np.int32)
         code = -1 - raw[bare].astype(np.int64)
-        width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        width = _width(code)
         times = np.ones(len(raw), np.int64)
         times[bare] = width
         places = np.cumsum(times)
@@ -385,40 +500,42 @@ def piece_ids(lattices: Lattices, paths: list[Path]) -> list[np.ndarray]:
 def sample_texts(lattices: Lattices, texts: list[str], seeds: list[int], k: int) -> list[tuple[list[Path], float]]:
     """For each text (none empty) at most k paths by falling perturbed value, and the value that would come
     next; draws depend on a text and its seed alone."""
-    if lattices.used > NODES:
+    if not texts:
+        return []
+    if lattices.used > CHOICES:
         lattices.clear()
-    strings = [units(t) for t in texts]
-    flat = list(chain.from_iterable(strings))
-    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-    last = lattices.last_nodes(flat)
-    ends = np.cumsum([len(x) for x in strings])
-    samplers = [Sampler(lattices, seed, last[e - len(x) : e], sizes[e - len(x) : e], k) for x, e, seed in zip(strings, ends.tolist(), seeds, strict=True)]
-    if samplers:  # the first numbers of all texts at once
-        with np.errstate(over="ignore"):
-            base = _mix(np.array([s.seed ^ 0xD1342543DE82EF95 for s in samplers], np.uint64))[:, None]
-            stocks = _unit_interval(_mix(base + _GOLD * np.arange(1, 4 * BLOCK + 1, dtype=np.uint64)))
-        for s, stock in zip(samplers, stocks, strict=True):
-            s.draws, s.stock = 1, stock
+    roots, firsts = lattices.first_nodes(texts)
+    samplers = [Sampler(lattices, seed, roots[a:b], k) for seed, a, b in zip(seeds, firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
+    # the first numbers of all texts at once
+    base = _mix(np.array([s.seed ^ 0xD1342543DE82EF95 for s in samplers], np.uint64))[:, None]
+    stocks = _unit_interval(_mix(base + _GOLD * np.arange(1, 4 * BLOCK + 1, dtype=np.uint64)))
+    for s, stock in zip(samplers, stocks, strict=True):
+        s.draws, s.stock = 1, stock
     for _ in range(k):
         asked = [(s, a) for s in samplers if (a := s.ask()) is not None]
         if not asked:
             break
         counts = np.array([len(a[0]) for _, a in asked])
-        firsts = np.cumsum(counts) - counts
-        with np.errstate(over="ignore"):
-            base = _mix(np.array([s.stream() for s, _ in asked], np.uint64))
-            unit = (np.arange(counts.sum()) + np.repeat(np.array([a[2] for _, a in asked]) - firsts, counts)).astype(np.uint64)
-            base = _mix(np.repeat(base, counts) + unit * _M2)
-        node, size, log_p, starts = walk(lattices, np.concatenate([a[0] for _, a in asked]), np.concatenate([a[1] for _, a in asked]), base)
-        at = 0
-        for s, a in asked:
-            n = len(a[0])
-            lo, hi = starts[at], starts[at + n]
-            s.tell(node[lo:hi], size[lo:hi], log_p[lo:hi], starts[at : at + n + 1] - lo)
-            at += n
+        lows = np.cumsum(counts) - counts
+        base = _mix(np.array([s.stream() for s, _ in asked], np.uint64))
+        unit = (np.arange(counts.sum()) + np.repeat(np.array([a[1] for _, a in asked]) - lows, counts)).astype(np.uint64)
+        chosen, places = walk(lattices, np.concatenate([a[0] for _, a in asked]), _mix(np.repeat(base, counts) + unit * _M2))
+        for (s, _), at, n in zip(asked, lows.tolist(), counts.tolist(), strict=True):
+            lo, hi = places[at], places[at + n]
+            s.tell(chosen[lo:hi], places[at : at + n + 1] - lo)
     return [(s.found, s.next_best()) for s in samplers]
 
 
+_kept: list[Lattices] = []
+
+
+def _lattices(vocabulary: Vocabulary) -> Lattices:
+    """This process's lattices, which its tasks use one after the other; draws don't depend on what they hold."""
+    if not _kept or _kept[0].v is not vocabulary:
+        _kept[:] = [Lattices(vocabulary)]
+    return _kept[0]
+
+
 def inclusions(above: float) -> tuple[float, float]:
     """Chance that a segmentation's perturbed value exceeds the threshold, from its log chance less the threshold;
     and the logarithm of that chance, which is `above` itself where that is far below 0."""
@@ -437,13 +554,16 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
     weighted sums unbiased; 1 where all segmentations were drawn. Of long texts it is below what a double holds, and 0;
     log_inclusion, its logarithm, holds it for texts of any length: weigh by exp(-log_inclusion), in logarithms. Draws depend on seed, key and text alone:
     repeated rows and reruns give equal results. A text with fewer than k segmentations gives all of them; a
-    null or empty text gives one without ids. Texts of any length are held whole, one at a time. The model file is
-    read on the driver and its pieces (at most some ten thousand) are broadcast. No shuffle.
+    null or empty text gives one without ids. Texts of any length are held whole, one at a time, and no word or piece is
+    cut: a lattice ends only where no piece can cross (see Lattices). A worker remembers lattices of up to CHOICES
+    choices (some 50 MB) and forgets them all beyond; while it draws, it needs about 40 bytes for each character of a text, and some 150
+    for each of a stretch that it has not met before. The model file is
+    read on the driver and its pieces (as many as the model has) are broadcast. No shuffle.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model, alpha))
 
     def run(batches):
-        lattices = Lattices(vocabulary.value)
+        lattices = _lattices(vocabulary.value)
 
         def answer(some):
             full = [x for x in some if x[2]]
