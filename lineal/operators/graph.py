@@ -6,35 +6,19 @@ n + 1 .. 2n - 1, then even numbers are recombinations and odd ones recoalescence
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import simplify
+from .storage import followed, materialize, ranked
 
 INF = float("inf")
 #: Levels that one job of a closure goes up.
 LEVELS = 4
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lineal-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """A table in the shared folder: cuts the lineage, outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def covers(point) -> Column:
     return (F.col("lo") <= point) & (F.col("hi") > point)
 
@@ -43,10 +27,21 @@ def meets(lo: float, hi: float) -> Column:
     return (F.col("lo") < hi) & (F.col("hi") > lo)
 
 
+def at_points(df: DataFrame, points: Sequence[float], name: str = "x") -> DataFrame:
+    """df (lo, hi, ..) once for each of some given points that it covers, without a join."""
+    every = F.array(*(F.lit(float(x)) for x in points))
+    return df.withColumn(name, F.explode(F.filter(every, lambda x: (F.col("lo") <= x) & (F.col("hi") > x))))
+
+
+def arg_from_tree(edges: DataFrame) -> DataFrame:
+    """(src, dst, lo, hi) of a tree's edges: all of them carry all places."""
+    return edges.select("src", "dst", F.lit(0.0).alias("lo"), F.lit(INF).alias("hi"))
+
+
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(anc, v, lo, hi, lvl): from each start v upwards along edges whose intervals intersect; v itself at
     level 0. Semi-naive: only the newest level is joined, LEVELS levels a job, each job's rows in a table."""
-    up = edges.select(F.col("dst").alias("_d"), F.col("src").alias("_s"), F.col("lo").alias("_l"), F.col("hi").alias("_h"))
+    up = materialize(edges.select(F.col("dst").alias("_d"), F.col("src").alias("_s"), F.col("lo").alias("_l"), F.col("hi").alias("_h")))
     level = starts.select(F.col("v").alias("anc"), "v", F.lit(0.0).alias("lo"), F.lit(INF).alias("hi"), F.lit(0).alias("lvl"))
     out = [level]
     at = 0
@@ -89,17 +84,12 @@ def other_dad(edges: DataFrame) -> DataFrame:
 
 
 def skip_unary(edges: DataFrame, towards: str = "children") -> DataFrame:
-    """(v, to): neighbours of each vertex after following vertices with exactly one neighbour onwards."""
+    """(v, to): neighbours of each vertex after following vertices with exactly one neighbour onwards, by pointer doubling."""
     near, far = ("src", "dst") if towards == "children" else ("dst", "src")
     e = edges.select(F.col(near).alias("v"), F.col(far).alias("to")).distinct()
-    single = e.groupBy(F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.min("to").alias("_next")).where("_n = 1").drop("_n")
-    single = materialize(single)
-    while True:
-        moved = e.join(single, F.col("to") == F.col("_v"), "left")
-        new = materialize(moved.select("v", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("_moved")))
-        e = new.select("v", "to")
-        if new.where("_moved").isEmpty():
-            return e.distinct()
+    single = e.groupBy("v").agg(F.count(F.lit(1)).alias("_n"), F.min("to").alias("to")).where("_n = 1").drop("_n")
+    ends = followed(single, [], "v", "to").select(F.col("v").alias("to"), F.col("to").alias("_end"))
+    return e.join(ends, "to", "left").select("v", F.coalesce("_end", "to").alias("to")).distinct()
 
 
 def vertex_intervals(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -115,33 +105,32 @@ def with_latitudes(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(s, "src").join(d, "dst")
 
 
-def live_lineages(edges: DataFrame, vertices: DataFrame, latitudes: DataFrame, tmrca: float) -> DataFrame:
-    """(latitude, n): edges alive at each latitude (ends included), one more above tmrca.
+def live_lineages(edges: DataFrame, vertices: DataFrame, latitudes: DataFrame) -> DataFrame:
+    """(latitude, n): edges alive at each latitude (ends included), one more above the highest vertex.
 
     Counting by sorted ends instead of pairs: births at or below minus deaths below, as running sums in two
-    levels (ranges of latitude, then rows within).
+    levels (a thousand ranges of latitude, then rows within).
     """
     e = with_latitudes(edges, vertices)
     born = e.select(F.col("dst_lat").alias("at"), F.lit(0).alias("k"), F.lit(1).alias("d"))
     gone = e.select(F.col("src_lat").alias("at"), F.lit(2).alias("k"), F.lit(-1).alias("d"))
     ask = latitudes.select(F.col("latitude").alias("at"), F.lit(1).alias("k"), F.lit(0).alias("d"))
-    width = max(tmrca, 1e-9) / 1000
-    all_ = born.unionByName(gone).unionByName(ask).withColumn("part", F.least(F.floor(F.col("at") / width), F.lit(1001)))
+    top = vertices.agg(F.greatest(F.max("latitude"), F.lit(1e-9)).alias("top"))
+    all_ = born.unionByName(gone).unionByName(ask).crossJoin(F.broadcast(top)).withColumn("part", F.least(F.floor(F.col("at") / F.col("top") * 1000), F.lit(1001)))
     sums = all_.groupBy("part").agg(F.sum("d").alias("s"))
     off = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("off"))  # at most 1002 rows
     run = F.sum("d").over(Window.partitionBy("part").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0))
     told = all_.withColumn("run", run).where("k = 1").join(F.broadcast(off), "part")
-    return told.select(F.col("at").alias("latitude"), (F.col("run") + F.col("off") + F.when(F.col("at") > tmrca, 1).otherwise(0)).cast("int").alias("n")).distinct()
+    return told.select(F.col("at").alias("latitude"), (F.col("run") + F.col("off") + F.when(F.col("at") > F.col("top"), 1).otherwise(0)).cast("int").alias("n")).distinct()
 
 
-def common_ancestors(closure_: DataFrame, sets: DataFrame, at: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(set_id, x, mrca, tmrca): lowest vertex strictly above all leaves of each set in the tree at x.
+def common_ancestors(closure_: DataFrame, sets: DataFrame, points: Sequence[float], vertices: DataFrame) -> DataFrame:
+    """(set_id, x, mrca, tmrca): lowest vertex strictly above all leaves of each set in the tree at each of some points.
 
-    sets: (set_id, v); at: (x), few points. The closure is cut to the points first; a set's candidates are the
+    sets: (set_id, v). The closure is cut to the points first; a set's candidates are the
     ancestors that as many of its members have as it has members.
     """
-    strict = closure_.where("lvl > 0").select("anc", "v", "lo", "hi")
-    here = strict.join(F.broadcast(at), covers(F.col("x"))).select("anc", "v", "x").distinct()
+    here = at_points(closure_.where("lvl > 0"), points).select("anc", "v", "x").distinct()
     sizes = sets.groupBy("set_id").agg(F.countDistinct("v").alias("size"))
     met = sets.distinct().join(here, "v").groupBy("set_id", "x", "anc").agg(F.count(F.lit(1)).alias("c")).join(sizes, "set_id").where("c = size")
     lat = vertices.select(F.col("v").alias("anc"), "latitude")
@@ -149,12 +138,23 @@ def common_ancestors(closure_: DataFrame, sets: DataFrame, at: DataFrame, vertic
 
 
 def root_times(closure_: DataFrame, n: int, at: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(x, tmrca): latitude of the lowest vertex above all n leaves in the tree at each x, by pre-aggregated counts of
-    leaves per (x, vertex)."""
-    strict = closure_.where("lvl > 0").select("anc", "v", "lo", "hi")
-    cut = strict.groupBy("anc", "lo", "hi").agg(F.count_distinct("v").alias("c"))
-    here = cut.join(F.broadcast(at), covers(F.col("x"))).groupBy("x", "anc").agg(F.sum("c").alias("c")).where(F.col("c") >= n)
-    return here.join(vertices.select(F.col("v").alias("anc"), "latitude"), "anc").groupBy("x").agg(F.min("latitude").alias("tmrca"))
+    """(x, tmrca): latitude of the lowest vertex above all n leaves in the tree at each x of a table.
+
+    A sweep for each vertex: leaves are gained at lo and lost at hi, so the places at which it has all of them are where a
+    running count is n. Only these few stretches are spread over the points between their ends.
+    """
+    strict = closure_.where("lvl > 0")
+    gain = strict.select("anc", F.col("lo").alias("x"), F.lit(1).alias("d")).unionByName(strict.where(F.col("hi") < INF).select("anc", F.col("hi").alias("x"), F.lit(-1).alias("d")))
+    w = Window.partitionBy("anc").orderBy("x")
+    turns = gain.groupBy("anc", "x").agg(F.sum("d").alias("d")).select("anc", F.col("x").alias("lo"), F.lead("x").over(w).alias("hi"), F.sum("d").over(w).alias("c")).where(F.col("c") >= n)
+    full = materialize(turns.join(vertices.select(F.col("v").alias("anc"), "latitude"), "anc").select("lo", "hi", "latitude").distinct())
+    places = at.select("x", F.lit(True).alias("asked")).unionByName(full.select(F.col("lo").alias("x"), F.lit(False).alias("asked"))).unionByName(full.where("hi is not null").select(F.col("hi").alias("x"), F.lit(False).alias("asked")))
+    places = materialize(ranked(places.groupBy("x").agg(F.bool_or("asked").alias("asked")), ["x"], "place"))
+    low, high = places.select(F.col("x").alias("lo"), F.col("place").alias("a")), places.select(F.col("x").alias("hi"), F.col("place").alias("b"))
+    end = places.agg((F.max("place") + 1).alias("end"))
+    spans = full.join(low, "lo").join(high, "hi", "left").crossJoin(F.broadcast(end))
+    met = spans.select("latitude", F.explode(F.sequence("a", F.coalesce("b", "end") - 1)).alias("place"))
+    return met.join(places.where("asked").select("place", "x"), "place").groupBy("x").agg(F.min("latitude").alias("tmrca"))
 
 
 def event_rules(events: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Ranges, unused
+
 #: Finite width that an endless interval is cut into bins up to.
 _FAR = 1e15
 
@@ -26,14 +28,15 @@ def disconnected(lo1, hi1, lo2, hi2) -> Column:
 def simplify(df: DataFrame, owner: list[str]) -> DataFrame:
     """Each owner's union as (owner, lo, hi): empty intervals go, overlapping and touching ones merge.
 
-    Gaps and islands: a new island begins where lo is beyond the greatest hi so far. One shuffle by
-    owner. Within an owner, intervals that begin together are combined map-side first.
+    Gaps and islands: a new island begins where lo is beyond the greatest hi so far. Intervals that begin together are
+    combined map-side first. Rows are dealt by ranges of (owner, lo), so an owner with most rows is spread over tasks.
     """
     some = df.where("lo < hi").groupBy(*owner, "lo").agg(F.max("hi").alias("hi"))
-    w = Window.partitionBy(*owner).orderBy("lo")
-    seen = some.withColumn("_top", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = seen.withColumn("_island", F.sum(F.when(F.col("_top").isNull() | (F.col("lo") > F.col("_top")), 1).otherwise(0)).over(w))
-    return marked.groupBy(*owner, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
+    dealt = Ranges(some, owner, ["lo"])
+    seen = dealt.running(dealt.rows, "_top", F.col("hi"), "max", before=True)
+    begins = F.when(F.col("_top").isNull() | (F.col("lo") > F.col("_top")), F.col("lo"))
+    marked = dealt.running(seen, "_island", begins, "last")
+    return marked.groupBy(*owner, "_island").agg(F.max("hi").alias("hi")).select(*owner, F.col("_island").alias("lo"), "hi")
 
 
 def union(a: DataFrame, b: DataFrame, owner: list[str]) -> DataFrame:
@@ -73,13 +76,14 @@ def intersect(a: DataFrame, b: DataFrame, owner: list[str]) -> DataFrame:
 
 
 def contains_points(sets: DataFrame, points: DataFrame, owner: list[str], point: str = "x") -> DataFrame:
-    """points with `inside`: whether any interval of their owner's covers them. Sets are simplified, so that the
-    interval with the greatest lo at or before the point decides: an as-of join by a window."""
-    s = simplify(sets, owner).select(*owner, F.col("lo").alias("_at"), F.col("hi").alias("_hi"), F.lit(0).alias("_kind"))
-    p = points.withColumn("_at", F.col(point)).withColumn("_kind", F.lit(1))
-    w = Window.partitionBy(*owner).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(s, allowMissingColumns=True)
-    return both.withColumn("_last", F.last("_hi", ignorenulls=True).over(w)).where("_kind = 1").withColumn("inside", F.coalesce(F.col(point) < F.col("_last"), F.lit(False))).drop("_at", "_kind", "_hi", "_last")
+    """points with `inside`: whether any interval of their owner's covers them. The greatest hi of those that begin at or before the
+    point decides: a running maximum over ranges of (owner, place), so an owner may have any number of rows."""
+    at, kind, far = unused([*points.columns, "lo", "hi", "inside"], "_at", "_kind", "_far")
+    s = sets.where("lo < hi").groupBy(*owner, F.col("lo").alias(at)).agg(F.max("hi").alias(far)).withColumn(kind, F.lit(0))
+    p = points.withColumn(at, F.col(point).cast("double")).withColumn(kind, F.lit(1))
+    dealt = Ranges(p.unionByName(s, allowMissingColumns=True), owner, [at, kind])
+    told = dealt.running(dealt.rows, "inside", F.col(far), "max").where(F.col(kind) == 1)
+    return told.withColumn("inside", F.coalesce(F.col(point) < F.col("inside"), F.lit(False))).drop(dealt.part, at, kind, far)
 
 
 def subset(a: DataFrame, b: DataFrame, owner: list[str]) -> DataFrame:

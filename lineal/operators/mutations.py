@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -54,13 +54,53 @@ def next_inconsistent(mutations: DataFrame, events: DataFrame, idx: int = 1) ->
     return told.join(F.broadcast(first), "idx").select("idx", "src", "dst")
 
 
-def breakpoint_bounds(pairs: DataFrame, differing: DataFrame, markers: DataFrame) -> DataFrame:
-    """(pair, right_idx, left_idx): going left from right_idx, the nearest marker at which the pair differs (0: none).
-    pairs: (pair, right_idx); differing: (pair, idx)."""
-    met = pairs.join(differing, "pair", "left").groupBy("pair", "right_idx").agg(F.max(F.when(F.col("idx") < F.col("right_idx"), F.col("idx"))).alias("l"))
+def breakpoint_bounds(pairs: DataFrame, stops: DataFrame) -> DataFrame:
+    """(pair, right_idx, left_idx): going left from right_idx, the nearest marker that stops (0: none). pairs: (pair, right_idx);
+    stops: (pair, idx), see bound_stops."""
+    met = pairs.join(stops, "pair", "left").groupBy("pair", "right_idx").agg(F.max(F.when(F.col("idx") < F.col("right_idx"), F.col("idx"))).alias("l"))
     return met.select("pair", "right_idx", F.coalesce("l", F.lit(0)).alias("left_idx"))
 
 
+def bound_stops(pairs: DataFrame, sequences: DataFrame, markers: DataFrame) -> DataFrame:
+    """(pair, idx): markers at which the lower ends of two edges differ, or that the second edge isn't ancestral at.
+    pairs: (pair, rdst, cdst, lo, hi), lo and hi of the second edge (null: it is not in the graph, and all markers count as ancestral)."""
+    k = pairs.select("pair", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(float("inf"))).alias("hi"))
+    masks = interval_masks(k, markers, "pair").select("pair", "n", F.posexplode("mask").alias("chunk", "m"))
+    s = sequences.select(F.col("v").alias("rdst"), "chunk", F.col("bits").alias("a"))
+    d = sequences.select(F.col("v").alias("cdst"), "chunk", F.col("bits").alias("b"))
+    met = pairs.select("pair", "rdst", "cdst").join(masks, "pair").join(s, ["rdst", "chunk"], "left").join(d, ["cdst", "chunk"], "left")
+    zero = F.lit(0).cast("long")
+    x = F.coalesce("a", zero).bitwiseXOR(F.coalesce("b", zero)).bitwiseOR(F.bitwise_not("m"))
+    every = met.withColumn("x", x).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bits.CHUNK - 1))))
+    idx = (F.col("chunk") * bits.CHUNK + F.col("i") + 1).cast("int")
+    on = F.call_function("shiftrightunsigned", F.col("x"), F.col("i")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return every.where(on & (idx <= F.col("n"))).select("pair", idx.alias("idx"))
+
+
+def pair_mutations(a: Column, b: Column, mask: Column | None = None) -> Column:
+    """Number of markers at which two packed sequences differ, under a mask if one is given."""
+    x = bits.xor_(a, b)
+    return bits.popcount(x if mask is None else bits.and_(x, mask))
+
+
+def differs_at(edges: DataFrame, sequences: DataFrame, idx: int, name: str = "is_mutation") -> DataFrame:
+    """edges with whether the sequences of their ends differ at a marker."""
+    chunk, place = divmod(idx - 1, bits.CHUNK)
+    bit = F.call_function("shiftrightunsigned", F.col("bits"), F.lit(place)).bitwiseAND(F.lit(1).cast("long"))
+    s = sequences.where(F.col("chunk") == chunk).select("v", bit.alias("b"))
+    out = edges.join(s.select(F.col("v").alias("src"), F.col("b").alias("_a")), "src", "left").join(s.select(F.col("v").alias("dst"), F.col("b").alias("_b")), "dst", "left")
+    return out.withColumn(name, F.coalesce("_a", F.lit(0)) != F.coalesce("_b", F.lit(0))).drop("_a", "_b")
+
+
+def equal_under_masks(pairs: DataFrame, sequences: DataFrame, masks: DataFrame) -> DataFrame:
+    """(v1, v2, equal): whether two vertices have the same states at all markers that both are ancestral at.
+    pairs: (v1, v2); masks: (v, n, mask)."""
+    flat = masks.select("v", F.posexplode("mask").alias("chunk", "m")).join(sequences.select("v", "chunk", "bits"), ["v", "chunk"], "left").select("v", "chunk", "m", F.coalesce("bits", F.lit(0).cast("long")).alias("b"))
+    one, two = (flat.select(F.col("v").alias(f"v{i}"), "chunk", F.col("m").alias(f"m{i}"), F.col("b").alias(f"b{i}")) for i in (1, 2))
+    apart = F.col("b1").bitwiseXOR(F.col("b2")).bitwiseAND(F.col("m1")).bitwiseAND(F.col("m2"))
+    return pairs.join(one, "v1").join(two, ["v2", "chunk"]).groupBy("v1", "v2").agg((F.bit_or(apart) == 0).alias("equal"))
+
+
 def edgesmap(edges: DataFrame) -> DataFrame:
     """(src, dst, number): edges numbered from 1 by parent and child, by offsets of parents' counts."""
     e = edges.select("src", "dst").distinct()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from .intervals import bin_width
 from .sequences import packed_form
+from .storage import Ranges
 
 
 def parameters(haplotypes: DataFrame, mu: float = 1e-8, rho: float = 0.0, ne: float = 1e4) -> DataFrame:
@@ -33,20 +34,15 @@ def idx_to_pos(asked: DataFrame, markers: DataFrame) -> DataFrame:
 def pos_to_idx(asked: DataFrame, markers: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """keys and idx: for each position the smallest marker at or after it, the last marker beyond.
 
-    A forward as-of join: positions are cut into units; within a unit markers and questions are merged in order, and
-    what a unit cannot answer is the first marker of a later one (one row per unit).
+    A forward as-of join: markers and questions stand in one falling order of position, dealt by ranges; each question gets the
+    last marker met, from its own range or carried over from the ranges before.
     """
-    m = markers.select(F.col("position").alias("p"), "idx").withColumn("unit", F.floor("p"))
-    ask = asked.select(*keys, F.col(pos).alias("p")).withColumn("unit", F.floor("p"))
-    both = ask.withColumn("idx", F.lit(None).cast("int")).unionByName(m.select("p", "unit", "idx"), allowMissingColumns=True).withColumn("is_marker", F.col("idx").isNotNull())
-    # at equal positions the question comes first, so that the marker there answers it
-    order = Window.partitionBy("unit").orderBy("p", "is_marker").rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("near", F.first("idx", ignorenulls=True).over(order)).where("not is_marker")
-    units = m.groupBy("unit").agg(F.min("idx").alias("first"))
-    last = m.agg(F.max("idx").alias("last"))
-    gaps = near.select("unit").distinct().unionByName(units.select("unit"), allowMissingColumns=True).distinct().join(units, "unit", "left")
-    after = gaps.withColumn("later", F.first("first", ignorenulls=True).over(Window.orderBy("unit").rowsBetween(1, Window.unboundedFollowing))).select("unit", "later")
-    return near.join(after, "unit").crossJoin(F.broadcast(last)).select(*keys, F.coalesce("near", "later", "last").alias("idx"))
+    m = markers.select((-F.col("position")).alias("_at"), F.lit(0).alias("_kind"), F.col("idx").alias("_idx"))
+    ask = asked.select(*keys, (-F.col(pos).cast("double")).alias("_at"), F.lit(1).alias("_kind"))
+    dealt = Ranges(ask.unionByName(m, allowMissingColumns=True), [], ["_at", "_kind"])  # a marker answers questions at its place
+    told = dealt.running(dealt.rows, "idx", F.col("_idx"), "last").where("_kind = 1")
+    last = markers.agg(F.max("idx").alias("_last"))
+    return told.crossJoin(F.broadcast(last)).select(*keys, F.coalesce("idx", "_last").alias("idx"))  # one row
 
 
 def markers_in(ranges: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,18 +19,34 @@ def uniform(*keys: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def gumbel_max(df: DataFrame, group: list[str], item: str, potential: str, seed: int = 0) -> DataFrame:
+def gumbel_max(df: DataFrame, group: list[str], item: str, potential: str, seed: int = 0, u: Column | None = None, threshold: float = 1.0) -> DataFrame:
     """(group, item, log_p): one item of each group with chance proportional to exp(potential), by the highest
     potential plus Gumbel noise; a map-side combined maximum. Null and infinite potentials can't be drawn, unless a group
-    has no other: then its items are alike."""
+    has no other: then its items are alike. u: uniform numbers in (0, 1), else hashes of the seed, group and item.
+
+    threshold: the share of a group's items, in their order, that is looked at; the first item that can be drawn is in any case. log_p is the
+    drawn potential less that of all items looked at.
+    """
     ok = F.col(potential).isNotNull() & ~F.isnan(potential) & (F.abs(potential) < float("inf"))
-    noise = -F.ln(-F.ln(uniform(F.lit(seed), *(F.col(g) for g in group), F.col(item))))
-    x = df.withColumn("_x", F.when(ok, F.col(potential)))
-    some = x.groupBy(*group).agg(F.max_by(F.struct(item, "_x"), F.struct(F.col("_x").isNotNull(), F.coalesce("_x", F.lit(0.0)) + noise)).alias("b"), F.count(F.lit(1)).alias("n"))
+    u = uniform(F.lit(seed), *(F.col(g) for g in group), F.col(item)) if u is None else u
+    x = df.withColumns({"_x": F.when(ok, F.col(potential)), "_g": -F.ln(-F.ln(u))})
+    if threshold < 1:
+        own = Window.partitionBy(*group)
+        at = F.row_number().over(own.orderBy(item))
+        x = x.withColumns({"_at": at, "_n": F.count(F.lit(1)).over(own)})
+        first = F.min(F.when(F.col("_x").isNotNull(), F.col("_at"))).over(own)
+        x = x.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("_at") == F.col("_first")) | (F.col("_at") <= F.floor(F.col("_n") * threshold)))
+    some = x.groupBy(*group).agg(F.max_by(F.struct(item, "_x"), F.struct(F.col("_x").isNotNull(), F.coalesce("_x", F.lit(0.0)) + F.col("_g"))).alias("b"), F.count(F.lit(1)).alias("n"))
     lse = log_sum_exp(x.where("_x is not null"), group, "_x")
     return some.join(lse, group, "left").select(*group, F.col(f"b.{item}").alias(item), F.coalesce(F.col("b._x") - F.col("lse"), -F.ln("n")).alias("log_p"))
 
 
+def density(parts: DataFrame, group: list[str], log_p: str, logscale: bool = False) -> DataFrame:
+    """(group, density): of each genealogy, from the log chances of the steps that made it; further steps are further rows."""
+    total = F.sum(log_p)
+    return parts.groupBy(*group).agg((total if logscale else F.exp(total)).alias("density"))
+
+
 def log_grid(low: float, high: float, n: int = GRID) -> list[float]:
     """n + 1 latitudes from low to high, evenly spread in logarithm."""
     import math

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions import bits
 
 #: Haplotypes in a block of the distance matrix.
 BLOCK = 256
+#: Above any distance.
+_FAR = np.iinfo(np.int32).max
 
 
 def long_form(haplotypes: DataFrame) -> DataFrame:
@@ -52,28 +56,64 @@ def distance_matrix(haplotypes: DataFrame, distance: Callable[[Column, Column],
     return d.select(F.explode(both).alias("e"), "d").select("e.i", "e.j", "d")
 
 
-def nearest(haplotypes: DataFrame) -> DataFrame:
-    """(v, nearest, d): each haplotype's nearest other, the smallest number on ties."""
-    d = distance_matrix(haplotypes).where("i <> j")
-    return d.groupBy(F.col("i").alias("v")).agg(F.min(F.struct("d", "j")).alias("m")).select("v", F.col("m.j").alias("nearest"), F.col("m.d").alias("d"))
+def nearest(haplotypes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(v, nearest, d): each haplotype's nearest other, the smallest number on ties; none for one without others.
 
-
-def laws(pairs: DataFrame) -> DataFrame:
-    """(law, violations) of the algebra of sequences over pairs (n, a, b)."""
+    Blocks meet as in distance_matrix, each pair of blocks once; of a meeting only each member's best is kept, so that rows
+    grow with haplotypes times blocks and not with pairs. Lengths may differ between haplotypes only if their chunks don't.
+    """
+    blocks = max(1, -(-haplotypes.count() // block))
+    own = F.pmod(F.xxhash64("v"), F.lit(blocks))
+    packed = haplotypes.groupBy(own.alias("b")).agg(F.sort_array(F.collect_list(F.struct("v", "chunks"))).alias("rows"))
+    to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    dealt = packed.withColumn("o", to).select("b", "rows", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    met = dealt.where("b = x").select("x", "y", F.col("rows").alias("one")).join(dealt.where("b = y").select("x", "y", F.col("rows").alias("two")), ["x", "y"]).select("one", "two")
+
+    def best(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                (v, a), (w, b) = ((x.values.field("v").to_numpy(), np.stack(x.values.field("chunks").to_numpy(zero_copy_only=False))) for x in (one, two))
+                d = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
+                d[v[:, None] == w[None, :]] = _FAR
+                for name, other, dist in ((v, w, d), (w, v, d.T)):
+                    at = dist.argmin(axis=1)  # rows stand by number, so the first is the smallest
+                    least = dist[np.arange(len(name)), at]
+                    for c, x in zip(out, (name, least, other[at]), strict=True):
+                        c.append(x[least < _FAR])
+            cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in cols], ["v", "d", "j"])
+
+    found = met.mapInArrow(best, "v int, d int, j int")
+    return found.groupBy("v").agg(F.min(F.struct("d", "j")).alias("m")).select("v", F.col("m.j").alias("nearest"), F.col("m.d").alias("d"))
+
+
+def binned(haplotypes: DataFrame, bins: Column) -> DataFrame:
+    """(v, bins, bin, n): derived markers in each of `bins` runs of markers, as equal as can be, longer ones first."""
+    some = haplotypes.select("v", "n", bins.cast("int").alias("bins"), F.posexplode(bits.unpack(F.col("chunks"), F.col("n"))).alias("i", "derived"))
+    q, r = F.floor(F.col("n") / F.col("bins")), F.col("n") % F.col("bins")
+    at = F.when(F.col("i") < r * (q + 1), F.floor(F.col("i") / (q + 1))).otherwise(r + F.floor((F.col("i") - r * (q + 1)) / q))
+    return some.groupBy("v", "bins", at.cast("int").alias("bin")).agg(F.sum(F.col("derived").cast("int")).alias("n"))
+
+
+def laws(pairs: DataFrame, own: Column | None = None) -> DataFrame:
+    """(law, violations) of the algebra of sequences over pairs (n, a, b); own: what stands for `a` on the left sides, `a` itself
+    if not given."""
     a, b, n = F.col("a"), F.col("b"), F.col("n")
+    x = a if own is None else own
     one, zero = bits.ones(n), bits.zeros(n)
     checks = {
-        "equal to itself": a == a,
-        "text round trip": bits.parse(bits.to_string(a, n)) == a,
-        "double complement": bits.not_(bits.not_(a, n), n) == a,
-        "xor with zeros": bits.xor_(a, zero) == a,
-        "xor with itself": bits.xor_(a, a) == zero,
-        "xor with ones": bits.xor_(a, one) == bits.not_(a, n),
-        "and with ones": bits.and_(a, one) == a,
-        "and with zeros": bits.and_(a, zero) == zero,
-        "or with zeros": bits.or_(a, zero) == a,
-        "or with ones": bits.or_(a, one) == one,
-        "complement of and": bits.not_(bits.and_(a, b), n) == bits.or_(bits.not_(a, n), bits.not_(b, n)),
+        "equal to itself": x == a,
+        "text round trip": bits.parse(bits.to_string(x, n)) == a,
+        "double complement": bits.not_(bits.not_(x, n), n) == a,
+        "xor with zeros": bits.xor_(x, zero) == a,
+        "xor with itself": bits.xor_(a, x) == zero,
+        "xor with ones": bits.xor_(x, one) == bits.not_(a, n),
+        "and with ones": bits.and_(x, one) == a,
+        "and with zeros": bits.and_(x, zero) == zero,
+        "or with zeros": bits.or_(x, zero) == a,
+        "or with ones": bits.or_(x, one) == one,
+        "complement of and": bits.not_(bits.and_(x, b), n) == bits.or_(bits.not_(a, n), bits.not_(b, n)),
     }
     counts = [F.count_if(~ok).alias(f"c{i}") for i, ok in enumerate(checks.values())]
     row = pairs.agg(*counts)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import closure, shared_dir
+from .graph import closure
+from .storage import fresh_path, ranked
 
+#: Buckets that sites are dealt to when all leaves meet all sites.
+BUCKETS = 64
 NAMES = ("nodes", "edges", "sites", "mutations")
 
 
@@ -28,12 +29,30 @@ def mutations(mutation_edges: DataFrame) -> DataFrame:
     return mutation_edges.select((F.col("idx") - 1).alias("site"), (F.col("dst") - 1).alias("node"), F.lit("1").alias("derived_state"))
 
 
-def write(nodes_: DataFrame, edges_: DataFrame, sites_: DataFrame, mutations_: DataFrame, path: str | None = None) -> str:
-    """The four tables under path; edges ordered by the parent's time, parent, child and left end."""
-    path = path or f"{shared_dir(nodes_.sparkSession)}/trees-{uuid.uuid4().hex}"
+def unbuilt_tree(haplotypes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of a tree that is not built yet: the sample's leaves, room for one inner vertex less, all at latitude 0, and
+    no edge."""
+    n = haplotypes.agg(F.count(F.lit(1)).alias("n"))
+    inner = n.where("n > 1").select(F.explode(F.sequence(F.col("n") + 1, 2 * F.col("n") - 1)).alias("v"))
+    vertices = haplotypes.select(F.col("v").cast("long").alias("v"), F.lit("leaf").alias("kind")).unionByName(inner.withColumn("kind", F.lit("coal")))
+    edges_ = vertices.where(F.lit(False)).select(F.col("v").alias("src"), F.col("v").alias("dst"))
+    return vertices.withColumn("latitude", F.lit(0.0)), edges_
+
+
+def ordered_edges(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
+    """edges with id, their place from 0 by the parent's time, parent, child and left end."""
+    timed = edges_.join(nodes_.select(F.col("id").alias("parent"), "time"), "parent")
+    return ranked(timed, ["time", "parent", "child", "left"], "id").withColumn("id", F.col("id") - 1).drop("time")
+
+
+def write(nodes_: DataFrame, edges_: DataFrame, sites_: DataFrame, mutations_: DataFrame, path: str | None = None, provenance_: DataFrame | None = None) -> str:
+    """The four tables, and records of provenance (id, record) if given, under path; edges ordered by the parent's time, parent, child and left end."""
+    path = path or fresh_path(nodes_.sparkSession, "trees")
     timed = edges_.join(nodes_.select(F.col("id").alias("parent"), "time"), "parent").orderBy("time", "parent", "child", "left").select("left", "right", "parent", "child")
     for name, df in zip(NAMES, (nodes_, timed, sites_, mutations_), strict=True):
         df.write.parquet(f"{path}/{name}")
+    if provenance_ is not None:
+        provenance_.write.parquet(f"{path}/provenance")
     return path
 
 
@@ -44,8 +63,9 @@ def read_genotypes(spark: SparkSession, path: str) -> DataFrame:
     up = closure(edges_.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.col("left").alias("lo"), F.col("right").alias("hi")), leaves)
     at = muts.join(sites_.select(F.col("id").alias("site"), "position"), "site")
     hit = up.join(at, F.col("anc") == F.col("node")).where("lo <= position and (position < hi or lvl = 0)").groupBy("v", "site").agg((F.count(F.lit(1)) % 2 == 1).alias("derived"))
-    used = at.select("site").distinct()
-    every = leaves.join(F.broadcast(used))
+    # all pairs of leaves and sites are the result; they meet in buckets of sites
+    used = at.select("site").distinct().withColumn("b", F.pmod(F.col("site"), F.lit(BUCKETS)))
+    every = leaves.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))).join(used, "b").drop("b")
     return every.join(hit, ["v", "site"], "left").select((F.col("v") + 1).alias("v"), (F.col("site") + 1).alias("idx"), F.coalesce("derived", F.lit(False)).alias("derived"))
 
 

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import degrees, vertex_intervals, with_latitudes
+from .graph import degrees, with_latitudes
+from .intervals import simplify
+from .sample import interval_masks
 
-TREE_RULES = ["children lie below parents", "children have smaller numbers", "root has two children", "internal vertices have two children and a parent", "leaves have a parent alone", "one root"]
-GRAPH_RULES = ["leaves have a parent alone", "coalescences have two children", "recombinations have a child and two parents", "children lie below parents", "parental intervals are unions of child intervals", "leaf sequences are those of the sample", "one mutation per marker"]
+TREE_RULES = ["latitudes rise with vertex numbers", "children lie below parents", "children have smaller numbers", "root has two children", "internal vertices have two children and a parent", "leaves have a parent alone", "one root"]
+GRAPH_RULES = ["leaves have a parent alone", "leaves carry all places", "coalescences have two children and a parent, if any", "recombinations have a child and two parents", "children lie below parents", "parental intervals are unions of child intervals", "states are those that all children have", "leaf sequences are those of the sample", "one mutation per marker"]
 
 
 def _counted(rules: dict[str, DataFrame]) -> DataFrame:
@@ -22,27 +24,50 @@ def tree_violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     d = degrees(edges, vertices)
     lat = with_latitudes(edges, vertices)
     root = F.col("n_dads") == 0
-    checks = (lat.where("dst_lat > src_lat"), edges.where("dst >= src"), d.where(root & (F.col("n_children") != 2)), d.where("kind = 'coal' and n_dads > 0 and (n_children <> 2 or n_dads <> 1)"), d.where("kind = 'leaf' and (n_children <> 0 or n_dads <> 1)"), d.where(root).groupBy().count().where("count <> 1"))
+    inner = vertices.where("kind = 'coal'")
+    before = inner.select((F.col("v") + 1).alias("v"), F.col("latitude").alias("below"))
+    falls = inner.join(before, "v").where("latitude < below")
+    checks = (falls, lat.where("dst_lat > src_lat"), edges.where("dst >= src"), d.where(root & (F.col("n_children") != 2)), d.where("kind = 'coal' and n_dads > 0 and (n_children <> 2 or n_dads <> 1)"), d.where("kind = 'leaf' and (n_children <> 0 or n_dads <> 1)"), d.where(root).groupBy().count().where("count <> 1"))
     return _counted(dict(zip(TREE_RULES, checks, strict=True)))
 
 
-def graph_violations(vertices: DataFrame, edges: DataFrame, events: DataFrame, sequences: DataFrame, mutations: DataFrame, haplotypes: DataFrame) -> DataFrame:
+def _unlike_intervals(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, lo, hi) in which the union of a coalescence vertex's child intervals and that of its parental ones differ."""
+    inner = edges.select(F.col("dst").alias("v")).distinct().join(vertices.where("kind = 'coal'").select("v"), "v")
+    below = simplify(edges.select(F.col("src").alias("v"), "lo", "hi"), ["v"]).join(inner, "v", "left_semi")
+    above = simplify(edges.select(F.col("dst").alias("v"), "lo", "hi"), ["v"]).join(inner, "v", "left_semi")
+    both = below.withColumn("s", F.lit(1)).unionByName(above.withColumn("s", F.lit(2)))
+    return both.groupBy("v", "lo", "hi").agg(F.sum("s").alias("s")).where("s <> 3")
+
+
+def _unlike_states(edges: DataFrame, sequences: DataFrame, markers: DataFrame) -> DataFrame:
+    """(v, chunk) of inner vertices whose states at their markers are not the AND of their children's, each under its edge's mask."""
+    k = edges.select("src", "dst", F.struct("lo", "hi").alias("k"))
+    masks = interval_masks(k.select("k").distinct().select("k", "k.lo", "k.hi"), markers, "k").select("k", F.posexplode("mask").alias("chunk", "m"))
+    child = sequences.select(F.col("v").alias("dst"), "chunk", F.col("bits").alias("b"))
+    met = k.join(masks, "k").join(child, ["dst", "chunk"], "left")
+    want = met.groupBy(F.col("src").alias("v"), "chunk").agg(F.bit_and(F.coalesce("b", F.lit(0).cast("long")).bitwiseOR(F.bitwise_not("m"))).alias("want"), F.bit_or("m").alias("own"))
+    told = want.join(sequences.select("v", "chunk", "bits"), ["v", "chunk"], "left")
+    return told.where(F.coalesce("bits", F.lit(0).cast("long")).bitwiseAND(F.col("own")) != F.col("want").bitwiseAND(F.col("own")))
+
+
+def graph_violations(vertices: DataFrame, edges: DataFrame, sequences: DataFrame, mutations: DataFrame, haplotypes: DataFrame, markers: DataFrame) -> DataFrame:
     """(rule, violations) of a recombination graph. A consistent one has one mutation per marker; others
-    are told how many markers have more."""
+    are told how many markers have more or none."""
     d = degrees(edges, vertices)
     lat = with_latitudes(edges, vertices)
-    # above a coalescence stands the union of its child edges
-    below = vertex_intervals(edges, vertices).join(vertices.where("kind = 'coal'").select("v"), "v")
-    above = edges.select(F.col("dst").alias("v"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    unlike = below.join(above, "v").where("lo <> lo2 or hi <> hi2")
+    leaf = vertices.where("kind = 'leaf'").select(F.col("v").alias("dst"))
     h = haplotypes.select("v", F.posexplode("chunks").alias("chunk", "b"))
+    per = markers.select("idx").join(mutations.groupBy("idx").count(), "idx", "left")
     checks = (
         d.where("kind = 'leaf' and (n_children <> 0 or n_dads <> 1)"),
-        d.where("kind = 'coal' and n_children <> 2"),
+        edges.join(leaf, "dst", "left_semi").where((F.col("lo") != 0) | (F.col("hi") != float("inf"))),
+        d.where("kind = 'coal' and (n_children <> 2 or n_dads > 1)"),
         d.where("kind = 'rec' and (n_children <> 1 or n_dads <> 2)"),
         lat.where("dst_lat > src_lat"),
-        unlike,
-        sequences.join(h, ["v", "chunk"]).where("bits <> b"),
-        mutations.groupBy("idx").count().where("count <> 1"),
+        _unlike_intervals(edges, vertices),
+        _unlike_states(edges, sequences, markers),
+        h.join(sequences, ["v", "chunk"], "left").where(F.coalesce("bits", F.lit(0).cast("long")) != F.col("b")),
+        per.where(F.coalesce("count", F.lit(0)) != 1),
     )
     return _counted(dict(zip(GRAPH_RULES, checks, strict=True)))

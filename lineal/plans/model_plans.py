@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bernoulli as bm
-from ..operators import builders as bd
 from ..operators import graph as g
 from ..operators import sampling as sp
 from ..sources import fixtures as fx
@@ -83,14 +82,15 @@ def log_sum_exp(spark, sf_dir):
     return sp.log_sum_exp(o, ["custkey"], "x").select("custkey", F.round("lse", 6).alias("lse"))
 
 
-@query()
+@query("WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice / 1e5 AS x, -ln(-ln((o_orderkey * 7919 % 10007 + 0.5::DOUBLE) / 10007)) AS gm FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY x + gm DESC) AS j, ln(sum(exp(x)) OVER (PARTITION BY o_custkey)) AS lse FROM o) SELECT o_custkey AS custkey, o_orderkey AS orderkey, round(x - lse, 6) AS log_p FROM r WHERE j = 1")
 def gumbel_max(spark, sf_dir):
-    """One order of each customer, drawn by its price."""
-    o = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), (F.col("o_totalprice") / 1e5).alias("x"))
-    return sp.gumbel_max(o, ["custkey"], "orderkey", "x").select("custkey", "orderkey", F.round("log_p", 6).alias("log_p"))
+    """One order of each customer, drawn by its price, with numbers that order keys give."""
+    u = (F.col("o_orderkey") * 7919 % 10007 + 0.5) / 10007
+    o = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), (F.col("o_totalprice") / 1e5).alias("x"), u.alias("u"))
+    return sp.gumbel_max(o, ["custkey"], "orderkey", "x", u=F.col("u")).select("custkey", "orderkey", F.round("log_p", 6).alias("log_p"))
 
 
-@query(f"WITH {T}, w AS (SELECT src, dst, s.latitude - greatest(d.latitude, 10) AS w FROM te JOIN tv s ON s.v = src JOIN tv d ON d.v = dst WHERE s.latitude > 10) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(w, 6) AS w, round(ln(w) - ln((SELECT sum(w) FROM w)), 6) AS log_p FROM w")
+@query(f"WITH RECURSIVE {T}, w AS (SELECT src, dst, s.latitude - greatest(d.latitude, 10) AS w FROM te JOIN tv s ON s.v = src JOIN tv d ON d.v = dst WHERE s.latitude > 10) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(w, 6) AS w, round(ln(w) - ln((SELECT sum(w) FROM w)), 6) AS log_p FROM w")
 def sample_cedge(spark, sf_dir):
     """Edges to recoalesce on above latitude 10, with their chances."""
     v, e, _ = fx.tree(spark, sf_dir)
@@ -98,43 +98,16 @@ def sample_cedge(spark, sf_dir):
     return w.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.round("w", 6).alias("w"), F.round("log_p", 6).alias("log_p"))
 
 
-@query(f"""WITH {T}, z AS (SELECT max(latitude) AS tm FROM tv), gr AS (SELECT i, CASE WHEN i = 0 THEN 10 ELSE exp(ln(10::DOUBLE) + (ln(tm) - ln(10::DOUBLE)) * i / 25) END AS a, CASE WHEN i = 24 THEN tm ELSE exp(ln(10::DOUBLE) + (ln(tm) - ln(10::DOUBLE)) * (i + 1) / 25) END AS b FROM z, range(25) r(i)),
+@query(f"""WITH RECURSIVE {T}, z AS (SELECT max(latitude) AS tm FROM tv), gr AS (SELECT i, CASE WHEN i = 0 THEN 10 ELSE exp(ln(10::DOUBLE) + (ln(tm) - ln(10::DOUBLE)) * i / 25) END AS a, CASE WHEN i = 24 THEN tm ELSE exp(ln(10::DOUBLE) + (ln(tm) - ln(10::DOUBLE)) * (i + 1) / 25) END AS b FROM z, range(25) r(i)),
 b AS (SELECT d.latitude AS lo, s.latitude AS hi FROM te JOIN tv s ON s.v = src JOIN tv d ON d.v = dst), c AS (SELECT i, a, b, (SELECT count(*) FROM b x WHERE x.lo <= gr.a AND gr.a <= x.hi) AS n FROM gr),
 r AS (SELECT b AS top, n, sum(n * (b - a)) OVER (ORDER BY i) AS run FROM c), q AS (SELECT *, lag(run, 1, -1) OVER (ORDER BY run) AS before FROM r),
 u AS (SELECT o_orderkey AS key, -ln(1 - (o_orderkey * 7919 % 10007 + 0.5::DOUBLE) / 10007) * 400000 AS hazard FROM orders)
 SELECT key, round(CASE WHEN run IS NOT NULL THEN top + (hazard - run) / q.n ELSE (SELECT tm FROM z) + hazard - (SELECT max(run) FROM r) END, 4) AS clat FROM u LEFT JOIN q ON hazard <= run AND hazard > before""")
 def sample_clat(spark, sf_dir):
     """Recoalescence latitudes above 10 for hazards that order keys give."""
-    v, e, n = fx.tree(spark, sf_dir)
-    top = 20000.0 * (1.0 / (2 * n - (2 * n - 1)) - 1.0 / n)
-    grid = sp.log_grid(10.0, top)
+    v, e, _ = fx.tree(spark, sf_dir)
+    grid = sp.log_grid(10.0, v.agg(F.max("latitude")).first()[0])  # one number
     at = spark.createDataFrame([(x,) for x in grid[:-1]], "latitude double")
-    counts = g.live_lineages(e, v, at, top)
+    counts = g.live_lineages(e, v, at)
     draws = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (-F.ln(1 - (F.col("o_orderkey") * 7919 % 10007 + 0.5) / 10007) * 400000).alias("hazard"))
     return sp.recoalescence(draws, counts, grid).select("key", F.round("clat", 4).alias("clat"))
-
-
-def _replicates(spark, sf_dir):
-    """(chain_id, k, v, flags): a sample for each label and each ten of its vectors."""
-    e = fx.table(spark, sf_dir, "embeddings").where("embedding is not null")
-    return e.select(F.col("label").cast("long").alias("chain_id"), F.floor(F.col("vec_id") / 200).alias("k"), "vec_id", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("flags"))
-
-
-@query()
-def build_tree(spark, sf_dir):
-    """A coalescent tree for each label's vectors by two hundred: counts of broken rules, and its root."""
-    return bd.summarise_trees(bd.build_trees(_replicates(spark, sf_dir), ["chain_id", "k"], "vec_id", "flags", seed=1))
-
-
-@query()
-def build_arg(spark, sf_dir):
-    """A consistent recombination graph for each of those samples: events, broken rules, mutations and markers."""
-    return bd.summarise_graphs(bd.build_graphs(_replicates(spark, sf_dir), ["chain_id", "k"], "vec_id", "flags", seed=1))
-
-
-@query()
-def chain_simulate(spark, sf_dir):
-    """Importance weights and effective size of the replicates of each label."""
-    built = bd.summarise_graphs(bd.build_graphs(_replicates(spark, sf_dir), ["chain_id", "k"], "vec_id", "flags", seed=2))
-    chain = built.select("chain_id", "k", F.lit(0.0).alias("log_target"), F.col("log_density").alias("log_proposal"))
-    return sp.effective_size(chain).select("chain_id", F.round("ess", 6).alias("ess"))

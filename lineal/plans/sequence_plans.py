@@ -172,9 +172,14 @@ def nearest_haplotype(spark, sf_dir):
     return sq.nearest(fx.haplotypes(spark, sf_dir))
 
 
-@query("SELECT unnest(['equal to itself', 'text round trip', 'double complement', 'xor with zeros', 'xor with itself', 'xor with ones', 'and with ones', 'and with zeros', 'or with zeros', 'or with ones', 'complement of and']) AS law, CAST(0 AS BIGINT) AS violations FROM (SELECT count(*) FROM embeddings)")
+_LAWS = ["equal to itself", "text round trip", "double complement", "xor with zeros", "xor with itself", "xor with ones", "and with ones", "and with zeros", "or with zeros", "or with ones", "complement of and"]
+
+
+@query(f"WITH {PAIR}, k AS (SELECT v, bool_or(x <> y) AS apart, bool_or(y AND NOT x) AS more FROM p GROUP BY v), l AS (SELECT unnest({_LAWS!r}) AS law) SELECT 'same' AS which, law, CAST(0 AS BIGINT) AS violations FROM l UNION ALL SELECT 'next', law, CASE WHEN law IN ('and with zeros', 'or with ones') THEN 0 WHEN law = 'complement of and' THEN (SELECT count(*) FROM k WHERE more) ELSE (SELECT count(*) FROM k WHERE apart) END FROM l")
 def seq_laws(spark, sf_dir):
-    return sq.laws(_pairs(spark, sf_dir))
+    """Violations of the laws by each haplotype, and if the next one is put in its place."""
+    p = _pairs(spark, sf_dir)
+    return sq.laws(p).withColumn("which", F.lit("same")).unionByName(sq.laws(p, F.col("b")).withColumn("which", F.lit("next")))
 
 
 # sample and markers

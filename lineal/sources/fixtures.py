@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..operators.graph import arg_from_tree
+from ..operators.storage import ranked, running
 
 MARKERS = 64
 #: Minutes are counted from here.
@@ -45,15 +47,9 @@ def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx, position): the different retail prices in order. Prices are few, but a running number needs
-    them in one order: prices are cut by whole units first, and units are offset by running counts."""
-    from pyspark.sql import Window
-
-    p = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("position")).distinct().withColumn("unit", F.floor("position"))
-    counts = p.groupBy("unit").count()
-    before = counts.select("unit", (F.sum("count").over(Window.orderBy("unit")) - F.col("count")).alias("off"))
-    rank = F.row_number().over(Window.partitionBy("unit").orderBy("position"))
-    return p.withColumn("k", rank).join(before, "unit").select((F.col("off") + F.col("k")).cast("int").alias("idx"), "position")
+    """(idx, position): the different retail prices in order."""
+    p = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("position")).distinct()
+    return ranked(p, ["position"], "idx").select(F.col("idx").cast("int").alias("idx"), "position")
 
 
 def price_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,34 +74,53 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select((F.col("o_custkey") % 10).alias("chain_id"), F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 1e5).alias("log_target"), F.lit(0.0).alias("log_proposal"))
 
 
-def leaves(spark: SparkSession, sf_dir: str) -> int:
-    return table(spark, sf_dir, "embeddings").count()
+def leaf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, v, n, chunks): leaves in the order of their sequences as text, then of their numbers."""
+    h = haplotypes(spark, sf_dir).withColumn("text", bits.to_string(F.col("chunks"), F.col("n")))
+    return ranked(h, ["text", "v"], "pos").select(F.col("pos").cast("int").alias("pos"), "v", "n", "chunks")
+
+
+def _tree(spark: SparkSession, order: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    n = order.count()
+    # places 1 .. n are leaves in order, those above are inner vertices; places 2k - 1 and 2k are the children of n + k
+    down = F.sequence(F.lit(0), F.lit(n.bit_length()))
+    lowest = F.aggregate(down, F.col("id"), lambda at, _: F.when(at > n, 2 * (at - n) - 1).otherwise(at))
+    ids = spark.range(1, max(2, 2 * n - 1)).where(F.lit(n > 1)).select("id", lowest.cast("int").alias("pos"))
+    up = ids.join(order.select("pos", "v", "n", "chunks"), "pos")
+    k = F.floor((F.col("id") + 1) / 2)
+    left = up.where("id % 2 = 1").select(k.alias("k"), F.col("chunks").alias("a"))
+    right = up.where("id % 2 = 0").select(k.alias("k"), F.col("chunks").alias("b"))
+    steps = left.join(right, "k").select("k", (1 + bits.hamming(F.col("a"), F.col("b"))).cast("long").alias("step"))
+    inner = running(steps, "k", "step", "latitude").select((F.lit(n) + F.col("k")).cast("int").alias("v"), F.lit("coal").alias("kind"), F.col("latitude").cast("double").alias("latitude"))
+    vertices = order.select("v", F.lit("leaf").alias("kind"), F.lit(0.0).alias("latitude")).unionByName(inner)
+    edges = up.select((F.lit(n) + k).cast("int").alias("src"), F.when(F.col("id") <= n, F.col("v")).otherwise(F.col("id")).cast("int").alias("dst"))
+    return vertices, arg_from_tree(edges), n
 
 
 def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    """(vertices, edges, n): a balanced-by-number tree on the haplotypes, at expected coalescence times."""
-    n = leaves(spark, sf_dir)
-    v = F.col("id").cast("int")
-    latitude = F.when(v <= n, 0.0).otherwise(F.lit(20000.0) * (F.lit(1.0) / (F.lit(2 * n) - v) - F.lit(1.0) / F.lit(n)))
-    vertices = spark.range(1, 2 * n).select(v.alias("v"), F.when(v <= n, "leaf").otherwise("coal").alias("kind"), latitude.alias("latitude"))
-    parent = (F.lit(n) + F.floor((v + 1) / 2)).cast("int")
-    edges = spark.range(1, 2 * n - 1).select(parent.alias("src"), v.alias("dst"), F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"))
-    return vertices, edges, n
-
-
-def events(spark: SparkSession, n: int) -> DataFrame:
-    """(ridx, a, b, rvertex, cvertex, breakpoint, left_parent, right_parent, pb): independent recombinations."""
-    r = F.col("id")
-    a, b = 8 * r - 7, 8 * r - 5
-    up = lambda x: (F.lit(n) + F.floor((x + 1) / 2)).cast("int")
+    """(vertices, edges, n): a tree that joins neighbours in the order of their sequences, level by level. A vertex stands
+    above the one before it by one more than the markers at which its children's first leaves differ."""
+    return _tree(spark, leaf_order(spark, sf_dir))
+
+
+def _events(spark: SparkSession, order: DataFrame, n: int) -> DataFrame:
+    """(ridx, a, b, rvertex, cvertex, breakpoint, left_parent, right_parent, pb): independent recombinations of the leaves
+    at places 8r - 7 and 8r - 5, right of one of the markers at which they differ."""
+    end = lambda place, v, c: order.where(F.col("pos") % 8 == place).select(F.ceil(F.col("pos") / 8).cast("int").alias("ridx"), F.col("v").alias(v), F.col("n").alias("len"), F.col("chunks").alias(c))
+    r = F.col("ridx")
+    met = end(1, "a", "ca").join(end(3, "b", "cb").drop("len"), "ridx").where(r <= n // 8)
+    flags = bits.unpack(bits.xor_(F.col("ca"), F.col("cb")), F.col("len"))
+    met = met.withColumn("d", F.filter(F.transform(flags, lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull()))
+    at = F.when(F.size("d") == 0, 1).otherwise(F.least(F.get("d", F.pmod(r, F.greatest(F.size("d"), F.lit(1)))), F.col("len") - 1))
     rv = 2 * n + 2 * (r - 1)
-    return spark.range(1, n // 8 + 1).select(r.cast("int").alias("ridx"), a.cast("int").alias("a"), b.cast("int").alias("b"), rv.cast("int").alias("rvertex"), (rv + 1).cast("int").alias("cvertex"), (1 + (7 * r) % 63 + 0.5).alias("breakpoint"), up(a).alias("left_parent"), (rv + 1).cast("int").alias("right_parent"), up(b).alias("pb"))
+    return met.select("ridx", "a", "b", rv.alias("rvertex"), (rv + 1).alias("cvertex"), (at + 0.5).alias("breakpoint"), (F.lit(n) + 4 * r - 3).alias("left_parent"), (rv + 1).alias("right_parent"), (F.lit(n) + 4 * r - 2).alias("pb"))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(vertices, edges, events, n): the tree with its events applied."""
-    vertices, edges, n = tree(spark, sf_dir)
-    ev = events(spark, n)
+    order = leaf_order(spark, sf_dir)
+    vertices, edges, n = _tree(spark, order)
+    ev = _events(spark, order, n)
     gone = ev.select(F.explode(F.array("a", "b")).alias("dst"))
     inf = F.lit(float("inf"))
     e = lambda s, d, lo, hi: F.struct(s.alias("src"), d.alias("dst"), lo.alias("lo"), hi.alias("hi"))

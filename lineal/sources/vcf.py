@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_dir
+from ..operators.storage import fresh_path
 
 HEADER = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
 
@@ -16,7 +15,7 @@ def write(long: DataFrame, path: str | None = None) -> str:
     """Write (haplotype from 0, position, derived) as VCF, two haplotypes an individual, a line per
     marker; an odd last haplotype is left out. The path, a fresh one in the shared folder if none is given."""
     spark = long.sparkSession
-    path = path or f"{shared_dir(spark)}/vcf-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, "vcf")
     n = long.agg(F.max("haplotype")).first()[0]
     people = (n + 1) // 2 if n is not None else 0
     own = long.where(F.col("haplotype") < 2 * people)
