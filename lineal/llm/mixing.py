@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, offsets, unused
 
 #: Words in a block, and the fewest blocks that a source is cut into (so that small sources come near their targets too).
 BLOCK_WORDS, LEAST_BLOCKS = 128, 64
 #: Sources above this number are refused: their totals and targets are handled on the driver.
 MAX_SOURCES = 100_000
-#: Documents (and slots) that share a bucket for two-level running sums, about.
+#: Documents that share a bucket for running sums, about.
 PER_BUCKET = 1_000
 
 
@@ -51,6 +53,45 @@ class Mix:
     pieces: DataFrame
 
 
+def reversed_bits(t: np.ndarray, m: int) -> np.ndarray:
+    """The van der Corput point of each t, as a cell of 2^m."""
+    out = np.zeros_like(t)
+    for i in range(m):
+        out |= (t >> i & 1) << (m - 1 - i)
+    return out
+
+
+def points_before(t: np.ndarray, cell: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
+    """How many t' below each t have a cell below x; cell: that of t. The numbers below t are, for each of its bits that is set, those that
+    agree with it above the bit, have 0 there and anything below: their cells are evenly spaced."""
+    out = np.zeros_like(t)
+    for i in range(m):
+        first = cell & ((1 << (m - 1 - i)) - 1)
+        out += np.where(t >> i & 1, np.clip(-((first - x) >> (m - i)), 0, 1 << i), 0)
+    return out
+
+
+def _schedule(spark, ends: list[int], blocks: list[int]) -> DataFrame:
+    """(slot, s, rank, epoch, block), without a shuffle: the source of a slot is found in the cumulative quotas, and its rank among the
+    source's slots is counted in closed form."""
+    m = max(1, (ends[-1] - 1).bit_length())
+    high = np.array(ends, np.int64)
+    known = spark.sparkContext.broadcast((np.concatenate([[0], high[:-1]]), high, np.array(blocks or [1], np.int64)))  # at most MAX_SOURCES numbers
+
+    def slots(batches):
+        low, high, blocks = known.value
+        for b in batches:
+            t = b.column(0).to_numpy()
+            cell = reversed_bits(t, m)
+            inside = cell < high[-1]
+            t, cell = t[inside], cell[inside]
+            s = np.searchsorted(high, cell, side="right")
+            rank = points_before(t, cell, high[s], m) - points_before(t, cell, low[s], m)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s.astype(np.int32)), pa.array(rank), pa.array(rank // blocks[s]), pa.array(rank % blocks[s])], ["slot", "s", "rank", "epoch", "block"])
+
+    return spark.range((1 << m) if ends[-1] else 0).mapInArrow(slots, "slot long, s int, rank long, epoch long, block long")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=lambda i: 1 + i % 3, cap: int = 3, seed: int = 7, block_words: int = BLOCK_WORDS) -> Mix:
     """Plan a mix of all documents. Sources are ordered by code point, null last; weights(i) is the i-th's.
 
@@ -61,8 +102,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     over the schedule. The slots of a source are ranked; rank r takes block r modulo the number of its
     blocks, in epoch r div that number, and so no block more than cap times.
 
-    Running sums have two levels (hash buckets within a source, then rows within a bucket): a source with
-    most of the rows is spread over tasks. Null texts and texts without words have size 0 and take no
+    Running sums have three levels (blocks of hash buckets, buckets, rows within one): a source with
+    most of the rows is spread over tasks. The schedule takes no shuffle. Null texts and texts without words have size 0 and take no
     part; repeated rows are rows of their own, each with its own place. An empty table gives an empty mix.
     The number of sources is checked, as their totals pass through the driver.
     """
@@ -85,22 +126,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     # places in the shuffled streams
     d = base.join(small, base.source.eqNullSafe(sources.source)).select("key", "h", base.source, "size", "s", "blocks", "source_size", F.floor((F.shiftrightunsigned("h", 33) * F.col("buckets")) / F.lit(float(1 << 31))).alias("bucket"))
-    sums = d.groupBy("s", "bucket").agg(F.sum("size").alias("bz"))
-    offset = sums.select("s", "bucket", (F.sum("bz").over(Window.partitionBy("s").orderBy("bucket")) - F.col("bz")).alias("off"))
+    before = offsets(d.groupBy("s", "bucket").agg(F.sum("size").alias("bz")), ["s"], "bucket", "bz")
     within = Window.partitionBy("s", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = d.withColumn("run", F.sum("size").over(within)).join(offset, ["s", "bucket"]).select("key", "h", "source", "size", "s", "blocks", "source_size", (F.col("off") + F.col("run") - F.col("size")).alias("start"))
-
-    # the schedule
-    m = max(1, (ends[-1] - 1).bit_length())
-    reach = (1 << m) if ends[-1] else 0
-    cell = F.conv(F.reverse(F.lpad(F.bin("id"), m, "0")), 2, 10).cast("long")
-    slots = spark.range(reach).select(F.col("id").alias("t"), cell.alias("cell")).where(F.col("cell") < ends[-1])
-    slots = slots.join(small, (F.col("cell") >= F.col("low")) & (F.col("cell") < F.col("high"))).select("t", "s", "blocks", F.floor(F.col("t") / PER_BUCKET).alias("part"))
-    counts = slots.groupBy("s", "part").count()
-    before = counts.select("s", "part", (F.sum("count").over(Window.partitionBy("s").orderBy("part")) - F.col("count")).alias("off"))
-    rank = F.row_number().over(Window.partitionBy("s", "part").orderBy("t")) - 1
-    ranked = slots.withColumn("r", rank).join(before, ["s", "part"]).select(F.col("t").alias("slot"), "s", (F.col("off") + F.col("r")).alias("rank"), "blocks")
-    schedule = ranked.select("slot", "s", "rank", F.floor(F.col("rank") / F.col("blocks")).alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"))
+    placed = d.withColumn("run", F.sum("size").over(within)).join(before, ["s", "bucket"]).select("key", "h", "source", "size", "s", "blocks", "source_size", (F.col("off") + F.col("run") - F.col("size")).alias("start"))
+    schedule = _schedule(spark, ends, blocks)
 
     # which words of which document each block holds: block i is words [i z div b, (i + 1) z div b)
     first = F.expr("((start + 1) * blocks - 1) div source_size")
@@ -127,9 +156,11 @@ def taken(plan: Mix) -> DataFrame:
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
     """The rows of docs as often as the mix takes them: words taken over size, to the nearest number (half up).
-    Rows without words go. Repeated rows share what is taken of them all."""
+    Rows without words go. Repeated rows share what is taken of them all. An empty table stays so; other columns, of whatever
+    name, are kept."""
+    k, h, mark, n, i = unused(docs.columns, "_k", "_h", "_mark", "_n", "_i")
     got = taken(mix(docs, key, text, source, seed=seed, **how)).where("size > 0")
-    times = got.groupBy(F.col("key").alias("_k"), F.col("h").alias("_h")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
-    marked = docs.withColumn("_m", _mark(key, text, seed))
-    joined = marked.join(times, F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_m") == F.col("_h")))
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    times = got.groupBy(F.col("key").alias(k), F.col("h").alias(h)).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(n)).where(F.col(n) > 0)
+    marked = docs.withColumn(mark, _mark(key, text, seed))
+    joined = marked.join(times, F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.col(mark) == F.col(h)))
+    return joined.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -51,6 +51,12 @@ def op7_spotsigs(spark, sf_dir):
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_groups(spark, sf_dir):
+    """All documents by the search that op7's contract does not reach: sets partitioned by length, pruned Jaccard."""
+    members, _ = spotsigs.similar_groups(table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "class", "component")
+
+
 def op8_pieces(spark, sf_dir, model: str = MODEL):
     out = pieces.encode(table(spark, sf_dir, "documents"), model, 2)
     return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "inclusion", "log_inclusion")
@@ -69,7 +75,7 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_line_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_spotsigs, op8_pieces, op9_warc, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_line_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_spotsigs, op8_pieces, op9_warc, op10_topk, spotsigs_groups)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, coalesce(instr(url, '://'), 0) AS found, coalesce(substr(url, instr(url, '://') + 3), '') AS rest FROM pages),

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, components, materialize
+from .common import LOWER, UPPER, WORD, components, materialize, unused
 
 _LOWER = str.maketrans(UPPER, LOWER)
 _words = re.compile(WORD).findall
@@ -43,14 +43,14 @@ def simhash64(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(key, fp): fp is simhash64 of the whole text, its 64 bits as a signed long. One pass, no shuffle."""
+    """(key, th, fp): th a hash of the text, fp simhash64 of the whole text, its 64 bits as a signed long. One pass, no shuffle."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([simhash64(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["key", "fp"])
+            fp = np.array([simhash64(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["key", "th", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).mapInArrow(run, "key long, fp long")
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("t")).mapInArrow(run, "key long, th long, fp long")
 
 
 def radii(distance: int, segments: int) -> list[int]:
@@ -110,8 +110,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return fps.join(of, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that name their near-duplicate group: one document of each stays, that with the
-    smallest key. Rows that share the smallest key are the same document and all stay."""
-    first = near_duplicates(docs, key, text, **how).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_k")).distinct()
-    return docs.join(first, F.col(key) == F.col("_k"), "left_semi")
+def shingles(text: str | None, shingle: int) -> set[str]:
+    """The different word shingles of a text; of fewer words, the one of them all; of none, none."""
+    words = _words((text or "").translate(_LOWER))
+    return {" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def likeness(a: str | None, b: str | None, shingle: int) -> float:
+    """Jaccard likeness of two texts' shingles; 1 for two without words."""
+    x, y = shingles(a, shingle), shingles(b, shingle)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 2, segments: int = 2) -> DataFrame:
+    """The rows of docs that stand for their near-duplicate group: one document of each stays, that with the
+    smallest key, null keys last, and of that key the one with the smallest text hash. Rows that share key and text are one
+    document and all stay.
+
+    Different texts are linked if their fingerprints differ in `distance` bits at most and `similarity` or more of their
+    shingles are common (Jaccard); of texts with one fingerprint each is compared with the first, and firsts across fingerprints.
+    Texts without words are alike. Exact copies are one class and cost one search. An empty table stays so.
+    """
+    fps = materialize(fingerprints(docs, key, text, shingle), "fingerprints")
+    order = F.struct(F.col("key").isNull().alias("n"), "key", "th")
+    nodes = fps.groupBy("fp", "th").agg(F.min(order).alias("low")).withColumn("node", F.xxhash64("fp", "th"))
+    nodes = materialize(nodes, "texts-of-fingerprints")
+    firsts = nodes.groupBy("fp").agg(F.min(F.struct("low", "node")).alias("f")).select("fp", F.col("f.node").alias("first"))
+    near = hamming_links(fps, distance, segments)
+    across = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    within = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    pairs = materialize(across.unionByName(within), "near-texts")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
+    source = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    texts = materialize(wanted.join(source, F.col("low.key").eqNullSafe(F.col("k")) & (F.col("low.th") == F.col("h"))).select("node", "t").dropDuplicates(["node"]), "near-texts")
+
+    @F.pandas_udf("boolean")
+    def alike(a, b):
+        import pandas as pd
+
+        return pd.Series([likeness(x, y, shingle) >= similarity - 1e-12 for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    told = pairs.join(texts.select(F.col("node").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("node").alias("y"), F.col("t").alias("ty")), "y")
+    groups = components(told.where(alike("tx", "ty")).select("x", "y"), "x", "y").withColumnRenamed("node", "u")
+    grouped = nodes.join(groups, F.col("node") == F.col("u"), "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("low").alias("low"))
+    own, k, h = unused(docs.columns, "_own", "_k", "_h")
+    keep = grouped.select(F.col("low.key").alias(k), F.col("low.th").alias(h))
+    return docs.withColumn(own, F.xxhash64(text)).join(keep, F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.col(own) == F.col(h)), "left_semi").drop(own)

@@ -12,7 +12,7 @@ from .common import components, materialize
 #: Common words taken as anchors, content words in a chain.
 ANCHORS, CHAIN = 48, 3
 #: Documents in one range of keys, about; ranges at most (their bounds pass through the driver).
-PER_RANGE, MAX_RANGES = 1_000, 10_000
+PER_RANGE, MAX_RANGES = 1_000, 50_000
 SIMILARITY = 0.8
 _WORDS = r"[\p{L}\p{N}]+"
 

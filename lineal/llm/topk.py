@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import Ranges, ranked
 from .common import materialize
 
 #: Vectors in a bucket, queries in a block, longest vectors that give the first bound.
@@ -15,8 +16,8 @@ BUCKET, QUERIES, SEEDS = 2_048, 256, 512
 COORDINATES_FROM = 0.6
 #: Coordinates of a query that the coordinate bound looks at.
 FOCUS = 8
-#: Buckets whose bounds are compared with those of query blocks in one group.
-GROUPED = 64
+#: Bytes of vectors that a task packs into buckets, about.
+PART_BYTES = 64_000_000
 #: Below any score.
 NONE = -(1 << 62)
 
@@ -64,8 +65,8 @@ def _table(parts) -> pa.RecordBatch:
 def _blocks(df: DataFrame, per: int, order: str) -> DataFrame:
     """Rows packed into blocks of about `per`: (dim, block, keys, vs, low, high of `order`). Blocks are
     ranges of `order`, dealt by a range shuffle; equal values may cross blocks, so no block is unbounded."""
-    n = df.count()
-    parts = max(1, -(-n // per))
+    size = df.agg(F.sum(8 * F.col("dim") + 32)).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
     dealt = df.repartitionByRange(parts, "dim", order, "key")
     packed = dealt.withColumn("part", F.spark_partition_id())
     seq = F.floor((F.row_number().over(Window.partitionBy("part").orderBy("dim", order, "key")) - 1) / per)
@@ -120,12 +121,15 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", ve
     qb = materialize(qb.withColumn("qid", F.concat_ws("-", "part", "seq", "dim")).select("qid", "dim", "need", "asked"), "query-blocks")
     cb = materialize(_blocks(all_, BUCKET, "norm").withColumn("cid", F.concat_ws("-", "part", "seq", "dim")).select("cid", "dim", "low", "high", "rows"), "buckets")
 
-    # only the bounds of blocks meet here: one row per QUERIES queries and per BUCKET vectors
-    groups = max(1, cb.count() // GROUPED)
-    left = qb.select("qid", F.col("dim").alias("qdim"), "need", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qg"))
-    right = cb.select("cid", "dim", "high", F.pmod(F.xxhash64("cid"), F.lit(groups)).cast("int").alias("g"))
-    fits = (F.col("qdim") == F.col("dim")) & (F.col("qg") == F.col("g")) & (F.col("need") <= F.col("high") * (1 + 1e-9) + 1e-9)
-    near = left.join(right, fits).select("qid", "cid")
+    # buckets of one dimension are numbered from the longest on; a query block meets the first of them, as far as its bound says.
+    # Only numbers meet here: one row per QUERIES queries and per BUCKET vectors
+    numbers = materialize(ranked(cb.select("cid", "dim", (-F.col("high")).alias("short")), ["dim", "short", "cid"], "number"), "bucket-numbers")
+    needs = qb.select("qid", "dim", F.when(F.col("need") > 0, -(F.col("need") - 1e-9) / (1 + 1e-9)).otherwise(float("inf")).alias("short"), F.lit(1).alias("kind"))
+    line = needs.unionByName(numbers.select("dim", "short", F.lit(0).alias("kind"), "number"), allowMissingColumns=True)
+    dealt = Ranges(line, ["dim"], ["short", "kind"])
+    upto = dealt.running(dealt.rows, "last", F.col("number"), "max").where("kind = 1 and last is not null").select("qid", "dim", "last")
+    starts = numbers.groupBy("dim").agg(F.min("number").alias("first"))
+    near = upto.join(starts, "dim").select("qid", F.explode(F.sequence("first", "last")).alias("number")).join(numbers.select("number", "cid"), "number").select("qid", "cid")
     pairs = near.join(qb.select("qid", "asked"), "qid").join(cb.select("cid", "rows"), "cid").select("asked", "rows")
 
     def score(batches):
@@ -138,8 +142,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", ve
 
     found = pairs.mapInArrow(score, _OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    placed = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return placed.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _pair(a: pa.StructArray, c: pa.StructArray, k: int):

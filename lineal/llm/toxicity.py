@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 #: Labelled rows that the model is fitted on at most (the first by a hash of the key); terms that it weighs.
 SAMPLE, TERMS = 12_000, 384
@@ -96,7 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit on at most `sample` labelled documents.
 
     Labels say only toxic or not, so grades are derived: 0 for rows that aren't toxic; toxic ones get 1,
-    2 or 3 by how many mentions they hold of the terms most over-represented in toxic rows (GRADE_EDGES).
+    2 or 3 by how many mentions they hold of the terms most over-represented in toxic rows (GRADE_EDGES). So severity
+    re-learns counts of its own features; what labels can tell of the model is whether rows are toxic, see the held-out tests.
+    Repeated labels of a key count once, as toxic if any is.
     Term statistics of the sample are counted on Spark; the driver gets the chosen terms and, per sampled
     row, the counts of those alone. Null texts are empty; null labels and labels without a document are
     left out. No toxic row, none that isn't, or no telling term: a model that finds nothing.
@@ -174,6 +176,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         above = m.above(eta) if len(eta) else np.zeros((0, 3))
         return pd.DataFrame({"severity": above.sum(axis=1), "grade": (above >= threshold).sum(axis=1).astype("int32")})
 
-    out = docs.withColumn("_judged", judge(F.col(text)))
-    out = out.withColumns({"severity": F.col("_judged.severity"), "grade": F.col("_judged.grade")}).drop("_judged")
+    (judged,) = unused(docs.columns, "_judged")
+    out = docs.withColumn(judged, judge(F.col(text)))
+    out = out.withColumns({"severity": F.col(f"{judged}.severity"), "grade": F.col(f"{judged}.grade")}).drop(judged)
     return out.withColumn("is_toxic", F.col("grade") > 0)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: A rule list above this size is refused: the trie is broadcast, so its size must be bounded.
 MAX_RULES = 1_000_000
 
@@ -24,56 +26,55 @@ def split_url(url):
 
 
 class UrlTrie:
-    """Nested dicts: reversed host labels first, then whole path segments below the key "/"; rules that
-    end inside a segment hang at their last whole segment, longest first."""
+    """Nested dicts: reversed host labels first, then whole path segments. What a rule's path holds after its last "/"
+    is a beginning of a segment, kept in its node's "ends"; a rule without "/" is its node's "any"."""
 
     def __init__(self, rules: list[tuple[str, str]]):
         if len(rules) > MAX_RULES:
             raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be broadcast")
         self.root: dict = {}
-        for verdict, rule in rules:
+        for verdict, rule in sorted(rules, reverse=True):  # of equal rules "allow" comes last, and wins
             if verdict not in ("allow", "block"):
                 raise ValueError(f"verdict {verdict!r}")
             host, slash, path = rule.partition("/")
             node = self.root
             for label in reversed(host.translate(_UPPER).split(".")):
                 node = node.setdefault(("h", label), {})
-            *whole, tail = (slash + path).split("/")
-            for segment in whole[1:]:
+            if not slash:
+                node["any"] = (rule, verdict)
+                continue
+            *whole, tail = path.split("/")
+            for segment in whole:
                 node = node.setdefault(("p", segment), {})
-            # key: how many whole segments stand above; the tail is compared as a prefix
-            node.setdefault("ends", []).append((tail, bool(slash), rule, verdict))
-        stack = [self.root]
-        while stack:
-            node = stack.pop()
-            node.get("ends", []).sort(key=lambda x: (not x[1], -len(x[0]), x[3]))
-            stack += [v for k, v in node.items() if k != "ends"]
+            node.setdefault("ends", {})[tail] = (rule, verdict)
 
     def match(self, host: str, path: str) -> tuple[str | None, str | None]:
-        """(rule, verdict) of the longest fitting rule: more host labels win, then the longer path; of
-        equal rules "allow" wins."""
+        """(rule, verdict) of the longest fitting rule, by characters; of equally long ones that with more host labels."""
         best: tuple[str | None, str | None] = (None, None)
         node = self.root
-        segments = path.split("/") if path.startswith("/") else None
+        segments = path[1:].split("/") if path.startswith("/") else None
         for label in reversed(host.split(".")):
             node = node.get(("h", label))
             if node is None:
                 break
-            best = self._path(node, segments) or best
+            found = self._path(node, segments)
+            if found and len(found[0]) >= len(best[0] or ""):
+                best = found
         return best
 
     @staticmethod
     def _path(node: dict, segments: list[str] | None):
-        found, at = None, 0
-        while node is not None:
-            for tail, slash, rule, verdict in node.get("ends", ()):
-                if not slash or (segments is not None and at + 1 < len(segments) and segments[at + 1].startswith(tail)):
-                    found = (rule, verdict)
-                    break
-            if segments is None or at + 2 >= len(segments):
+        """The longest rule at a host: whole segments one by one, and at each the longest beginning of the next, whatever the number of rules."""
+        found = node.get("any")
+        for segment in segments or ():
+            if ends := node.get("ends"):
+                for n in range(len(segment), -1, -1):
+                    if (own := ends.get(segment[:n])) is not None:
+                        found = own
+                        break
+            node = node.get(("p", segment))
+            if node is None:
                 break
-            at += 1
-            node = node.get(("p", segments[at]))
         return found
 
 
@@ -81,7 +82,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", d
     """df with host, path, rule and verdict added (earlier columns of those names are replaced).
 
     A rule "host/path" fits its host and all subdomains if the url's path starts with the rule's path;
-    the longest wins. A url that no rule fits gets rule null and the default verdict. A null url, or one
+    the longest wins, by characters (of equally long ones that with more host labels, of equal ones "allow"). A url that no rule fits gets rule null and the default verdict. A null url, or one
     without "://", has an empty host and path. Repeated rows are judged each; an empty table stays so.
     One pass over the rows, no shuffle; the trie is broadcast, its size bounded by MAX_RULES.
     """
@@ -93,6 +94,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", d
         return pd.DataFrame([match(h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"], dtype=object)
 
     host, path = split_url(url)
-    out = df.withColumns({"host": host, "path": path}).withColumn("_judged", judge("host", "path"))
-    out = out.withColumns({"rule": F.col("_judged.rule"), "verdict": F.coalesce(F.col("_judged.verdict"), F.lit(default))})
-    return out.drop("_judged")
+    (judged,) = unused(df.columns, "_judged")
+    out = df.withColumns({"host": host, "path": path}).withColumn(judged, judge("host", "path"))
+    out = out.withColumns({"rule": F.col(f"{judged}.rule"), "verdict": F.coalesce(F.col(f"{judged}.verdict"), F.lit(default))})
+    return out.drop(judged)

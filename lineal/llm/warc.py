@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,9 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
-def records_of(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> list[bytes]:
-    """The record, or the record and its continuations, of one page."""
-    base = [("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
+def records_of(name: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> list[bytes]:
+    """The record, or the record and its continuations, of one page; name: what follows "urn:page:" in its identifier."""
+    base = [("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
     uri = "".join(c for c in url or "" if c >= " ").strip()
     if uri:
         base.insert(1, ("WARC-Target-URI", uri))
@@ -65,7 +66,7 @@ def records_of(page_id: int, url: str | None, payload: bytes, digest: str, refer
     cuts = range(0, len(block), segment_bytes)
     out = [_record([*fields, ("WARC-Segment-Number", 1)], block[:segment_bytes])]
     for number, at in enumerate(cuts[1:], 2):
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{number}>"), ("WARC-Segment-Origin-ID", f"<urn:page:{page_id}>"), ("WARC-Segment-Number", number)]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{name}:{number}>"), ("WARC-Segment-Origin-ID", f"<urn:page:{name}>"), ("WARC-Segment-Number", number)]
         if number == len(cuts):
             more.append(("WARC-Segment-Total-Length", len(block)))
         out.append(_record(more, block[at : at + segment_bytes]))
@@ -84,16 +85,16 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("p"))
     rows = rows.withColumns({"d": F.sha2("p", 256), "n": F.length("p")})
     firsts = rows.where(F.col("n") >= min_revisit).groupBy(F.col("d").alias("fd")).agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    told = rows.join(firsts, F.col("d") == F.col("fd"), "left").select("k", "u", "p", "d", F.when(F.col("first") != F.col("k"), F.col("first")).alias("r"))
+    told = rows.join(firsts, F.col("d") == F.col("fd"), "left").select("k", "u", "p", "d", F.when(~F.col("first").eqNullSafe(F.col("k")), F.col("first")).alias("r"))
 
     def write(batches):
+        place, number = TaskContext.get().partitionId(), 0
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(5)]
             out, size = [], 0
             for k, u, p, d, r in zip(*cols, strict=True):
-                if k is None:
-                    raise ValueError("a page without a key")
-                for x in records_of(k, u, p, d, r, segment_bytes):
+                number += 1
+                for x in records_of(f"{'' if k is None else k}#{place}-{number}", u, p, d, r, segment_bytes):
                     out.append(x)
                     size += len(x)
                 if size > 8_000_000:
@@ -155,9 +156,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     parts = files.mapInArrow(split, _PART)
     whole = parts.where("number is null").select("origin", "type", "refers_to", "digest", "length", "block")
-    pieces = parts.where("number is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("s"), F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"), F.max("length").alias("length"), F.max_by("type", -F.col("number")).alias("type"))
-    right = (F.expr("transform(s, x -> x.number)") == F.sequence(F.lit(1), F.size("s"))) & (F.coalesce(F.expr("element_at(s, -1).total"), F.lit(-1)) == F.expr("aggregate(s, 0L, (n, x) -> n + length(x.block))"))
-    block = F.when(right, F.expr("aggregate(s, cast('' as binary), (a, x) -> concat(a, x.block))")).otherwise(F.raise_error(F.concat(F.lit("segments missing or of a wrong length: "), F.col("origin"))).cast("binary"))
+    pieces = parts.where("number is not null").groupBy("origin").agg(F.sort_array(F.collect_list("number")).alias("numbers"), F.max_by("total", "number").alias("total"), F.sum(F.length("block")).alias("held"), F.expr("listagg(block) within group (order by number)").alias("whole"), F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"), F.max("length").alias("length"), F.max_by("type", -F.col("number")).alias("type"))
+    right = (F.col("numbers") == F.sequence(F.lit(1), F.size("numbers"))) & (F.coalesce("total", F.lit(-1)) == F.col("held"))
+    block = F.when(right, F.col("whole")).otherwise(F.raise_error(F.concat(F.lit("segments missing or of a wrong length: "), F.col("origin"))).cast("binary"))
     joined = pieces.select("origin", "type", "refers_to", "digest", "length", block.alias("block"))
 
     @F.pandas_udf("binary")
@@ -187,5 +188,5 @@ def archive_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url",
     with their page's key."""
     path = fresh_path(pages.sparkSession, "warc")
     write_warc(pages, path, key, url, html)
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(-?\d*)(?:#.*)?>$", 1), F.lit("")).cast("long")
     return read_warc(pages.sparkSession, path).select(page(F.col("record_id")).alias(key), "record_type", F.when(F.col("refers_to").isNotNull(), page(F.col("refers_to"))).alias("refers_to"), "digest", "length", "payload")

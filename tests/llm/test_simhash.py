@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from lineal.llm import common, simhash
@@ -97,7 +98,59 @@ def test_documents(frame):
     got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(df).collect()}
     want = groups([k for k, _ in rows], fps, 2)
     assert got == {k: (f, want[k]) for (k, _), f in zip(rows, fps)}
-    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
-    assert kept == set(want.values())
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    assert np.all([c in ("doc_id", "text", "fp") for c in simhash.keep_one(df).columns])
+
+
+def kept_by_brute_force(rows, shingle=5, similarity=0.8):
+    """(key, text) of the rows that stay; rows: (key, text). Texts are linked by their fingerprints and common shingles."""
+    texts = list(dict.fromkeys(t for _, t in rows))
+    fps = [simhash.simhash64(t, shingle) for t in texts]
+
+    def grams(t):
+        words = [w for w in re.split("[ \t-\r]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+    sets = [grams(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and (not sets[i] and not sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    best = {}
+    for k, t in rows:
+        g = root(texts.index(t))
+        best.setdefault(g, set()).add((k is None, k or 0))
+    return sorted(((k is None, k or 0) for k, t in rows if (k is None, k or 0) == min(best[root(texts.index(t))])))
+
+
+def test_one_of_each_group_stays(frame):
+    rng = random.Random(15)
+    text = lambda n: [str(rng.randint(0, 10**6)) for _ in range(n)]
+    rows = []
+    for i in range(10):
+        base = text(300)
+        for j in range(4):
+            x = list(base)
+            for _ in range(j):
+                x[rng.randrange(300)] = "other"
+            rows.append((i * 4 + j, " ".join(x)))
+    rows += [(100, rows[0][1]), (100, rows[0][1]), (None, rows[4][1]), (None, " ".join(text(30))), (None, "alone by itself"), (101, None), (102, ""), (103, " \t"), (104, "one"), (105, "ONE"), (106, "w " * 60_000)]
+    df = frame([(k, t, 1, "x", 2) for k, t in rows], "doc_id long, text string, _k int, _H string, node int")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == kept_by_brute_force(rows)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_hub_of_components(spark):
+    """One node with most of the edges."""
+    edges = spark.range(1, 5000).select((F.col("id") * 7).alias("a"), F.lit(0).cast("long").alias("b")).unionByName(spark.createDataFrame([(90_001, 90_000)], "a long, b long"))
+    got = common.components(edges).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {0: 5000, 90_000: 2}

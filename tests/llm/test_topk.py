@@ -24,7 +24,7 @@ def test_against_brute_force(frame, monkeypatch, bucket, block, seeds):
     monkeypatch.setattr(topk, "BUCKET", bucket)
     monkeypatch.setattr(topk, "QUERIES", block)
     monkeypatch.setattr(topk, "SEEDS", seeds)
-    monkeypatch.setattr(topk, "GROUPED", 2)
+    monkeypatch.setattr(topk, "PART_BYTES", bucket * 200)
     rng = random.Random(bucket)
     rows = [(i, [rng.gauss(0, 1) * (5 if i % 17 == 0 else 0.2) for _ in range(8)]) for i in range(150)]
     rows += [(200, None), (201, [1.0] * 7 + [None]), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (204, []), (205, [0.0] * 8), (206, [1.0, 2.0]), (207, [2.0, 1.0]), (208, rows[0][1]), (209, rows[0][1]), (210, [-3.0] * 8)]

@@ -1,6 +1,10 @@
+import math
+import os
 import random
+import re
 
 import numpy as np
+import pytest
 
 from lineal.llm import toxicity as tx
 
@@ -51,3 +55,37 @@ def test_no_labels_find_nothing(frame):
     for labels in ([], [(1, 1)], [(1, None), (None, 1)], [(1, 0), (2, 1)]):
         model = tx.fit(df, frame(labels, "doc_id long, toxic int"))
         assert tx.score(df, model).where("is_toxic").count() == 0
+
+
+def test_scores_are_those_of_the_formula(frame):
+    """Severity and grade, row by row, from the model's numbers alone; nulls, repeats and columns of clashing names."""
+    docs, labels = corpus(200, seed=4)
+    df = frame(docs, "doc_id long, text string")
+    model = tx.fit(df, frame(labels, "doc_id long, toxic int"))
+    rows = [(k, t, "a", 1) for k, t in docs[:60]] + [(1, None, "b", 2), (2, "", "c", 3), (3, docs[0][1], "d", 4), (3, docs[0][1], "d", 4), (None, docs[4][1] * 300, "e", 5)]
+    out = tx.score(frame(rows, "doc_id long, text string, _judged string, GRADE int"), model)
+    assert [c.lower() for c in out.columns].count("grade") == 1
+
+    def plain(text):
+        words = re.findall(r"\w+", (text or "").lower())
+        x = [0] * len(model.terms)
+        for term, i in model.terms.items():
+            x[i] = sum(w == term or (term.endswith("*") and len(w) >= len(term) - 1 and w.startswith(term[:-1])) for w in words)
+        eta = sum(w * math.log1p(n) for w, n in zip(model.weights, x)) + model.weights[-1] * math.log1p(len(words))
+        p = [1 / (1 + math.exp(t - eta)) if t - eta < 50 else 0.0 for t in model.thresholds]
+        return sum(p), sum(q >= 0.5 for q in p)
+
+    want = {t: plain(t) for _, t, _, _ in rows}
+    for r in out.collect():
+        s, g = want[r.text]
+        assert abs(r.severity - s) < 1e-9 and r.grade == g and r.is_toxic == (g > 0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no such tables")
+def test_toxic_rows_held_out_of_the_given_tables(spark):
+    """Fitted on even ids, odd ones are told: nine of ten toxic rows, and of the others hardly any."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = tx.fit(docs, labels.where("doc_id % 2 = 0"))
+    told = {(r.toxic, r.is_toxic): r["count"] for r in tx.score(docs.join(labels.where("doc_id % 2 = 1").select("doc_id", "toxic"), "doc_id"), model).groupBy("toxic", "is_toxic").count().collect()}
+    hit, miss, wrong, right = (told.get(k, 0) for k in ((1, True), (1, False), (0, True), (0, False)))
+    assert hit / (hit + miss) >= 0.9 and wrong / (wrong + right) <= 0.01, told

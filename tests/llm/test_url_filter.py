@@ -20,7 +20,7 @@ def test_trie_against_all_rules():
     trie = UrlTrie([(v, r) for r, v in seen.items()])
     for host in [*hosts, "q.a.b", "xa.b", "", ".a"]:
         for path in [*paths, "/x/y/z", "/x/yz/q", "/w"]:
-            best = max((r for r in seen if fits(r, host, path)), key=lambda r: (r.partition("/")[0].count("."), len(r)), default=None)
+            best = max((r for r in seen if fits(r, host, path)), key=lambda r: (len(r), r.partition("/")[0].count(".")), default=None)
             assert trie.match(host, path) == (best, seen.get(best)), (host, path)
 
 
@@ -37,5 +37,17 @@ def test_odd_urls(frame):
     assert r[11] == ("b:", "//c/d", None, "allow") and r[12][2:] == ("org/", "allow")
 
 
+def test_many_rules_of_one_host_repeats_and_names(frame):
+    """The longest rule wins by characters, even over one of a deeper host; beginnings of segments are looked up, not scanned."""
+    rules = [("allow", "x.org/"), ("block", "org/aaaaaaaaaa"), ("allow", "q.org/p"), ("block", "q.org/p"), ("block", "q.net")] + [("block", f"x.org/p{i}") for i in range(2000)]
+    trie = UrlTrie(rules)
+    assert trie.match("x.org", "/aaaaaaaaaab") == ("org/aaaaaaaaaa", "block") and trie.match("x.org", "/b") == ("x.org/", "allow")
+    assert trie.match("x.org", "/p1999x/y") == ("x.org/p1999", "block") and trie.match("q.org", "/pp") == ("q.org/p", "allow") and trie.match("a.q.net", "") == ("q.net", "block")
+    rows = [(1, "http://x.org/p7", "a", 2), (1, "http://x.org/p7", "a", 2), (None, "http://x.org/", "b", 3)]
+    out = filter_urls(frame(rows, "page_id long, url string, _judged string, _JUDGED_ int"), rules)
+    assert out.columns == ["page_id", "url", "_judged", "_JUDGED_", "host", "path", "rule", "verdict"]
+    assert sorted((r.rule, r._judged) for r in out.collect()) == [("x.org/", "b"), ("x.org/p7", "a"), ("x.org/p7", "a")]
+
+
 def test_empty_table(frame):
     assert filter_urls(frame([], "page_id long, url string"), queries.RULES).count() == 0

@@ -59,10 +59,20 @@ def _archive(spark, records):
 
 
 def test_broken_segments_raise(spark):
-    records = warc.records_of(1, "u", b"p" * 50_000, "0" * 64, None, 10_000)
+    records = warc.records_of("1#0-1", "u", b"p" * 50_000, "0" * 64, None, 10_000)
     assert len(records) > 3
     whole = warc.read_warc(spark, _archive(spark, records[::-1])).collect()
     assert len(whole) == 1 and bytes(whole[0].payload) == b"p" * 50_000
     for broken in (records[:-1], records[1:], [*records, records[1]], [records[0], *records[2:]]):
         with pytest.raises(Exception, match="segments missing"):
             warc.read_warc(spark, _archive(spark, broken)).collect()
+
+
+def test_null_keys_and_repeated_long_rows(frame):
+    """No two records share an identifier, so segments of equal rows don't mix; a null key is never the first of its payload."""
+    long, other = "<p>x</p>" * 9000, "<q>y</q>" * 9000
+    rows = [(None, "u", long), (7, "u", long), (7, "u", long), (None, "u", other), (None, "u", other), (None, "u", None), (3, None, "short")]
+    got = warc.archive_round_trip(frame(rows, "page_id long, url string, html string")).collect()
+    told = sorted(((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to or 0, r.length, None if r.payload is None else bytes(r.payload).decode()) for r in got), key=lambda x: (*x[:5], x[5] or ""))
+    want = [(False, 3, "response", 0, 5, "short"), *[(False, 7, "response", 0, len(long), long)] * 2, (True, 0, "response", 0, 0, ""), *[(True, 0, "response", 0, len(other), other)] * 2, (True, 0, "revisit", 7, len(long), None)]
+    assert told == sorted(want, key=lambda x: (*x[:5], x[5] or ""))
