@@ -8,14 +8,17 @@ import tempfile
 import numpy as np
 
 #: Bytes of queued tuples that a queue keeps in memory; beyond, its largest buckets go to an unnamed file.
-QUEUE_BYTES = 64_000_000
-_BUCKETS = 512
-_KINDS = (np.int32, np.int32, np.uint8)
-_TUPLE = 9
-#: Common prefixes are counted up to this length.
+QUEUE_BYTES = 8_000_000
+_BUCKETS = 192
+#: Common prefixes are counted up to this length, if no other is given.
 CAP = 250
-#: Reduced strings up to this length are sorted in memory by doubling; longer ones by induction again.
-SMALL = 1_000_000
+#: Reduced strings up to this length are sorted in memory by doubling, which ends the recursion; longer ones by induction again.
+SMALL = 400_000
+
+
+def _kind(cap: int):
+    """Type that holds common prefixes up to cap."""
+    return np.uint8 if cap <= 250 else np.int32
 
 
 class BulkQueue:
@@ -25,7 +28,9 @@ class BulkQueue:
     pushed are never below those taken, so a range is sorted once, when it is reached.
     """
 
-    def __init__(self, n_keys: int, limit: int | None = None):
+    def __init__(self, n_keys: int, cap: int = CAP, limit: int | None = None):
+        self.kinds = (np.int32, np.int32, _kind(cap))
+        self.tuple = sum(np.dtype(k).itemsize for k in self.kinds)
         self.width = max(2, -(-n_keys // _BUCKETS))
         self.parts: list[list] = [[] for _ in range(-(-n_keys // self.width) + 1)]
         self.held, self.limit, self.file, self.at = 0, QUEUE_BYTES if limit is None else limit, None, 0
@@ -43,7 +48,7 @@ class BulkQueue:
             for i, (lo, hi) in enumerate(zip(edges, edges[1:]), first):
                 if lo < hi:
                     self.parts[i].append((key[lo:hi], place[lo:hi], lcp[lo:hi]))
-        self.held += _TUPLE * len(key)
+        self.held += self.tuple * len(key)
         while self.held > self.limit and self._spill():
             pass
 
@@ -57,22 +62,22 @@ class BulkQueue:
         for i, x in enumerate(self.parts[most]):
             if isinstance(x[0], np.ndarray):
                 self.parts[most][i] = (self.file.tell(), len(x[0]))
-                for c, kind in zip(x, _KINDS, strict=True):
+                for c, kind in zip(x, self.kinds, strict=True):
                     self.file.write(np.ascontiguousarray(c, kind).tobytes())
-        self.held -= _TUPLE * sizes[most]
+        self.held -= self.tuple * sizes[most]
         return True
 
     def _load(self, x: tuple) -> tuple[np.ndarray, ...]:
         if isinstance(x[0], np.ndarray):
             return x
         self.file.seek(x[0])
-        return tuple(np.frombuffer(self.file.read(np.dtype(kind).itemsize * x[1]), kind) for kind in _KINDS)
+        return tuple(np.frombuffer(self.file.read(np.dtype(kind).itemsize * x[1]), kind) for kind in self.kinds)
 
     def front(self) -> tuple[np.ndarray, ...] | None:
         """All tuples of the lowest range that has any, sorted; None: the queue is empty."""
         while self.at < len(self.parts):
             if part := self.parts[self.at]:
-                self.held -= _TUPLE * sum(len(x[0]) for x in part if isinstance(x[0], np.ndarray))
+                self.held -= self.tuple * sum(len(x[0]) for x in part if isinstance(x[0], np.ndarray))
                 self.parts[self.at] = []
                 got = [self._load(x) for x in part]
                 if self.head is not None:
@@ -112,7 +117,7 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
         k += 1
 
 
-def _induce(text, wanted, runs, seeds, seed_lcp, n_chars, falling):
+def _induce(text, wanted, runs, seeds, seed_lcp, n_chars, falling, cap):
     """Order of the suffixes with `wanted` set, from sorted ones of the other type (in scan order).
 
     Scanning suffixes in order, each puts the one before it, if wanted, into the queue at its first
@@ -124,10 +129,10 @@ def _induce(text, wanted, runs, seeds, seed_lcp, n_chars, falling):
     code = 2 * (n_chars - 1 - text) if falling else 2 * text
     give = np.full(len(text), _NONE, np.int32)  # the key of the suffix before, if wanted
     give[1:] = np.where(wanted[:-1], code[:-1], _NONE)
-    queue = BulkQueue(2 * n_chars)
+    queue = BulkQueue(2 * n_chars, cap)
     queue.push(code[seeds] + 1, seeds, seed_lcp)  # seeds come after wanted ones of their character
     small = 2 * n_chars < 1 << 16
-    carry = np.full(2 * n_chars, -1, np.int16)  # least lcp since the last push under a key; none yet: -1
+    carry = np.full(2 * n_chars, -1, np.int32)  # least lcp since the last push under a key; none yet: -1
     out_place, out_lcp = [], []
     last_key, last_place = -2, -1
     while (head := queue.front()) is not None:
@@ -150,7 +155,7 @@ def _induce(text, wanted, runs, seeds, seed_lcp, n_chars, falling):
         for i in starts[(key[starts] & 1) == 1].tolist():  # a character's seeds after its wanted ones
             before, at = (int(key[i - 1]), place[i - 1]) if i else (last_key, last_place)
             if before == key[i] - 1:
-                scan[i] = min(CAP, runs[place[i]], runs[at])
+                scan[i] = min(cap, runs[place[i]], runs[at])
         last_key, last_place = int(key[-1]), int(place[-1])
         at = np.nonzero(target < _NONE)[0]
         if len(at):
@@ -158,21 +163,21 @@ def _induce(text, wanted, runs, seeds, seed_lcp, n_chars, falling):
             order = np.argsort(to.astype(np.uint16) if small else to, kind="stable")
             at, to = at[order], to[order]
             heads = np.concatenate([[0], np.nonzero(to[1:] != to[:-1])[0] + 1])
-            value = np.empty(len(at), np.uint8)
+            value = np.empty(len(at), scan.dtype)
             rest = np.ones(len(at), bool)
             rest[heads] = False
             rest = np.nonzero(rest)[0]
             if len(rest):
-                value[rest] = np.minimum(_range_min(scan, at[rest - 1] + 1, at[rest] + 1), CAP - 1) + 1
-            value[heads] = np.minimum(np.minimum(carry[to[heads]], np.minimum.accumulate(scan)[at[heads]]), CAP - 1) + 1
+                value[rest] = np.minimum(_range_min(scan, at[rest - 1] + 1, at[rest] + 1), cap - 1) + 1
+            value[heads] = np.minimum(np.minimum(carry[to[heads]], np.minimum.accumulate(scan)[at[heads]]), cap - 1) + 1
             queue.push(to, place[at] - 1, value)
             np.minimum(carry, scan.min(), out=carry)
             tails = np.append(heads[1:] - 1, len(to) - 1)
-            end = np.append(np.minimum.accumulate(scan[::-1])[::-1][1:], np.uint8(255))
+            end = np.append(np.minimum.accumulate(scan[::-1])[::-1][1:], np.iinfo(scan.dtype).max)
             carry[to[tails]] = end[at[tails]]
         else:
             np.minimum(carry, scan.min(), out=carry)
-    return (np.concatenate(out_place), np.concatenate(out_lcp)) if out_place else (np.zeros(0, np.int32), np.zeros(0, np.uint8))
+    return (np.concatenate(out_place), np.concatenate(out_lcp)) if out_place else (np.zeros(0, np.int32), np.zeros(0, _kind(cap)))
 
 
 def _names(text, lms, ends, stops, n_chars, types, runs):
@@ -231,14 +236,14 @@ def _within(same: np.ndarray) -> np.ndarray:
     return i - np.maximum.accumulate(np.where(~same, i, 0))
 
 
-def suffix_array(text: np.ndarray, n_chars: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, n_chars: int, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
     """(places, lcp) of all suffixes of strings that each end with a separator 0; other characters are
     from 1 to n_chars - 1. Separators differ, the earlier is the smaller; suffixes of separators come first.
-    lcp is that with the suffix before, up to CAP; a separator never counts."""
+    lcp is that with the suffix before, up to cap; a separator never counts."""
     text = np.asarray(text, np.int32)
     n = len(text)
     if not n:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        return np.zeros(0, np.int32), np.zeros(0, _kind(cap))
     seps = np.nonzero(text == 0)[0]
     place = np.arange(n, dtype=np.int32)
     step = np.zeros(n, np.int32)
@@ -266,25 +271,25 @@ def suffix_array(text: np.ndarray, n_chars: int) -> tuple[np.ndarray, np.ndarray
     else:
         small = np.where(at_sep, 0, dense - int(at_sep.sum()) + 1)
         sort = suffix_array if len(small) > SMALL else _by_doubling
-        sub, sub_lcp = sort(small, n_names - int(at_sep.sum()) + 1)
+        sub, sub_lcp = sort(small, n_names - int(at_sep.sum()) + 1, cap)
         same = sub_lcp[1:].astype(np.int64)  # so many names are common; then two differ
         x, y = sub[:-1] + same, sub[1:] + same
         base = lms[x] - lms[sub[:-1]]
         low, high = np.minimum(dense[x], dense[y]), np.maximum(dense[x], dense[y])
-        shared = np.zeros(len(x), np.int64)  # the same name: they share CAP names or more
+        shared = np.zeros(len(x), np.int64)  # the same name: they share cap names or more
         apart = np.nonzero(low < high)[0]
         if len(apart):
             shared[apart] = _range_min(step_lcp, low[apart] + 1, high[apart] + 1)
-    seeds, seed_lcp = lms[sub], np.zeros(len(sub), np.uint8)
+    seeds, seed_lcp = lms[sub], np.zeros(len(sub), _kind(cap))
     a, b = lms[x] + shared, lms[y] + shared
     # equal characters of unlike types: the shorter run of them is common too
-    seed_lcp[1:] = np.minimum(CAP, base + shared + np.where(text[a] == text[b], np.minimum(runs[a], runs[b]), 0))
-    falls, low_lcp = _induce(text, ~rises & ~is_sep, runs, seeds, seed_lcp, n_chars, False)
-    rest, rest_lcp = _scan_down(text, rises & ~is_sep, runs, falls, low_lcp, n_chars)
-    return _merge(text, runs, seps, falls, low_lcp, rest, rest_lcp)
+    seed_lcp[1:] = np.minimum(cap, base + shared + np.where(text[a] == text[b], np.minimum(runs[a], runs[b]), 0))
+    falls, low_lcp = _induce(text, ~rises & ~is_sep, runs, seeds, seed_lcp, n_chars, False, cap)
+    rest, rest_lcp = _scan_down(text, rises & ~is_sep, runs, falls, low_lcp, n_chars, cap)
+    return _merge(text, runs, seps, falls, low_lcp, rest, rest_lcp, cap)
 
 
-def _by_doubling(text: np.ndarray, n_chars: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_doubling(text: np.ndarray, n_chars: int, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
     """As suffix_array, for strings in memory: ranks of prefixes of 1, 2, 4, ... characters."""
     n = len(text)
     rank = np.where(text == 0, np.cumsum(text == 0) - 1, text.astype(np.int64) + np.count_nonzero(text == 0))
@@ -307,33 +312,33 @@ def _by_doubling(text: np.ndarray, n_chars: int) -> tuple[np.ndarray, np.ndarray
         same = (np.maximum(a, b) < n) & (levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)])
         a, b = a + (same << k), b + (same << k)
         lcp[1:] += same << k
-    return order.astype(np.int32), np.minimum(lcp, CAP).astype(np.uint8)
+    return order.astype(np.int32), np.minimum(lcp, cap).astype(_kind(cap))
 
 
-def _scan_down(text, wanted, runs, falls, low_lcp, n_chars):
+def _scan_down(text, wanted, runs, falls, low_lcp, n_chars, cap):
     """The S suffixes, rising, from the L suffixes, by a scan from the highest."""
     seeds = falls[::-1]
     seed_lcp = _next_to_before(low_lcp[::-1])
-    got, lcp = _induce(text, wanted, runs, seeds, seed_lcp, n_chars, True)
+    got, lcp = _induce(text, wanted, runs, seeds, seed_lcp, n_chars, True, cap)
     return got[::-1], _next_to_before(lcp[::-1])
 
 
 def _next_to_before(lcp):
     """lcp with the element before, of a sequence that was turned around."""
-    out = np.zeros(len(lcp), np.uint8)
+    out = np.zeros(len(lcp), lcp.dtype)
     out[1:] = lcp[:-1]
     return out
 
 
-def _merge(text, runs, seps, falls, low_lcp, rises, high_lcp):
+def _merge(text, runs, seps, falls, low_lcp, rises, high_lcp, cap):
     """All suffixes: separators, then by character L before S."""
     place = np.concatenate([seps.astype(np.int32), falls, rises])
-    lcp = np.concatenate([np.zeros(len(seps), np.uint8), low_lcp, high_lcp])
+    lcp = np.concatenate([np.zeros(len(seps), low_lcp.dtype), low_lcp, high_lcp])
     key = 2 * text[place]
     key[len(seps) + len(falls) :] += 1
     order = np.argsort(key.astype(np.uint16) if int(key.max(initial=0)) < 1 << 16 else key, kind="stable")
     place, lcp, key = place[order], lcp[order], key[order]
     new = np.nonzero(key[1:] != key[:-1])[0] + 1
-    lcp[new] = np.where(key[new] >> 1 == key[new - 1] >> 1, np.minimum(CAP, np.minimum(runs[place[new]], runs[place[new - 1]])), 0)
+    lcp[new] = np.where(key[new] >> 1 == key[new - 1] >> 1, np.minimum(cap, np.minimum(runs[place[new]], runs[place[new - 1]])), 0)
     lcp[: max(1, len(seps))] = 0
     return place, lcp

@@ -81,6 +81,12 @@ def test_small_shards_and_blocks_agree(frame, monkeypatch):
     assert got(suffix_dedup.repeated_strings(df)) == brute(rows, suffix_dedup.LENGTH)
     b = (corpus()[0][1] * 3).encode()
     whole = suffix_dedup.segments(b)
+    blobs = [(t or "").encode() for _, t in corpus()] + [b, b""]
+    h, text, start, n, twice, at, joined = suffix_dedup.many_segments(blobs)
+    for i, own in enumerate(blobs):
+        one, mine = suffix_dedup.segments(own), text == i
+        assert [x.tolist() for x in one[:3]] == [x[mine].tolist() for x in (h, start, n)] and not (one[3] & ~twice[mine]).any()
+        assert all(joined[a : a + 100] == own[s : s + 100] for a, s in zip(at[mine].tolist(), start[mine].tolist()))
     monkeypatch.setattr(suffix_dedup, "_BLOCK", 37)
     cut = suffix_dedup.segments(b)
     spread = lambda s: [h for h, n in zip(s[0].tolist(), s[2].tolist()) for _ in range(n)]
@@ -114,3 +120,50 @@ def test_repeats_of_a_string_window_s_own_period(frame, period):
     want = brute(rows, suffix_dedup.LENGTH)
     assert all(x[1] > 0 for x in want.values())
     assert got(suffix_dedup.repeated_strings(frame(rows, "doc_id long, text string"))) == want
+
+
+@pytest.mark.parametrize("length", [60, 300])
+def test_other_lengths(frame, length):
+    rng = random.Random(length)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(700)
+    rows = [(i, text(90) + shared[50 * i :] + text(40)) for i in range(6)] + [(9, "q" * 900), (10, text(20) * 40)]
+    want = brute(rows, length)
+    assert sum(x[1] > 0 for x in want.values()) >= 7
+    assert got(suffix_dedup.repeated_strings(frame(rows, "doc_id long, text string"), length=length)) == want
+
+
+@pytest.mark.parametrize("hot", [0, 300])
+def test_a_phrase_in_every_document(frame, monkeypatch, hot):
+    """Names whose different contexts hold more strings than a shard may."""
+    monkeypatch.setattr(suffix_dedup, "HOT_STRINGS", hot)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = text(170)
+    rows = [(i, text(rng.randint(0, 60)) + phrase + text(rng.randint(0, 60))) for i in range(50)]
+    rows += [(60, rows[3][1]), (61, rows[4][1][5:]), (62, phrase * 3), (63, "z" * 400), (64, None)]
+    df = frame(rows + [(60, rows[3][1])], "doc_id long, text string")
+    assert got(suffix_dedup.repeated_strings(df)) == brute(rows, suffix_dedup.LENGTH)
+
+
+def test_a_shard_beyond_the_queue_s_memory(monkeypatch):
+    """With the constants of the query: queues go to disk, and the recursion runs more than once."""
+    spilled, depth = [], []
+    spill, sort = induced.BulkQueue._spill, induced.suffix_array
+    monkeypatch.setattr(induced.BulkQueue, "_spill", lambda self: spilled.append(1) or spill(self))
+    monkeypatch.setattr(induced, "suffix_array", lambda *a: depth.append(len(a[0])) or sort(*a))
+    rng = np.random.default_rng(1)
+    pool = rng.integers(1, 60, 40_000)
+    parts = []
+    for at in rng.integers(0, 39_000, 34_000):
+        parts += [pool[at : at + 170], np.zeros(1, np.int64)]
+    text = np.concatenate(parts)
+    place, lcp = induced.suffix_array(text, 60)
+    assert len(text) * 9 > 3 * induced.QUEUE_BYTES and spilled and len(depth) >= 2
+    raw, ends = text.astype(np.uint8).tobytes(), np.nonzero(text == 0)[0]
+    assert np.array_equal(np.sort(place), np.arange(len(text)))
+    end = ends[np.searchsorted(ends, place)]
+    for i in rng.integers(1, len(text), 60_000).tolist():
+        a, b = raw[place[i - 1] : end[i - 1]], raw[place[i] : end[i]]
+        n = int(lcp[i])
+        assert a[:n] == b[:n] and (a < b or (a == b and place[i - 1] < place[i])) and (n == 250 or n == min(len(a), len(b)) or a[n] != b[n])
