@@ -73,7 +73,7 @@ def nearest(haplotypes: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             out = [[], [], []]
             for one, two in zip(batch.column(0), batch.column(1), strict=True):
-                (v, a), (w, b) = ((x.values.field("v").to_numpy(), np.stack(x.values.field("chunks").to_numpy(zero_copy_only=False))) for x in (one, two))
+                (v, a), (w, b) = ((x.values.field("v").to_numpy(), np.stack(x.values.field("chunks").to_numpy(zero_copy_only=False)).view(np.uint64)) for x in (one, two))
                 d = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
                 d[v[:, None] == w[None, :]] = _FAR
                 for name, other, dist in ((v, w, d), (w, v, d.T)):

@@ -79,6 +79,16 @@ def edges_rec(spark, sf_dir):
     return _long(tr.edges_down(e, 2 * c.n - 1, g.meets(LO, HI), tr.rec_candidates(float(IDX), LOW)), "src", "dst")
 
 
+@query(f"{SEQ_A}, {K}, {_REC}, {_down('ok', _IN)}, w AS (SELECT td.src, td.dst, sl - greatest(dl, {LOW}) AS w FROM td JOIN ak USING (src, dst) WHERE sl > {LOW}) SELECT {_ENDS}, round(w, 6) AS w, round(ln(w) - ln((SELECT sum(w) FROM w)), 6) AS log_p FROM w")
+def sample_cedge_window(spark, sf_dir):
+    """Those edges with their chances, by their lengths above latitude 5."""
+    c, e = _walk(spark, sf_dir)
+    told = tr.with_sides(tr.with_states(e, c.sequences, IDX, IDX), c.events)
+    some = tr.edges_down(told, 2 * c.n - 1, g.meets(LO, HI), tr.rec_candidates(float(IDX), LOW)).select("src", "dst")
+    w = sp.edge_weights(some.join(e, ["src", "dst"]), LOW)
+    return w.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.round("w", 6).alias("w"), F.round("log_p", 6).alias("log_p"))
+
+
 _AT = f"{{0}}lo <= {IDX} AND {{0}}hi > {IDX}"
 _COAL = f"""st AS (SELECT v, derived FROM vs WHERE idx = {IDX}), f AS (SELECT pa, rv FROM ev WHERE ridx = 1), ok AS (SELECT ak.* FROM ak LEFT JOIN st ON st.v = dst WHERE NOT coalesce(derived, false) AND sl >= {LOW} AND NOT EXISTS (SELECT 1 FROM f WHERE f.pa = src AND f.rv = dst))"""
 
@@ -340,3 +350,19 @@ def gumbel_max_threshold(spark, sf_dir):
     u = (F.col("o_orderkey") * 7919 % 10007 + 0.5) / 10007
     o = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), (F.col("o_totalprice") / 1e5).alias("x"), u.alias("u"))
     return sp.gumbel_max(o, ["custkey"], "orderkey", "x", u=F.col("u"), threshold=0.5).select("custkey", "orderkey", F.round("log_p", 6).alias("log_p"))
+
+
+_CONVERTED = """f AS (SELECT * FROM ev WHERE ridx = 1), ce AS (SELECT ae.src, ae.dst, CASE WHEN ae.dst = rv AND ae.src = cv THEN bp / 2 ELSE lo END AS lo, CASE WHEN ae.dst = rv AND ae.src <> cv THEN bp / 2 ELSE hi END AS hi FROM ae, f)"""
+
+
+@query(f"""WITH RECURSIVE {A}, {HAP}, {_CONVERTED}, cl AS (SELECT CAST(v AS BIGINT) AS anc, CAST(v AS BIGINT) AS v, CAST(0 AS DOUBLE) AS lo, CAST('infinity' AS DOUBLE) AS hi FROM lo
+  UNION ALL SELECT ce.src, cl.v, greatest(cl.lo, ce.lo), least(cl.hi, ce.hi) FROM cl JOIN ce ON ce.dst = cl.anc WHERE greatest(cl.lo, ce.lo) < least(cl.hi, ce.hi))
+SELECT anc AS v, idx, bool_and(derived) AS derived FROM cl JOIN hap ON hap.v = cl.v AND lo <= idx AND idx < hi GROUP BY anc, idx""")
+def update_upstream(spark, sf_dir):
+    """Sequences after the gene conversion of the first recombination, made again only above it."""
+    c = Case(spark, sf_dir)
+    f = c.events.where("ridx = 1").first()
+    edges = materialize(g.convert(c.edges, (f.right_parent, f.rvertex), f.left_parent, f.breakpoint / 2))
+    changed = spark.createDataFrame([(f.rvertex,)], "v int")
+    out = mu.update_upstream(c.sequences, edges, changed, fx.markers(spark, sf_dir))
+    return mu.long_sequences(out).select(F.col("v").cast("long").alias("v"), "idx", "derived")

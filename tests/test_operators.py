@@ -218,9 +218,9 @@ def test_ranks_and_chains(spark):
 
 def test_nearest_by_blocks(spark):
     rng = random.Random(4)
-    rows = [(v, 70, [rng.getrandbits(60), rng.getrandbits(6)]) for v in range(1, 41)] + [(99, 70, [0, 0])]
+    rows = [(v, 70, [rng.getrandbits(64) - (1 << 63), rng.getrandbits(6)]) for v in range(1, 41)] + [(99, 70, [0, 0])]
     got = {r.v: (r.nearest, r.d) for r in sq.nearest(spark.createDataFrame(rows, "v int, n int, chunks array<long>"), block=7).collect()}
-    d = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    d = lambda a, b: sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(a, b))
     for v, _, c in rows:
         dist, w = min((d(c, x), w) for w, _, x in rows if w != v)
         assert got[v] == (w, dist)
