@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Power of the pieces' chances: the lower, the more alike are segmentations.
 ALPHA = 0.5
 #: Choices of lattices that a worker remembers from text to text, of 20 bytes each, with some 6 for their nodes and names.
-CHOICES = 2_000_000
+CHOICES = 1_000_000
 #: Characters of texts that are drawn together, about; of new lattices that are made together, at least.
 TOGETHER, MADE = 150_000, 40_000
 #: Decisions of a sample whose alternatives are drawn at once; the rest waits as one region.
@@ -556,7 +556,7 @@ def encode(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
     repeated rows and reruns give equal results. A text with fewer than k segmentations gives all of them; a
     null or empty text gives one without ids. Texts of any length are held whole, one at a time, and no word or piece is
     cut: a lattice ends only where no piece can cross (see Lattices). A worker remembers lattices of up to CHOICES
-    choices (some 50 MB) and forgets them all beyond; while it draws, it needs about 40 bytes for each character of a text, and some 150
+    choices (some 30 MB) and forgets them all beyond; while it draws, it needs about 40 bytes for each character of a text, and some 150
     for each of a stretch that it has not met before. The model file is
     read on the driver and its pieces (as many as the model has) are broadcast. No shuffle.
     """

@@ -25,7 +25,7 @@ LEAST_Z = 5.0
 #: Mentions from which a toxic document is of grade 2 and of grade 3 (below: grade 1).
 GRADE_EDGES = (3, 6)
 #: Words whose terms a worker remembers.
-MEMO = 400_000
+MEMO = 100_000
 
 _words = re.compile(r"\w+").findall
 
