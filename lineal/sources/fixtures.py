@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..operators.graph import arg_from_tree
-from ..operators.storage import ranked, running
+from ..operators.storage import materialize, ranked, running
 
 MARKERS = 64
 #: Minutes are counted from here.
@@ -118,9 +118,10 @@ def _events(spark: SparkSession, order: DataFrame, n: int) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(vertices, edges, events, n): the tree with its events applied."""
-    order = leaf_order(spark, sf_dir)
+    order = materialize(leaf_order(spark, sf_dir), "leaves")
     vertices, edges, n = _tree(spark, order)
-    ev = _events(spark, order, n)
+    vertices = materialize(vertices, "vertices")  # queries use these tables several times
+    ev = materialize(_events(spark, order, n), "events")
     gone = ev.select(F.explode(F.array("a", "b")).alias("dst"))
     inf = F.lit(float("inf"))
     e = lambda s, d, lo, hi: F.struct(s.alias("src"), d.alias("dst"), lo.alias("lo"), hi.alias("hi"))
@@ -129,4 +130,5 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     lat = vertices.select("v", "latitude")
     m = ev.join(lat.withColumnRenamed("latitude", "la"), F.col("left_parent") == F.col("v")).drop("v").join(lat.withColumnRenamed("latitude", "lb"), F.col("pb") == F.col("v")).withColumn("m", F.least("la", "lb"))
     added = m.select(F.explode(F.array(F.struct(c("rvertex").alias("v"), F.lit("rec").alias("kind"), (0.25 * c("m")).alias("latitude")), F.struct(c("cvertex").alias("v"), F.lit("coal").alias("kind"), (0.5 * c("m")).alias("latitude")))).alias("x")).select("x.*")
-    return vertices.unionByName(added), edges.join(gone, "dst", "left_anti").select("src", "dst", "lo", "hi").unionByName(new), ev, n
+    edges = edges.join(gone, "dst", "left_anti").select("src", "dst", "lo", "hi").unionByName(new)
+    return materialize(vertices.unionByName(added), "vertices"), materialize(edges, "edges"), ev, n
