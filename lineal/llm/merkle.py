@@ -11,6 +11,8 @@ from .common import materialize, offsets
 
 #: Children of a node; hex digits of a digest.
 WIDTH, DIGITS = 16, 64
+#: Rows of a climb that meet one copy of a node, about.
+MEET = 4_096
 #: Name of the tree over all sources' trees. Those are called "-" (null source) or "=" and the source.
 TOP = "^"
 _ROWS = "spark.sql.cteRecursionRowLimit"
@@ -51,14 +53,14 @@ def _lowest(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _levels(lowest: DataFrame) -> list[DataFrame]:
-    """The levels above the lowest, each a table (tree, number, hash, n, children): digests below a node in a row, and the level's nodes in the tree.
+    """The levels above the lowest, each a table (tree, number, hash, n, below, children): the level's nodes in the tree, leaves below a node, and digests below it in a row.
     One aggregation a level, a sixteenth of the rows of the one before; a tree that has come to one node goes no further."""
     out, at = [], lowest
     while (at.agg(F.max("n")).first()[0] or 0) > 1:
         below = at.where("n > 1").groupBy("tree", F.floor(F.col("number") / WIDTH).alias("up"))
         row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "hash"))), lambda x: x.hash), "")
-        made = below.agg(row.alias("children"), F.ceil(F.max("n") / WIDTH).alias("n"))
-        at = materialize(made.select("tree", F.col("up").alias("number"), F.sha2("children", 256).alias("hash"), "n", "children"), "level")
+        made = below.agg(row.alias("children"), F.ceil(F.max("n") / WIDTH).alias("n"), F.sum("below").alias("below"))
+        at = materialize(made.select("tree", F.col("up").alias("number"), F.sha2("children", 256).alias("hash"), "n", "below", "children"), "level")
         out.append(at)
     return out
 
@@ -73,18 +75,19 @@ def manifest(rows: DataFrame, key: str = "doc_id", source: str = "source") -> tu
     """The trees of rows (key, source, leaf, claim), claim a digest to be verified in the leaf's place (null: the leaf): two tables.
 
     leaves: (key, leaf, claim, alone, up, slot), alone if the leaf is all of its source, so its subroot.
-    nodes: (node, children, hash, is_subroot, up, slot), up the name of the node above, children the digests below in a row.
+    nodes: (node, copies, children, hash, is_subroot, up, slot, up_copies), up the name of the node above, children the digests below in a row, copies
+    how often a climb needs the node so that no more than MEET of its rows, or so, meet a copy.
 
     A source's leaves stand in order of their keys, null first, then of their digests; while more than one node is left, each WIDTH of them in a row
     become their digest. What is left is the subroot. Subroots, in order of their sources (null first, bytewise), go on in the same way to the root.
     Texts are hashed where they are read; only digests move. No source has to fit into a task. No rows: two empty tables.
     """
     tree = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
-    own = rows.select(tree.alias("tree"), F.col(key).alias("key"), F.col("leaf").alias("hash"), F.coalesce("claim", "leaf").alias("claim"))
+    own = materialize(rows.select(tree.alias("tree"), F.col(key).alias("key"), F.col("leaf").alias("hash"), F.coalesce("claim", "leaf").alias("claim"), F.lit(1).cast("long").alias("below")), "digests")
     lowest = materialize(_lowest(own, ["key", "hash", "claim"]), "leaves")
     levels = _levels(lowest)
-    tops = [t.where("n = 1").select("tree", "hash") for t in (lowest, *levels)]
-    sources = reduce(DataFrame.unionByName, tops).select(F.lit(TOP).alias("tree"), F.col("tree").alias("of"), "hash")
+    tops = [t.where("n = 1").select("tree", "hash", "below") for t in (lowest, *levels)]
+    sources = reduce(DataFrame.unionByName, tops).select(F.lit(TOP).alias("tree"), F.col("tree").alias("of"), "hash", "below")
     above = materialize(_lowest(sources, ["of"]), "subroots")
     over = _linked(above, 0).select(F.col("of").alias("tree"), F.col("up").alias("over"), F.col("slot").alias("place"))
 
@@ -96,24 +99,25 @@ def manifest(rows: DataFrame, key: str = "doc_id", source: str = "source") -> tu
     def nodes_of(table: DataFrame, level: int, of_source: bool) -> DataFrame:
         linked = _linked(table, level).withColumn("is_subroot", (F.col("n") == 1) & F.lit(of_source))
         linked = crossed(linked) if of_source else linked
-        return linked.select(_name(F.col("tree"), level, F.col("number")).alias("node"), "children", "hash", "is_subroot", "up", "slot")
+        return linked.select(_name(F.col("tree"), level, F.col("number")).alias("node"), F.ceil(F.col("below") / (WIDTH * MEET)).alias("copies"), "children", "hash", "is_subroot", "up", "slot")
 
     made = [nodes_of(t, i + 1, True) for i, t in enumerate(levels)] + [nodes_of(t, i + 1, False) for i, t in enumerate(_levels(above))]
     if not made:
-        made = [rows.sparkSession.createDataFrame([], "node string, children string, hash string, is_subroot boolean, up string, slot long")]
+        made = [rows.sparkSession.createDataFrame([], "node string, copies long, children string, hash string, is_subroot boolean, up string, slot long")]
     leaves = crossed(_linked(lowest, 0)).select("key", F.col("hash").alias("leaf"), "claim", (F.col("n") == 1).alias("alone"), "up", "slot")
-    return leaves, materialize(reduce(DataFrame.unionByName, made), "nodes")
+    nodes = materialize(reduce(DataFrame.unionByName, made), "nodes")
+    return leaves, nodes.join(nodes.select(F.col("node").alias("up"), F.col("copies").alias("up_copies")), "up", "left")
 
 
 _CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT up, slot, leaves, children, folds, above, subroot, root FROM {first}
+  SELECT up, copy, slot, seed, leaves, children, folds, above, subroot, root FROM {first}
   UNION ALL
-  SELECT n.up, n.slot, c.leaves, c.children,
+  SELECT n.up, pmod(c.seed, n.up_copies), n.slot, c.seed, c.leaves, c.children,
          transform(c.folds, f -> sha2(concat(left(n.children, int(c.slot * 64)), f, substr(n.children, int(c.slot * 64 + 65))), 256)),
          concat(c.above, left(n.children, int(c.slot * 64)), substr(n.children, int(c.slot * 64 + 65))),
          CASE WHEN n.is_subroot THEN n.hash ELSE c.subroot END, n.hash
-  FROM climb c JOIN {nodes} n ON n.node = c.up
+  FROM climb c JOIN {nodes} n ON n.node = c.up AND n.copy = c.copy
 )
 SELECT leaves, children, folds, above, subroot, root FROM climb WHERE up IS NULL
 """
@@ -125,7 +129,7 @@ def climbed(leaves: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFra
     A recursive query goes up from each leaf over the stored nodes: at each it appends the siblings to the proof and folds the claimed digest with them.
     proof_sha256 is the digest of all siblings, from the lowest level to the root, left to right; folded_root what the claim comes to; verified whether
     it is the root. The leaves of one node, WIDTH at most, go up in one row, as all siblings above them are the same: a level moves a sixteenth of
-    the leaves and joins them with a sixteenth of its nodes. A table of one row has its leaf for a root and the digest of nothing for a proof. Rows that
+    the leaves. All rows meet in the highest nodes, so nodes are met in copies, by a hash of where a row comes from. A table of one row has its leaf for a root and the digest of nothing for a proof. Rows that
     are alike are leaves each.
     """
     spark = leaves.sparkSession
@@ -134,13 +138,15 @@ def climbed(leaves: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFra
     own = lambda x: cut(F.col("children"), x.slot)
     folds = F.transform("leaves", lambda x: digest(own(x)[0], x.claim, own(x)[1]))
     bare = F.transform("leaves", lambda x: F.struct(x.key.alias("key"), x.leaf.alias("leaf"), x.alone.alias("alone"), x.slot.alias("slot")))
-    first = group.join(nodes, "node").select("up", "slot", bare.alias("leaves"), "children", folds.alias("folds"), F.lit("").alias("above"), F.when(F.col("is_subroot"), F.col("hash")).alias("subroot"), F.col("hash").alias("root"))
+    seed = F.xxhash64("node")
+    first = group.join(nodes, "node").select("up", F.pmod(seed, F.col("up_copies")).alias("copy"), "slot", seed.alias("seed"), bare.alias("leaves"), "children", folds.alias("folds"), F.lit("").alias("above"), F.when(F.col("is_subroot"), F.col("hash")).alias("subroot"), F.col("hash").alias("root"))
     first = materialize(first, "lowest-nodes")
+    met = nodes.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
 
     limit = spark.conf.get(_ROWS)
     spark.conf.set(_ROWS, "-1")  # as many rows as there are nodes above leaves, times levels
     try:
-        top = materialize(spark.sql(_CLIMB, first=first, nodes=nodes), "climbed")
+        top = materialize(spark.sql(_CLIMB, first=first, nodes=met), "climbed")
     finally:
         spark.conf.set(_ROWS, limit)
     told = top.select(F.posexplode("leaves").alias("i", "x"), "children", "folds", "above", "subroot", "root").select("x.*", "children", F.get("folds", F.col("i")).alias("folded_root"), "above", "subroot", "root")
