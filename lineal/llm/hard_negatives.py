@@ -166,7 +166,7 @@ def mine(df: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int =
 
     sent = asked.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     one = (F.col("first") == F.col("last")) & (F.col("from") == F.col("to")) & (F.col("first") == F.col("from"))
-    unlike = sent.join(sized, "lot").where((F.col("dim") == F.col("size")) & ~one).select("qid", "asked", "found", "rows").mapInArrow(_negatives(negatives, low, high), _FOUND)
+    unlike = sent.repartition(lots, "lot").join(sized, "lot").where((F.col("dim") == F.col("size")) & ~one).select("qid", "asked", "found", "rows").mapInArrow(_negatives(negatives, low, high), _FOUND)
     order = Window.partitionBy("qid", "place", "i").orderBy(F.desc("score"), "vec_id")
     told = unlike.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return told.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
