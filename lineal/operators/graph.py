@@ -63,8 +63,9 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(v, kind, n_children, n_dads)."""
-    ends = edges.select(F.col("src").alias("v"), F.lit(1).alias("c"), F.lit(0).alias("d")).unionByName(edges.select(F.col("dst").alias("v"), F.lit(0).alias("c"), F.lit(1).alias("d")))
+    """(v, kind, n_children, n_dads): an edge counts once, however many intervals it has."""
+    one = edges.select("src", "dst").distinct()
+    ends = one.select(F.col("src").alias("v"), F.lit(1).alias("c"), F.lit(0).alias("d")).unionByName(one.select(F.col("dst").alias("v"), F.lit(0).alias("c"), F.lit(1).alias("d")))
     per = ends.groupBy("v").agg(F.sum("c").alias("n_children"), F.sum("d").alias("n_dads"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("int").alias(c)
     return vertices.select("v", "kind").join(per, "v", "left").select("v", "kind", zero("n_children"), zero("n_dads"))

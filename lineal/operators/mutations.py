@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from .sample import interval_masks
-from .storage import materialize
-from .traversal import ancestors_in
 
 
 def vertex_sequences(closure_: DataFrame, haplotypes: DataFrame, markers: DataFrame) -> DataFrame:
@@ -103,28 +101,6 @@ def equal_under_masks(pairs: DataFrame, sequences: DataFrame, masks: DataFrame)
     return pairs.join(one, "v1").join(two, ["v2", "chunk"]).groupBy("v1", "v2").agg((F.bit_or(apart) == 0).alias("equal"))
 
 
-def update_upstream(sequences: DataFrame, edges: DataFrame, changed: DataFrame, markers: DataFrame) -> DataFrame:
-    """(v, chunk, bits, mask) after the edges above some vertices (v) changed: only vertices above them are made again, from their
-    children, lowest first; all others keep what they have. A round for each level, kept as a table."""
-    above = materialize(ancestors_in(edges.select("src", "dst").distinct(), changed.select("v"), []).select(F.col("anc").alias("v")).distinct())
-    cut = edges.join(above.select(F.col("v").alias("src")), "src", "left_semi").select("src", "dst", F.struct("lo", "hi").alias("k"))
-    masks = interval_masks(cut.select("k").distinct().select("k", "k.lo", "k.hi"), markers, "k").select("k", F.posexplode("mask").alias("chunk", "m"))
-    cut = materialize(cut.join(masks, "k").groupBy("src", "dst", "chunk").agg(F.bit_or("m").alias("m")))
-    cols = ["v", "chunk", "bits", "mask"]
-    known = sequences.join(above, "v", "left_anti").select(*cols)
-    todo = above
-    while not todo.isEmpty():
-        waiting = cut.join(todo.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v")).distinct()
-        ready = materialize(todo.join(waiting, "v", "left_anti"))
-        child = known.select(F.col("v").alias("dst"), "chunk", "bits", "mask")
-        met = cut.join(ready.select(F.col("v").alias("src")), "src", "left_semi").join(child, ["dst", "chunk"])
-        on = F.col("m").bitwiseAND(F.col("mask"))
-        new = met.groupBy(F.col("src").alias("v"), "chunk").agg(F.bit_and(F.col("bits").bitwiseOR(F.bitwise_not(on))).alias("b"), F.bit_or(on).alias("mask"))
-        known = known.unionByName(materialize(new.select("v", "chunk", F.col("b").bitwiseAND(F.col("mask")).alias("bits"), "mask")))
-        todo = materialize(todo.join(ready, "v", "left_anti"))
-    return known
-
-
 def edgesmap(edges: DataFrame) -> DataFrame:
     """(src, dst, number): edges numbered from 1 by parent and child, by offsets of parents' counts."""
     e = edges.select("src", "dst").distinct()

@@ -12,7 +12,7 @@ from .intervals import simplify
 from .sample import interval_masks
 
 TREE_RULES = ["latitudes rise with vertex numbers", "children lie below parents", "children have smaller numbers", "root has two children", "internal vertices have two children and a parent", "leaves have a parent alone", "one root"]
-GRAPH_RULES = ["leaves have a parent alone", "leaves carry all places", "coalescences have two children and a parent, if any", "recombinations have a child and two parents", "children lie below parents", "parental intervals are unions of child intervals", "states are those that all children have", "leaf sequences are those of the sample", "one mutation per marker"]
+GRAPH_RULES = ["leaves have a parent alone", "leaves carry all places", "coalescences have two children and a parent, if any", "recombinations have a child and two parents", "children lie below parents", "parental intervals are unions of child intervals", "states are those that all children have", "leaf sequences are those of the sample", "one mutation per marker", "one root"]
 
 
 def _counted(rules: dict[str, DataFrame]) -> DataFrame:
@@ -69,5 +69,6 @@ def graph_violations(vertices: DataFrame, edges: DataFrame, sequences: DataFrame
         _unlike_states(edges, sequences, markers),
         h.join(sequences, ["v", "chunk"], "left").where(F.coalesce("bits", F.lit(0).cast("long")) != F.col("b")),
         per.where(F.coalesce("count", F.lit(0)) != 1),
+        d.where("n_dads = 0").groupBy().count().where("count <> 1"),
     )
     return _counted(dict(zip(GRAPH_RULES, checks, strict=True)))

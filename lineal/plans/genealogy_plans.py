@@ -476,7 +476,7 @@ def _graph_parts(p, v, e):
 
 def _graph_rules(which, p, v, e, flipped, mutations):
     lat = f"(SELECT s.latitude AS sl, x.latitude AS dl FROM {e} z JOIN {v} s ON s.v = z.src JOIN {v} x ON x.v = z.dst)"
-    return _rules(which, va.GRAPH_RULES, (f"{p}d WHERE kind = 'leaf' AND (c <> 0 OR p <> 1)", f"{e} JOIN {v} x ON x.v = dst WHERE kind = 'leaf' AND (lo <> 0 OR hi <> 'infinity')", f"{p}d WHERE kind = 'coal' AND (c <> 2 OR p > 1)", f"{p}d WHERE kind = 'rec' AND (c <> 1 OR p <> 2)", f"{lat} WHERE dl > sl", f"{p}u", f"{p}s", flipped, f"(SELECT m.idx FROM m LEFT JOIN ({mutations}) q ON q.idx = m.idx GROUP BY m.idx HAVING count(q.idx) <> 1)"))
+    return _rules(which, va.GRAPH_RULES, (f"{p}d WHERE kind = 'leaf' AND (c <> 0 OR p <> 1)", f"{e} JOIN {v} x ON x.v = dst WHERE kind = 'leaf' AND (lo <> 0 OR hi <> 'infinity')", f"{p}d WHERE kind = 'coal' AND (c <> 2 OR p > 1)", f"{p}d WHERE kind = 'rec' AND (c <> 1 OR p <> 2)", f"{lat} WHERE dl > sl", f"{p}u", f"{p}s", flipped, f"(SELECT m.idx FROM m LEFT JOIN ({mutations}) q ON q.idx = m.idx GROUP BY m.idx HAVING count(q.idx) <> 1)", f"(SELECT count(*) AS k FROM {p}d WHERE p = 0) WHERE k <> 1"))
 
 
 #: Damage: lowered vertices, lost edges, shortened intervals; complemented haplotypes and lost mutations.

@@ -10,6 +10,7 @@ from ..operators import mutations as mu
 from ..operators import sample as sm
 from ..operators import sampling as sp
 from ..operators import sequences as sq
+from ..operators import structure as st
 from ..operators import tables as tb
 from ..operators import traversal as tr
 from ..operators.storage import materialize
@@ -359,10 +360,9 @@ _CONVERTED = """f AS (SELECT * FROM ev WHERE ridx = 1), ce AS (SELECT ae.src, ae
   UNION ALL SELECT ce.src, cl.v, greatest(cl.lo, ce.lo), least(cl.hi, ce.hi) FROM cl JOIN ce ON ce.dst = cl.anc WHERE greatest(cl.lo, ce.lo) < least(cl.hi, ce.hi))
 SELECT anc AS v, idx, bool_and(derived) AS derived FROM cl JOIN hap ON hap.v = cl.v AND lo <= idx AND idx < hi GROUP BY anc, idx""")
 def update_upstream(spark, sf_dir):
-    """Sequences after the gene conversion of the first recombination, made again only above it."""
+    """Sequences after the gene conversion of the first recombination; what changes is followed upstream and no further."""
     c = Case(spark, sf_dir)
-    f = c.events.where("ridx = 1").first()
-    edges = materialize(g.convert(c.edges, (f.right_parent, f.rvertex), f.left_parent, f.breakpoint / 2))
-    changed = spark.createDataFrame([(f.rvertex,)], "v int")
-    out = mu.update_upstream(c.sequences, edges, changed, fx.markers(spark, sf_dir))
-    return mu.long_sequences(out).select(F.col("v").cast("long").alias("v"), "idx", "derived")
+    whole = st.Graph(c.vertices, c.edges, materialize(st.side_masks(c.events), "masks"), c.sequences)
+    one = c.events.where("ridx = 1").select(F.col("ridx").alias("event"), F.col("right_parent").cast("int").alias("src"), F.col("rvertex").cast("int").alias("dst"), F.col("left_parent").cast("int").alias("other"), (F.col("breakpoint") / 2).alias("breakpoint"))
+    out, _ = st.convert_all(whole, one, fx.markers(spark, sf_dir))
+    return mu.long_sequences(out.sequences).select(F.col("v").cast("long").alias("v"), "idx", "derived")
