@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, offsets, unused
@@ -71,6 +71,24 @@ def points_before(t: np.ndarray, cell: np.ndarray, x: np.ndarray, m: int) -> np.
     return out
 
 
+def _product_over(a: str, b: str, less: int, c: str) -> Column:
+    """(a * b - less) div c, whole numbers from 0 to 10^18: in longs where c is so small that the product of a number below it and one of blocks
+    fits, else in decimals of 38 digits."""
+    long = f"(({a}) * ({b}) - {less}) div {c}"
+    wide = f"(cast({a} as decimal(19,0)) * cast({b} as decimal(18,0)) - {less}) div cast({c} as decimal(19,0))"
+    return F.expr(f"case when greatest({a}, {c}, {b}) < 2000000000 then {long} else {wide} end")
+
+
+def begin_of(block: str, blocks: str, size: str) -> Column:
+    """The first word of a block: block * size div blocks."""
+    return _product_over(block, size, 0, blocks)
+
+
+def block_of(word: str, blocks: str, size: str) -> Column:
+    """The block that holds a word, counted from 0."""
+    return _product_over(f"({word} + 1)", blocks, 1, size)
+
+
 def _schedule(spark, ends: list[int], blocks: list[int]) -> DataFrame:
     """(slot, s, rank, epoch, block), without a shuffle: the source of a slot is found in the cumulative quotas, and its rank among the
     source's slots is counted in closed form."""
@@ -132,11 +150,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     schedule = _schedule(spark, ends, blocks)
 
     # which words of which document each block holds: block i is words [i z div b, (i + 1) z div b)
-    first = F.expr("((start + 1) * blocks - 1) div source_size")
-    last = F.expr("((start + size) * blocks - 1) div source_size")
+    first, last = block_of("start", "blocks", "source_size"), block_of("start + size - 1", "blocks", "source_size")
     held = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    low = F.expr("block * source_size div blocks")
-    high = F.expr("(block + 1) * source_size div blocks")
+    low, high = begin_of("block", "blocks", "source_size"), begin_of("block + 1", "blocks", "source_size")
     words = F.least(F.col("start") + F.col("size"), high) - F.greatest("start", low)
     pieces = held.select("key", "start", "s", "block", words.alias("words")).where("words > 0")
     return Mix(placed.drop("blocks", "source_size"), sources.drop("low", "high", "buckets"), schedule, pieces)

@@ -154,3 +154,16 @@ def test_empty(frame):
     assert mixing.taken(mixing.mix(df)).count() == 0 and mixing.mixed(df).count() == 0
     df = frame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.taken(mixing.mix(df)).collect()] == [0, 0]
+
+
+def test_places_of_very_large_sources(spark):
+    """Sources of 10^13 words and more: products pass 64 bits."""
+    r = random.Random(1)
+    rows = []
+    for size in (1, 100, 128, 129, 10**9, 4 * 10**10, 10**13, 9 * 10**15):
+        for blocks in {1, min(size, 3), max(1, size // 128), max(1, size // 7)}:
+            for _ in range(20):
+                block = r.randrange(blocks)
+                rows.append((r.choice([0, size - 1, r.randrange(size), min(size - 1, block * size // blocks)]), blocks, size, r.choice([block, blocks])))
+    got = spark.createDataFrame(rows, "w long, b long, z long, k long").select("*", mixing.block_of("w", "b", "z").alias("x"), mixing.begin_of("k", "b", "z").alias("y")).collect()
+    assert len(got) == len(rows) and all(q.x == ((q.w + 1) * q.b - 1) // q.z and q.y == q.k * q.z // q.b for q in got)
