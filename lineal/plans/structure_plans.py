@@ -70,8 +70,8 @@ def recombine_batch(spark, sf_dir):
 
 _NESTED = f"""el AS (SELECT ridx, a, b, pa, pb, bp, m, n FROM em, n),
 e2 AS (SELECT 2 * ridx - 1 AS k, pa AS rs, a AS rd, pb AS cs, b AS cd, bp, 0.25::DOUBLE * m AS rl, 0.5::DOUBLE * m AS cl FROM el
-  UNION ALL SELECT 2 * ridx, pa, a, CASE ridx % 3 WHEN 1 THEN pb WHEN 2 THEN 2 * n - 1 + 2 * (2 * ridx - 1) END, CASE ridx % 3 WHEN 0 THEN 2 * n - 1 WHEN 1 THEN b ELSE 2 * n - 1 + 2 * (2 * ridx - 1) - 1 END, 64 - bp, 0.1::DOUBLE * m,
-    CASE ridx % 3 WHEN 0 THEN (SELECT max(latitude) FROM tv) + ridx WHEN 1 THEN 0.75::DOUBLE * m ELSE 0.3::DOUBLE * m END FROM el),
+  UNION ALL SELECT 2 * ridx, pa, a, CASE WHEN ridx % 9 = 0 THEN NULL WHEN ridx % 3 = 1 THEN pb ELSE 2 * n - 1 + 2 * (2 * ridx - 1) END, CASE WHEN ridx % 9 = 0 THEN 2 * n - 1 WHEN ridx % 3 = 1 THEN b ELSE 2 * n - 1 + 2 * (2 * ridx - 1) - 1 END, 64 - bp, 0.1::DOUBLE * m,
+    CASE WHEN ridx % 9 = 0 THEN (SELECT max(latitude) FROM tv) + ridx WHEN ridx % 3 = 1 THEN 0.75::DOUBLE * m ELSE 0.3::DOUBLE * m END FROM el),
 e3 AS (SELECT e2.*, 2 * n - 1 + 2 * k - 1 AS rv, 2 * n - 1 + 2 * k AS cv FROM e2, n),
 cu AS (SELECT rs AS s, rd AS d, rl AS lat, rv AS x FROM e3 UNION ALL SELECT cs, cd, cl, cv FROM e3),
 ch AS (SELECT s, d, x, lag(x) OVER w AS under, lead(x) OVER w IS NULL AS high FROM cu WINDOW w AS (PARTITION BY s, d ORDER BY lat, x)),
@@ -83,13 +83,13 @@ me AS (SELECT src, dst, CASE WHEN fe.s = e3.cv AND fe.d = e3.rv THEN bp ELSE 0 E
 @query(f"WITH RECURSIVE {A}, {HAP}, {_NESTED}, {_MADE}")
 def recombine_nested(spark, sf_dir):
     """The tree after two events for each of its own: the second cuts the same edge further down and recoalesces with the second edge again, with the edge
-    that the first made, or above the root."""
+    that the first made, or, every ninth, above the root."""
     tree, n = _tree(spark, sf_dir)
     ev = _timed(spark, sf_dir, tree)
     r, m = F.col("ridx"), F.col("m")
     link = 2 * n - 1 + 2 * (2 * r - 1)  # the first's recoalescence vertex
     top = tree.vertices.agg(F.max("latitude").alias("top"))
-    case = lambda root, again, nested: F.when(r % 3 == 0, root).when(r % 3 == 1, again).otherwise(nested)
+    case = lambda root, again, nested: F.when(r % 9 == 0, root).when(r % 3 == 1, again).otherwise(nested)
     two = ev.crossJoin(F.broadcast(top)).select((2 * r).alias("event"), F.col("left_parent").alias("rsrc"), F.col("a").alias("rdst"), case(F.lit(None), F.col("pb"), link).alias("csrc"), case(F.lit(2 * n - 1), F.col("b"), link - 1).alias("cdst"), (64 - F.col("breakpoint")).alias("breakpoint"), (0.1 * m).alias("rlat"), case(F.col("top") + r, 0.75 * m, 0.3 * m).alias("clat"))
     one = ev.selectExpr("2 * ridx - 1 as event", *_FIRST)
     return _told(st.recombine_all(tree, one.unionByName(two), fx.markers(spark, sf_dir))[0])
