@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import simplify
-from .storage import followed, materialize, ranked
+from .storage import followed, materialize, ranked, running
 
 INF = float("inf")
 #: Levels that one job of a closure goes up.
@@ -109,20 +109,20 @@ def with_latitudes(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def live_lineages(edges: DataFrame, vertices: DataFrame, latitudes: DataFrame) -> DataFrame:
     """(latitude, n): edges alive at each latitude (ends included), one more above the highest vertex.
 
-    Counting by sorted ends instead of pairs: births at or below minus deaths below, as running sums in two
-    levels (a thousand ranges of latitude, then rows within).
+    Counting by sorted ends instead of pairs: births at or below minus deaths below. What happens at one latitude is combined first, map-side, so that the many
+    leaves at 0 are one row; latitudes are then numbered by ranges and summed in blocks of numbers, so no part has more than its share.
     """
     e = with_latitudes(edges, vertices)
-    born = e.select(F.col("dst_lat").alias("at"), F.lit(0).alias("k"), F.lit(1).alias("d"))
-    gone = e.select(F.col("src_lat").alias("at"), F.lit(2).alias("k"), F.lit(-1).alias("d"))
-    ask = latitudes.select(F.col("latitude").alias("at"), F.lit(1).alias("k"), F.lit(0).alias("d"))
-    top = vertices.agg(F.greatest(F.max("latitude"), F.lit(1e-9)).alias("top"))
-    all_ = born.unionByName(gone).unionByName(ask).crossJoin(F.broadcast(top)).withColumn("part", F.least(F.floor(F.col("at") / F.col("top") * 1000), F.lit(1001)))
-    sums = all_.groupBy("part").agg(F.sum("d").alias("s"))
-    off = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("off"))  # at most 1002 rows
-    run = F.sum("d").over(Window.partitionBy("part").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0))
-    told = all_.withColumn("run", run).where("k = 1").join(F.broadcast(off), "part")
-    return told.select(F.col("at").alias("latitude"), (F.col("run") + F.col("off") + F.when(F.col("at") > F.col("top"), 1).otherwise(0)).cast("int").alias("n")).distinct()
+    zero = F.lit(0).cast("long")
+    row = lambda df, at, born, gone, asked: df.select(F.col(at).alias("at"), born.alias("born"), gone.alias("gone"), F.lit(asked).alias("asked"))
+    one = F.lit(1).cast("long")
+    ends = row(e, "dst_lat", one, zero, False).unionByName(row(e, "src_lat", zero, one, False)).unionByName(row(latitudes, "latitude", zero, zero, True))
+    per = ends.groupBy("at").agg(F.sum("born").alias("born"), F.sum("gone").alias("gone"), F.bool_or("asked").alias("asked"))
+    placed = materialize(ranked(per.withColumn("net", F.col("born") - F.col("gone")), ["at"], "place"), "latitudes")
+    top = vertices.agg(F.max("latitude").alias("top"))
+    told = running(placed, "place", "net", "run").where("asked").crossJoin(F.broadcast(top))  # one row
+    above = F.when(F.col("at") > F.greatest("top", F.lit(1e-9)), 1).otherwise(0)
+    return told.select(F.col("at").alias("latitude"), (F.col("run") + F.col("gone") + above).cast("int").alias("n"))
 
 
 def common_ancestors(closure_: DataFrame, sets: DataFrame, points: Sequence[float], vertices: DataFrame) -> DataFrame:
