@@ -125,19 +125,6 @@ def live_lineages(edges: DataFrame, vertices: DataFrame, latitudes: DataFrame) -
     return told.select(F.col("at").alias("latitude"), (F.col("run") + F.col("gone") + above).cast("int").alias("n"))
 
 
-def common_ancestors(closure_: DataFrame, sets: DataFrame, points: Sequence[float], vertices: DataFrame) -> DataFrame:
-    """(set_id, x, mrca, tmrca): lowest vertex strictly above all leaves of each set in the tree at each of some points.
-
-    sets: (set_id, v). The closure is cut to the points first; a set's candidates are the
-    ancestors that as many of its members have as it has members.
-    """
-    here = at_points(closure_.where("lvl > 0"), points).select("anc", "v", "x").distinct()
-    sizes = sets.groupBy("set_id").agg(F.countDistinct("v").alias("size"))
-    met = sets.distinct().join(here, "v").groupBy("set_id", "x", "anc").agg(F.count(F.lit(1)).alias("c")).join(sizes, "set_id").where("c = size")
-    lat = vertices.select(F.col("v").alias("anc"), "latitude")
-    return met.join(lat, "anc").groupBy("set_id", "x").agg(F.min(F.struct("latitude", "anc")).alias("m")).select("set_id", "x", F.col("m.anc").alias("mrca"), F.col("m.latitude").alias("tmrca"))
-
-
 def root_times(closure_: DataFrame, n: int, at: DataFrame, vertices: DataFrame) -> DataFrame:
     """(x, tmrca): latitude of the lowest vertex above all n leaves in the tree at each x of a table.
 

@@ -14,6 +14,7 @@ from ..operators import sequences as sq
 from ..operators import tables as tb
 from ..operators import traversal as tr
 from ..operators import validation as va
+from ..operators.forest import Forest
 from ..operators.storage import materialize
 from ..sources import fixtures as fx
 from .registry import query
@@ -63,10 +64,10 @@ class Case:
         return mu.edge_differences(self.edges, self.sequences, fx.markers(self.spark, self.sf_dir))
 
 
-def tree_closure(spark, sf_dir):
-    """(closure, n) of the tree."""
+def tree_index(spark, sf_dir):
+    """(index, n) of the tree."""
     v, e, n = fx.tree(spark, sf_dir)
-    return g.closure(e, v.select("v")), n
+    return Forest(e, vertices=v), n
 
 
 def full_closure(spark, sf_dir):
@@ -240,15 +241,15 @@ def edges_interval(spark, sf_dir):
 
 @query(f"{UP_T} SELECT CAST(v AS BIGINT) AS v, max(lvl) AS depth FROM cl GROUP BY v")
 def depth(spark, sf_dir):
-    closure, _ = tree_closure(spark, sf_dir)
-    return closure.groupBy("v").agg(F.max("lvl").alias("depth")).select(F.col("v").cast("long").alias("v"), "depth")
+    index, _ = tree_index(spark, sf_dir)
+    return index.nodes.select(F.col("v").cast("long").alias("v"), F.col("depth").cast("int").alias("depth"))
 
 
 @query(f"{UP_T}, d AS (SELECT v, max(lvl) AS depth FROM cl GROUP BY v) SELECT CAST(v AS BIGINT) AS v, row_number() OVER (ORDER BY depth, v) AS place FROM d WHERE v <= (SELECT n FROM n)")
 def leaves_permutation(spark, sf_dir):
     """Leaves by depth, then number: places within a depth, offset by the counts of lesser depths."""
-    closure, n = tree_closure(spark, sf_dir)
-    d = closure.where(F.col("v") <= n).groupBy("v").agg(F.max("lvl").alias("depth")).withColumn("part", F.floor(F.col("v") / 4096))
+    index, n = tree_index(spark, sf_dir)
+    d = index.nodes.where(F.col("v") <= n).select("v", "depth", F.floor(F.col("v") / 4096).alias("part"))
     counts = d.groupBy("depth", "part").count()
     off = counts.select("depth", "part", (F.sum("count").over(Window.orderBy("depth", "part")) - F.col("count")).alias("off"))
     k = F.row_number().over(Window.partitionBy("depth", "part").orderBy("v"))
@@ -257,8 +258,8 @@ def leaves_permutation(spark, sf_dir):
 
 @query(f"{UP_T} SELECT CAST(anc AS BIGINT) AS v, count(*) AS n_leaves, CAST(min(v) AS BIGINT) AS first_leaf, CAST(max(v) AS BIGINT) AS last_leaf FROM cl WHERE v <= (SELECT n FROM n) GROUP BY anc")
 def descendants_leaves(spark, sf_dir):
-    closure, n = tree_closure(spark, sf_dir)
-    return closure.where(F.col("v") <= n).groupBy(F.col("anc").cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n_leaves"), F.min("v").cast("long").alias("first_leaf"), F.max("v").cast("long").alias("last_leaf"))
+    index, _ = tree_index(spark, sf_dir)
+    return index.nodes.select(F.col("v").cast("long").alias("v"), "n_leaves", F.col("first_leaf").cast("long").alias("first_leaf"), F.col("last_leaf").cast("long").alias("last_leaf"))
 
 
 @query(f"{UP_ALL} SELECT v, count(*) AS n, CAST(sum(anc) AS BIGINT) AS total FROM cl WHERE anc <> v GROUP BY v")
@@ -284,8 +285,9 @@ def mrca_set(spark, sf_dir):
     """Lowest common ancestor of leaves v and v + 7 in three marginal trees."""
     c = Case(spark, sf_dir)
     sets = spark.range(1, max(1, c.n - 6)).select(F.col("id").alias("set_id"), F.explode(F.array(F.col("id"), F.col("id") + 7)).alias("v")).select("set_id", F.col("v").cast("int").alias("v"))
-    out = g.common_ancestors(c.closure, sets, POINTS, c.vertices)
-    return out.select("set_id", "x", F.col("mrca").cast("long").alias("mrca"), F.round("tmrca", 6).alias("tmrca"))
+    trees = Forest(g.at_points(c.edges, POINTS).select("x", "src", "dst"), ["x"])
+    out = trees.lowest_above(sets).join(c.vertices.select(F.col("v").alias("mrca"), "latitude"), "mrca")
+    return out.select("set_id", "x", F.col("mrca").cast("long").alias("mrca"), F.round("latitude", 6).alias("tmrca"))
 
 
 _GRID = "gr AS (SELECT 0::DOUBLE AS x UNION SELECT bp FROM ev)"
