@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Ranges, materialize, running, unused
+
+#: Coordinates that one grouping sums over.
+BITS = 4
+
 
 def coordinates(n: int, df: DataFrame) -> DataFrame:
     """(k, bit) for coordinates 1 .. n."""
@@ -21,14 +26,47 @@ def subsets(n: int, d: DataFrame) -> DataFrame:
     return d.sparkSession.range(1, 1 << n).select(F.col("id").alias("mask"))
 
 
-def prob_all_one(d: DataFrame, masks: DataFrame) -> DataFrame:
-    """(mask, p): the chance that all coordinates of the mask are 1."""
-    return masks.join(F.broadcast(d)).groupBy("mask").agg(F.sum(F.when(F.col("cfg").bitwiseAND(F.col("mask")) == F.col("mask"), F.col("p")).otherwise(0.0)).alias("p"))
+def _blocks(n: int) -> list[list[int]]:
+    """The coordinates' bits, highest first, BITS together."""
+    return [[1 << k for k in range(top, max(top - BITS, -1), -1)] for top in range(n - 1, -1, -BITS)]
+
+
+def _patterns(block: list[int]) -> list[int]:
+    return [sum(bit for i, bit in enumerate(block) if pick >> i & 1) for pick in range(1 << len(block))]
+
+
+def prob_all_one(d: DataFrame, masks: DataFrame, n: int) -> DataFrame:
+    """(mask, p): the chance that all n or fewer coordinates of the mask are 1; 1 for the empty mask.
+
+    Sums over supersets, coordinate by coordinate: each chance is added to the configurations that lack some of a block's ones, BITS
+    coordinates a grouping, combined map-side. n 2^n additions in all, whatever the number of masks, and no pair of mask and configuration.
+    """
+    run = d.select("cfg", "p")
+    for block in _blocks(n):
+        all_ = sum(block)
+        held = F.filter(F.array(*(F.lit(x).cast("long") for x in _patterns(block))), lambda x: x.bitwiseAND(F.col("cfg")) == x)
+        run = run.withColumn("cfg", F.explode(F.transform(held, lambda x: F.col("cfg").bitwiseAND(F.lit(~all_)).bitwiseOR(x)))).groupBy("cfg").agg(F.sum("p").alias("p"))
+    return masks.join(run.select(F.col("cfg").alias("mask"), "p"), "mask", "left").select("mask", F.coalesce("p", F.lit(0.0)).alias("p"))
+
 
+def marginal(d: DataFrame, masks: DataFrame, n: int) -> DataFrame:
+    """(mask, cfg, p): the joint distribution of the mask's coordinates (of n), others as 0 in cfg; configurations that d does not have
+    are left out.
 
-def marginal(d: DataFrame, masks: DataFrame) -> DataFrame:
-    """(mask, cfg, p): the joint distribution of the mask's coordinates, others as 0 in cfg."""
-    return masks.join(F.broadcast(d)).groupBy("mask", F.col("cfg").bitwiseAND(F.col("mask")).alias("cfg")).agg(F.sum("p").alias("p"))
+    Coordinates are kept or summed out BITS at a time; partial masks that no asked mask begins with are dropped, so all 2^n masks take
+    the 3^n rows of the result and no more than a few times as many on the way, and a single mask 2^n.
+    """
+    asked = materialize(masks.select("mask").distinct(), "masks")
+    run = d.select(F.lit(0).cast("long").alias("mask"), "cfg", "p")
+    done = 0
+    for block in _blocks(n):
+        done |= sum(block)
+        begun = asked.select(F.col("mask").bitwiseAND(F.lit(done).cast("long")).alias("mask")).distinct()
+        keep = F.explode(F.array(*(F.lit(x).cast("long") for x in _patterns(block))))
+        run = run.withColumn("_keep", keep).withColumn("mask", F.col("mask").bitwiseOR(F.col("_keep"))).join(begun, "mask", "left_semi")
+        left = F.col("cfg").bitwiseAND(F.col("_keep").bitwiseOR(F.lit(~sum(block))))
+        run = run.withColumn("cfg", left).groupBy("mask", "cfg").agg(F.sum("p").alias("p"))
+    return run
 
 
 def moments(d: DataFrame, n: int) -> DataFrame:
@@ -42,7 +80,7 @@ def covariance(d: DataFrame, n: int) -> DataFrame:
     c = coordinates(n, d)
     pairs = c.select(F.col("k").alias("i"), F.col("bit").alias("bi")).join(F.broadcast(c.select(F.col("k").alias("j"), F.col("bit").alias("bj"))))
     on = lambda *bits: F.sum(F.when(F.col("cfg").bitwiseAND(bits[0]) != 0, F.when(F.col("cfg").bitwiseAND(bits[-1]) != 0, F.col("p")).otherwise(0.0)).otherwise(0.0))
-    e = pairs.join(F.broadcast(d)).groupBy("i", "j").agg(on(F.col("bi"), F.col("bj")).alias("ij"), on(F.col("bi")).alias("mi"), on(F.col("bj")).alias("mj"))
+    e = d.join(F.broadcast(pairs)).groupBy("i", "j").agg(on(F.col("bi"), F.col("bj")).alias("ij"), on(F.col("bi")).alias("mi"), on(F.col("bj")).alias("mj"))
     return e.select("i", "j", (F.col("ij") - F.col("mi") * F.col("mj")).alias("cov"))
 
 
@@ -52,9 +90,14 @@ def entropy(d: DataFrame) -> DataFrame:
 
 
 def draw(d: DataFrame, draws: DataFrame) -> DataFrame:
-    """draws (.., u) with cfg: the first configuration whose running chance exceeds u. The table is at most 2^n rows."""
-    run = F.sum("p").over(Window.orderBy("cfg"))
-    steps = d.where("p > 0").select("cfg", (run - F.col("p")).alias("below"), run.alias("top"))
-    last = F.col("top") == F.max("top").over(Window.partitionBy())
-    steps = steps.withColumn("top", F.when(last, F.lit(2.0)).otherwise(F.col("top")))
-    return draws.join(F.broadcast(steps), (F.col("u") >= F.col("below")) & (F.col("u") < F.col("top"))).drop("below", "top")
+    """draws (.., u) with cfg: the first configuration whose running chance exceeds u, the last one from their sum on.
+
+    Chances are summed in blocks of configurations; steps and draws stand in one order, dealt by ranges, and each draw gets the last step
+    that begins at or before it. A draw whose u is null gets no configuration.
+    """
+    at, kind, step = unused([*draws.columns, "cfg"], "_at", "_kind", "_step")
+    steps = running(d.where("p > 0").select("cfg", "p"), "cfg", "p", "top").select((F.col("top") - F.col("p")).alias(at), F.lit(0).alias(kind), F.col("cfg").alias(step))
+    asked = draws.withColumns({at: F.col("u").cast("double"), kind: F.lit(1)})
+    dealt = Ranges(asked.unionByName(steps, allowMissingColumns=True), [], [at, kind, step])
+    told = dealt.running(dealt.rows, "cfg", F.col(step), "last").where(F.col(kind) == 1)
+    return told.drop(dealt.part, at, kind, step)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .storage import Ranges, unused
 
-#: Finite width that an endless interval is cut into bins up to.
+#: An end from which on an interval counts as endless.
 _FAR = 1e15
 
 
@@ -44,28 +44,57 @@ def union(a: DataFrame, b: DataFrame, owner: list[str]) -> DataFrame:
     return simplify(a.select(*cols).unionByName(b.select(*cols)), owner)
 
 
-def bin_width(df: DataFrame) -> float:
-    """A width of bins for overlap joins: the mean finite width, at least the span's millionth part."""
-    r = df.where("lo < hi").agg(F.avg(F.when(F.col("hi") < _FAR, F.col("hi") - F.col("lo"))).alias("w"), F.min("lo").alias("a"), F.max(F.when(F.col("hi") < _FAR, F.col("hi")).otherwise(F.col("lo"))).alias("b")).first()
-    w = max(r.w or 1.0, ((r.b or 0.0) - (r.a or 0.0)) / 1e6)
-    return w if w > 0 and math.isfinite(w) else 1.0
+class Cells:
+    """Dyadic cells for rows that meet where they overlap.
+
+    An interval is at home on the level whose cells are as wide as it, so it touches two of them, wherever it lies; endless ones are at home on
+    the highest level. Two intervals meet on the wider one's level: a row is given the cells of its own level and of the higher ones on which
+    rows of the other side are at home. A row has two cells a level, and widths that differ by a factor of 2^k make k levels, so no row makes
+    cells by its width. One aggregate over both sides finds the ends and the levels in use (a few dozen numbers).
+    """
+
+    def __init__(self, a: DataFrame, b: DataFrame):
+        """a: (lo, hi), b: (lo2, hi2); points are intervals whose ends are equal."""
+        level = lambda lo, hi: F.ceil(F.log2(F.col(hi) - F.col(lo))).cast("int")
+        side = lambda df, lo, hi, name: df.select(F.col(lo).alias("lo"), F.when(F.col(hi) < _FAR, F.col(hi)).alias("hi"), F.when(F.col(hi) < _FAR, level(lo, hi)).alias("level"), F.lit(name).alias("side"))
+        at = lambda name, c: F.collect_set(F.when(F.col("side") == name, F.col(c)))
+        endless = F.count_if(F.col("hi").isNull() & F.col("lo").isNotNull())
+        r = side(a, "lo", "hi", "a").unionByName(side(b, "lo2", "hi2", "b")).agg(F.min("lo").alias("low"), F.greatest(F.max("lo"), F.max("hi")).alias("high"), at("a", "level").alias("a"), at("b", "level").alias("b"), endless.alias("endless")).first()
+        self.low, self.high = r.low or 0.0, r.high or 0.0
+        exponent = lambda x: math.frexp(x)[1] if x > 0 else -60
+        self.top = exponent(self.high - self.low)
+        self.base = exponent(max(abs(self.low), abs(self.high))) - 60  # numbers of cells stay within 62 bits
+        more = {self.top} if r.endless else set()
+        self.homes = [sorted({min(max(x, self.base), max(self.top, self.base)) for x in found} | more | {self.base}) for found in (r.a, r.b)]
+
+    def _home(self, lo: str, hi: str) -> Column:
+        own = F.when(F.col(hi) < _FAR, F.coalesce(F.ceil(F.log2(F.col(hi) - F.col(lo))).cast("int"), F.lit(self.base))).otherwise(self.top)
+        return F.greatest(F.least(own, F.lit(self.top)), F.lit(self.base))
+
+    def number(self, x: Column, level: Column) -> Column:
+        """The cell of a level that holds x; what lies beyond the ends is taken to be there."""
+        return F.floor(F.greatest(F.least(x, F.lit(self.high)), F.lit(self.low)) * F.pow(F.lit(2.0), -level))
+
+    def cut(self, df: DataFrame, lo: str, hi: str, levels: list[int], level: str, cell: str, home: str) -> DataFrame:
+        """df once for each of its cells, of its own level and of the higher ones among `levels`."""
+        visited = F.filter(F.array(*(F.lit(x) for x in levels)).cast("array<int>"), lambda x: x > F.col(home))
+        each = F.transform(F.concat(F.array(F.col(home)), visited), lambda k: F.transform(F.sequence(self.number(F.col(lo), k), self.number(F.col(hi), k)), lambda c: F.struct(k.alias("k"), c.alias("c"))))
+        got = df.withColumn(home, self._home(lo, hi)).withColumn(cell, F.explode(F.flatten(each)))
+        return got.withColumns({level: F.col(f"{cell}.k"), cell: F.col(f"{cell}.c")})
 
 
 def overlaps(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of rows of a (lo, hi) and b (lo2, hi2) with equal `on` columns that overlap, each once.
+    """Pairs of rows of a (lo, hi) and b (lo2, hi2) with equal `on` columns that overlap, each once; empty intervals overlap nothing.
 
-    Both sides are cut into bins and joined on `on` and the bin; a pair is kept in the bin in which its
+    Both sides are cut into dyadic cells and joined on `on`, level and cell; a pair is kept in the cell of the wider one's level in which its
     intersection begins.
     """
-    ends = b.agg(F.max(F.when(F.col("hi2") < _FAR, F.col("hi2")).otherwise(F.col("lo2"))).alias("e")).first().e
-    ends_a = a.agg(F.max(F.when(F.col("hi") < _FAR, F.col("hi")).otherwise(F.col("lo"))).alias("e")).first().e
-    w = bin_width(a)
-    top = max(ends or 0.0, ends_a or 0.0)
-    bins = lambda lo, hi: F.sequence(F.floor(F.col(lo) / w), F.floor(F.least(F.col(hi), F.lit(top)) / w))
-    left = a.where(F.col("lo") < F.col("hi")).withColumn("_bin", F.explode(bins("lo", "hi")))
-    right = b.where(F.col("lo2") < F.col("hi2")).withColumn("_bin", F.explode(bins("lo2", "hi2")))
-    met = left.join(right, [*on, "_bin"]).where("lo < hi2 and lo2 < hi")
-    return met.where(F.col("_bin") == F.floor(F.greatest("lo", "lo2") / w)).drop("_bin")
+    a, b = a.where("lo < hi"), b.where("lo2 < hi2")
+    cells = Cells(a, b)
+    level, cell, home, home2 = unused([*a.columns, *b.columns], "_level", "_cell", "_home", "_home2")
+    left, right = cells.cut(a, "lo", "hi", cells.homes[1], level, cell, home), cells.cut(b, "lo2", "hi2", cells.homes[0], level, cell, home2)
+    met = left.join(right, [*on, level, cell]).where("lo < hi2 and lo2 < hi").where(F.col(level) == F.greatest(home, home2))
+    return met.where(F.col(cell) == cells.number(F.greatest("lo", "lo2"), F.col(level))).drop(level, cell, home, home2)
 
 
 def intersect(a: DataFrame, b: DataFrame, owner: list[str]) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from .intervals import bin_width
+from .intervals import Cells
 from .sequences import packed_form
-from .storage import Ranges
+from .storage import Ranges, unused
 
 
 def parameters(haplotypes: DataFrame, mu: float = 1e-8, rho: float = 0.0, ne: float = 1e4) -> DataFrame:
@@ -46,15 +46,16 @@ def pos_to_idx(asked: DataFrame, markers: DataFrame, keys: list[str], pos: str =
 
 
 def markers_in(ranges: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and idx of the markers with lo <= position < hi: ranges are cut into bins, joined on bins."""
-    w = bin_width(ranges)
-    ends = markers.agg(F.min("position").alias("a"), F.max("position").alias("b")).first()
-    low, high = (ends.a or 0.0, ends.b or 0.0)  # no bins beyond the markers, for endless ranges
-    at = lambda c: F.floor(F.greatest(F.least(F.col(c), F.lit(high)), F.lit(low)) / w)
-    bins = F.sequence(at("lo"), at("hi"))
-    cut = ranges.where("lo < hi").select(*keys, "lo", "hi", F.explode(bins).alias("bin"))
-    m = markers.select("idx", "position", F.floor(F.col("position") / w).alias("bin"))
-    return cut.join(m, "bin").where("lo <= position and position < hi").select(*keys, "idx", "position")
+    """keys and idx of the markers with lo <= position < hi: ranges lie in one or two dyadic cells of their own level, markers look
+    into one cell of each level in use."""
+    some = ranges.where("lo < hi").select(*keys, "lo", "hi")
+    level, cell, home = unused([*some.columns, "idx", "position", "lo2", "hi2"], "_level", "_cell", "_home")
+    at = F.col("position").cast("double")
+    points = markers.select("idx", "position", at.alias("lo2"), at.alias("hi2"))
+    cells = Cells(some, points)
+    cut = cells.cut(some, "lo", "hi", [], level, cell, home).drop(home)
+    looking = cells.cut(points, "lo2", "hi2", cells.homes[0], level, cell, home).drop(home)
+    return cut.join(looking, [level, cell]).where("lo <= position and position < hi").select(*keys, "idx", "position")
 
 
 def interval_masks(ranges: DataFrame, markers: DataFrame, key: str) -> DataFrame:

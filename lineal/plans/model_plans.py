@@ -34,13 +34,13 @@ def bm_length(spark, sf_dir):
 @query(f"WITH {CFG} SELECT mask, round(sum(CASE WHEN cfg & mask = mask THEN p ELSE 0 END), 6) AS p FROM ms, d GROUP BY mask")
 def bm_prob1(spark, sf_dir):
     d = _d(spark, sf_dir)
-    return bm.prob_all_one(d, bm.subsets(N, d)).select("mask", F.round("p", 6).alias("p"))
+    return bm.prob_all_one(d, bm.subsets(N, d), N).select("mask", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {CFG} SELECT mask, cfg & mask AS cfg, round(sum(p), 6) AS p FROM ms, d GROUP BY ALL")
 def bm_marginal(spark, sf_dir):
     d = _d(spark, sf_dir)
-    return bm.marginal(d, bm.subsets(N, d)).select("mask", "cfg", F.round("p", 6).alias("p"))
+    return bm.marginal(d, bm.subsets(N, d), N).select("mask", "cfg", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {CFG}, m AS (SELECT k, sum(CASE WHEN cfg & bit <> 0 THEN p ELSE 0 END) AS m FROM co, d GROUP BY k) SELECT k, round(m, 6) AS mean, round(m * (1 - m), 6) AS var FROM m")
