@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import simplify
@@ -129,12 +129,20 @@ def root_times(closure_: DataFrame, n: int, at: DataFrame, vertices: DataFrame)
     """(x, tmrca): latitude of the lowest vertex above all n leaves in the tree at each x of a table.
 
     A sweep for each vertex: leaves are gained at lo and lost at hi, so the places at which it has all of them are where a
-    running count is n. Only these few stretches are spread over the points between their ends.
+    running count is n. Vertices that never gain as many are left out; the turns of the others are numbered over ranges and counted in blocks of
+    numbers, so the root, which turns at every breakpoint, is spread over tasks. Only the few stretches with all leaves are spread over the
+    points between their ends.
     """
     strict = closure_.where("lvl > 0")
-    gain = strict.select("anc", F.col("lo").alias("x"), F.lit(1).alias("d")).unionByName(strict.where(F.col("hi") < INF).select("anc", F.col("hi").alias("x"), F.lit(-1).alias("d")))
-    w = Window.partitionBy("anc").orderBy("x")
-    turns = gain.groupBy("anc", "x").agg(F.sum("d").alias("d")).select("anc", F.col("x").alias("lo"), F.lead("x").over(w).alias("hi"), F.sum("d").over(w).alias("c")).where(F.col("c") >= n)
+    one, none = F.lit(1), F.lit(0)
+    gain = strict.select("anc", F.col("lo").alias("x"), one.alias("d"), one.alias("g")).unionByName(strict.where(F.col("hi") < INF).select("anc", F.col("hi").alias("x"), (-one).alias("d"), none.alias("g")))
+    per = materialize(gain.groupBy("anc", "x").agg(F.sum("d").alias("d"), F.sum("g").alias("g")), "turns")
+    enough = per.groupBy("anc").agg(F.sum("g").alias("g")).where(F.col("g") >= n).select("anc")
+    placed = materialize(ranked(per.join(enough, "anc", "left_semi").select("anc", "x", "d"), ["anc", "x"], "place"), "turns")
+    counted = materialize(running(placed, "place", "d", "run"), "turns")
+    begin = counted.groupBy("anc").agg(F.min_by(F.col("run") - F.col("d"), "place").alias("begin"))
+    onward = counted.select("anc", F.col("x").alias("hi"), (F.col("place") - 1).alias("place"))
+    turns = counted.join(begin, "anc").where(F.col("run") - F.col("begin") >= n).join(onward, ["anc", "place"], "left").select("anc", F.col("x").alias("lo"), "hi")
     full = materialize(turns.join(vertices.select(F.col("v").alias("anc"), "latitude"), "anc").select("lo", "hi", "latitude").distinct())
     places = at.select("x", F.lit(True).alias("asked")).unionByName(full.select(F.col("lo").alias("x"), F.lit(False).alias("asked"))).unionByName(full.where("hi is not null").select(F.col("hi").alias("x"), F.lit(False).alias("asked")))
     places = materialize(ranked(places.groupBy("x").agg(F.bool_or("asked").alias("asked")), ["x"], "place"))

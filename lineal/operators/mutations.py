@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from .sample import interval_masks
+from .sample import interval_masks, markers_in
+from .storage import Ranges, materialize
 
 
 def vertex_sequences(closure_: DataFrame, haplotypes: DataFrame, markers: DataFrame) -> DataFrame:
@@ -54,6 +57,54 @@ def next_inconsistent(mutations: DataFrame, events: DataFrame, idx: int = 1) ->
     return told.join(F.broadcast(first), "idx").select("idx", "src", "dst")
 
 
+def next_inconsistent_from(edges: DataFrame, sequences: DataFrame, markers: DataFrame, events: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, idx, src, dst): for each start (a marker's number), the mutation edges of the first marker from there on that has more than one;
+    edges above recombination vertices' children don't count. Starts without such a marker have no row.
+
+    Chunks of markers are looked at from the least start on, and the search ends with the chunk in which the last start is answered: batches
+    of chunks double in length, so it reads at most about twice the chunks it needs, in a number of jobs that grows like their logarithm.
+    Sequences (v, chunk, bits, ..) are read for the chunks of a batch alone: a table partitioned by chunk is pruned.
+    """
+    counted = materialize(edges.join(events.select(F.col("rvertex").alias("src")), "src", "left_anti").select("src", "dst", "lo", "hi"), "edges")
+    last = markers.agg(F.max("idx").alias("m")).first().m or 0
+    open_ = materialize(starts.select("start").where("start is not null").distinct(), "starts")
+    out, chunk, length = [], None, 1
+    while True:
+        least = open_.agg(F.min("start").alias("s")).first().s
+        if least is None:
+            break
+        chunk = max(chunk or 0, (max(least, 1) - 1) // bits.CHUNK)
+        if chunk * bits.CHUNK >= last:
+            break
+        end = chunk + length
+        some = markers.where((F.col("idx") > max(chunk * bits.CHUNK, least - 1)) & (F.col("idx") <= end * bits.CHUNK))
+        found = mutation_edges(chunk_differences(counted, sequences.where((F.col("chunk") >= chunk) & (F.col("chunk") < end)), some))
+        found = materialize(found, "mutations")
+        twice = found.groupBy("idx").count().where("count > 1").select("idx")
+        # a start's answer is the next such marker: both stand in one order, dealt by ranges, falling
+        both = twice.select((-F.col("idx")).alias("_at"), F.lit(0).alias("_kind"), "idx").unionByName(open_.select((-F.col("start")).alias("_at"), F.lit(1).alias("_kind"), "start"), allowMissingColumns=True)
+        dealt = Ranges(both, [], ["_at", "_kind"])
+        told = dealt.running(dealt.rows, "hit", F.col("idx"), "last").where("_kind = 1 and hit is not null").select("start", F.col("hit").alias("idx"))
+        told = materialize(told, "starts")
+        out.append(materialize(told.join(found, "idx").select("start", "idx", "src", "dst"), "mutations"))
+        open_ = materialize(open_.join(told, "start", "left_anti"), "starts")
+        chunk, length = end, 2 * length
+    empty = counted.where(F.lit(False)).select(F.lit(0).alias("start"), F.lit(0).alias("idx"), "src", "dst")
+    return reduce(DataFrame.unionByName, out, empty) if out else empty
+
+
+def chunk_differences(edges: DataFrame, sequences: DataFrame, markers: DataFrame) -> DataFrame:
+    """(src, dst, chunk, x) as edge_differences, at the given markers alone; rows without a difference are left out."""
+    cut = edges.select("src", "dst", F.struct("lo", "hi").alias("k"))
+    hit = markers_in(cut.select("k").distinct().select("k", "k.lo", "k.hi"), markers, ["k"])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bits.place_in_chunk(F.col("idx")) - 1).cast("int"))
+    masks = hit.groupBy("k", (bits.chunk_of(F.col("idx")) - 1).alias("chunk")).agg(F.bit_or(one).alias("m"))
+    s = sequences.select(F.col("v").alias("src"), "chunk", F.col("bits").alias("a"))
+    d = sequences.select(F.col("v").alias("dst"), "chunk", F.col("bits").alias("b"))
+    met = cut.join(masks, "k").join(s, ["src", "chunk"]).join(d, ["dst", "chunk"])
+    return met.groupBy("src", "dst", "chunk").agg(F.bit_or(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.col("m"))).alias("x")).where("x <> 0")
+
+
 def breakpoint_bounds(pairs: DataFrame, stops: DataFrame) -> DataFrame:
     """(pair, right_idx, left_idx): going left from right_idx, the nearest marker that stops (0: none). pairs: (pair, right_idx);
     stops: (pair, idx), see bound_stops."""

@@ -45,6 +45,16 @@ def ordered_edges(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return ranked(timed, ["time", "parent", "child", "left"], "id").withColumn("id", F.col("id") - 1).drop("time")
 
 
+def indexed_edges(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
+    """ordered_edges with the places from 0 at which they are put into and taken out of the tree, going from left to right: `insertion` by left
+    end and the parent's time, parents upwards; `removal` by right end and time, parents downwards."""
+    timed = ordered_edges(nodes_, edges_).join(nodes_.select(F.col("id").alias("parent"), "time"), "parent")
+    put = ranked(timed, ["left", "time", "parent", "child", "id"], "insertion")
+    down = [F.col("right"), *(F.col(c).desc() for c in ("time", "parent", "child", "id"))]
+    taken = ranked(put, down, "removal")
+    return taken.withColumns({"insertion": F.col("insertion") - 1, "removal": F.col("removal") - 1}).drop("time")
+
+
 def write(nodes_: DataFrame, edges_: DataFrame, sites_: DataFrame, mutations_: DataFrame, path: str | None = None, provenance_: DataFrame | None = None) -> str:
     """The four tables, and records of provenance (id, record) if given, under path; edges ordered by the parent's time, parent, child and left end."""
     path = path or fresh_path(nodes_.sparkSession, "trees")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import LEVELS
+from .intervals import Cells, simplify
 from .storage import followed, materialize, unused
 
 
@@ -54,6 +55,31 @@ def edges_up(edges: DataFrame, starts: DataFrame, within: Column, admits: Column
     return _levels(first.select(*cols), lambda level: onward.join(level.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*cols))
 
 
+def edges_down_each(edges: DataFrame, roots: DataFrame, sets: DataFrame, key: str, admits: Column | None = None) -> DataFrame:
+    """(key, src, dst): many walks in one pass, each from its root (key, v) downwards at its own set of places (key, lo, hi).
+
+    As edges_down: child edges that overlap any interval of the walk's set are taken, and the only child edge of a recombination vertex in any case.
+    A level's rows are (key, vertex) for all walks; they meet edges by vertex, and the sets by key and dyadic cell, so neither a walk with many
+    intervals nor an edge of many walks is a group of its own. A walk without a non-empty interval has no first edge. Null keys walk nowhere.
+    """
+    ok = edges if admits is None else edges.where(admits)
+    places = simplify(sets, [key]).select(key, F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    ok, places = materialize(ok.select("src", "dst", "lo", "hi", "src_kind").where("lo < hi")), materialize(places)
+    cells = Cells(ok, places)
+    onward = materialize(cells.cut(ok, "lo", "hi", cells.homes[1], "_level", "_cell", "_home"))
+    asked = materialize(cells.cut(places, "lo2", "hi2", cells.homes[0], "_level", "_cell", "_home2"))
+    passing = ok.where("src_kind = 'rec'").select("src", "dst")
+    meet = (F.col("lo") < F.col("hi2")) & (F.col("lo2") < F.col("hi")) & (F.col("e._level") == F.greatest("_home", "_home2"))
+
+    def step(level: DataFrame, always: bool = True) -> DataFrame:
+        at = level.select(key, F.col("dst").alias("src"))
+        found = at.join(onward, "src").alias("e").join(asked.alias("s"), (F.col(f"e.{key}") == F.col(f"s.{key}")) & (F.col("e._level") == F.col("s._level")) & (F.col("e._cell") == F.col("s._cell")) & meet, "left_semi").select(key, "src", "dst")
+        return found.unionByName(at.join(passing, "src").select(key, "src", "dst")) if always else found
+
+    first = step(roots.select(F.col(key), F.col("v").alias("dst")), always=False)
+    return _levels(first, step)
+
+
 def with_kinds(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """edges with the kinds and latitudes of both ends: src_kind, dst_kind, src_lat, dst_lat."""
     s = vertices.select(F.col("v").alias("src"), F.col("kind").alias("src_kind"), F.col("latitude").alias("src_lat"))

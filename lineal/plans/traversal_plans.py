@@ -15,9 +15,9 @@ from ..operators import tables as tb
 from ..operators import traversal as tr
 from ..operators.storage import materialize
 from ..sources import fixtures as fx
-from .genealogy_plans import POINTS, SEQ_A, A, Case, T
+from .genealogy_plans import POINTS, SEQ_A, UP_A, A, Case, T
 from .registry import query
-from .sequence_plans import HAP, STR
+from .sequence_plans import HAP, IV, STR
 
 #: Places and a marker that walks look at, a latitude that they stay above, the share of vertices whose ancestors are told.
 LO, HI, IDX, LOW = 10.0, 30.0, 20, 5.0
@@ -68,6 +68,20 @@ def edges_interval_rooted(spark, sf_dir):
     return _long(tr.edges_down(e, 2 * c.n - 1, g.meets(LO, HI), F.col("src_lat") >= 100), "src", "dst")
 
 
+@query(f"""WITH RECURSIVE {A}, {K}, {IV}, pl AS (SELECT user_id, lo % 640 / 10 AS lo, lo % 640 / 10 + 0.5 + CASE WHEN event_id % 50 = 0 THEN 9.5 ELSE 0 END AS hi FROM iv),
+ok AS (SELECT user_id, src, dst, len, false AS passing FROM (SELECT ak.*, sl - dl AS len FROM ak) k JOIN pl ON k.lo < pl.hi AND pl.lo < k.hi UNION SELECT user_id, src, dst, sl - dl, true FROM ak, (SELECT DISTINCT user_id FROM iv) WHERE sk = 'rec'),
+td AS (SELECT user_id, src, dst, len FROM ok, n WHERE src = 2 * n - 1 AND NOT passing UNION SELECT ok.user_id, ok.src, ok.dst, ok.len FROM td JOIN ok ON ok.user_id = td.user_id AND ok.src = td.dst)
+SELECT user_id, count(*) AS n_edges, round(sum(len), 4) AS length FROM td GROUP BY user_id""")
+def edges_interval_each(spark, sf_dir):
+    """Edges at each user's own set of stretches, from the highest vertex downwards, and their length; all users in one pass."""
+    c, e = _walk(spark, sf_dir)
+    sets = fx.place_sets(spark, sf_dir)
+    roots = sets.select("user_id", F.lit(2 * c.n - 1).alias("v")).distinct()
+    length = e.select("src", "dst", (F.col("src_lat") - F.col("dst_lat")).alias("len")).distinct()
+    walked = tr.edges_down_each(e, roots, sets, "user_id").join(length, ["src", "dst"])
+    return walked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("len"), 4).alias("length"))
+
+
 _REC = f"""st AS (SELECT v, derived FROM vs WHERE idx = {IDX}), ok AS (SELECT ak.* FROM ak LEFT JOIN st ON st.v = dst LEFT JOIN ev ON ev.rv = dst
 WHERE NOT (lo <= {IDX} AND hi > {IDX} AND NOT coalesce(derived, false)) AND sl >= {LOW} AND NOT (dk = 'rec' AND NOT CASE WHEN src = pa THEN {IDX} < bp ELSE bp <= {IDX} END))"""
 
@@ -283,6 +297,33 @@ def ts(spark, sf_dir):
     return tb.ordered_edges(tb.nodes(c.vertices), tb.edges(c.edges, float(fx.MARKERS))).select("id", "left", F.col("parent").cast("long").alias("parent"), F.col("child").cast("long").alias("child"))
 
 
+@query(f"""WITH RECURSIVE {A}, t AS (SELECT src - 1 AS parent, dst - 1 AS child, lo AS l, least(hi, {float(fx.MARKERS)}) AS r, latitude AS t FROM ae JOIN av ON v = src)
+SELECT CAST(row_number() OVER (ORDER BY t, parent, child, l) - 1 AS BIGINT) AS id, l AS "left", r AS "right", CAST(parent AS BIGINT) AS parent, CAST(child AS BIGINT) AS child,
+CAST(row_number() OVER (ORDER BY l, t, parent, child) - 1 AS BIGINT) AS insertion, CAST(row_number() OVER (ORDER BY r, t DESC, parent DESC, child DESC, l DESC) - 1 AS BIGINT) AS removal FROM t""")
+def ts_index(spark, sf_dir):
+    """Edges of the tree-sequence tables with the orders in which they enter and leave the tree."""
+    c = Case(spark, sf_dir)
+    return tb.indexed_edges(tb.nodes(c.vertices), tb.edges(c.edges, float(fx.MARKERS))).select("id", "left", "right", *(F.col(x).cast("long").alias(x) for x in ("parent", "child", "insertion", "removal")))
+
+
+#: Thresholds of the wide haplotypes' markers.
+_WIDE = ", ".join(f"{t}::DOUBLE" for t in fx.THRESHOLDS)
+
+
+@query(f"""{UP_A}, wh AS (SELECT CAST(vec_id + 1 AS INTEGER) AS v, CAST({len(fx.THRESHOLDS)} * (j - 1) + k AS INTEGER) AS idx, embedding[j] > [{_WIDE}][k] AS derived FROM embeddings, range(1, 65) a(j), range(1, {len(fx.THRESHOLDS) + 1}) b(k) WHERE j <= len(embedding)),
+ws AS (SELECT anc AS v, idx, bool_and(derived) AS derived FROM cl JOIN wh ON wh.v = cl.v AND lo <= idx / {float(len(fx.THRESHOLDS))} AND idx / {float(len(fx.THRESHOLDS))} < hi GROUP BY anc, idx),
+k AS (SELECT DISTINCT s.idx, ae.src, ae.dst FROM ae JOIN ws s ON s.v = ae.src JOIN ws d ON d.v = ae.dst AND d.idx = s.idx WHERE lo <= s.idx / {float(len(fx.THRESHOLDS))} AND s.idx / {float(len(fx.THRESHOLDS))} < hi AND s.derived <> d.derived AND ae.src NOT IN (SELECT rv FROM ev)),
+f AS (SELECT idx FROM k GROUP BY idx HAVING count(*) > 1), st AS (SELECT DISTINCT CAST(o_orderkey % 32 * 10 + 1 AS INTEGER) AS start FROM orders), g AS (SELECT start, min(idx) AS idx FROM st JOIN f ON idx >= start GROUP BY start)
+SELECT start, k.idx, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM g JOIN k ON k.idx = g.idx""")
+def next_inconsistent_from(spark, sf_dir):
+    """The next marker with several mutations from each of the starts that order keys give, over haplotypes of five chunks."""
+    c = Case(spark, sf_dir)
+    m = fx.wide_markers(spark, sf_dir)
+    sequences = materialize(mu.vertex_sequences(c.closure, fx.wide_haplotypes(spark, sf_dir), m), "sequences")
+    starts = fx.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 32 * 10 + 1).cast("int").alias("start"))
+    return mu.next_inconsistent_from(c.edges, sequences, m, c.events, starts).select("start", "idx", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+
+
 # densities, descents, bounds
 
 

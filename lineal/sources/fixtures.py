@@ -38,6 +38,31 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest.select(F.explode(F.sequence(F.lit(1), F.col("m"))).alias("idx")).withColumn("position", F.col("idx").cast("double"))
 
 
+#: Each element gives a marker for each of these thresholds, in this order, in wide haplotypes.
+THRESHOLDS = (0.0, 0.1, -0.1, 0.05, -0.05)
+
+
+def wide_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(v, n, chunks) with several markers an element, in several chunks: derived where the element exceeds the marker's threshold."""
+    flags = F.flatten(F.transform("embedding", lambda x: F.array(*(x > t for t in THRESHOLDS))))
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("v"), flags.alias("flags"))
+    return e.select("v", F.size("flags").alias("n"), bits.pack(F.col("flags")).alias("chunks"))
+
+
+def wide_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(idx, position) of wide haplotypes, as close together as lets an element's last marker stand at its place."""
+    m = markers(spark, sf_dir)
+    k = len(THRESHOLDS)
+    return m.select(F.explode(F.sequence((F.col("idx") - 1) * k + 1, F.col("idx") * k)).alias("idx")).withColumn("position", F.col("idx") / k)
+
+
+def place_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, lo, hi): each user's events as stretches of places, half a marker to ten markers wide."""
+    e = event_intervals(spark, sf_dir)
+    lo = F.col("lo") % 640 / 10
+    return e.select("user_id", lo.alias("lo"), (lo + 0.5 + F.when(F.col("event_id") % 50 == 0, 9.5).otherwise(0.0)).alias("hi"))
+
+
 def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, user_id, event_type, lo, hi) in minutes."""
     # whole minutes, whatever the session's time zone
