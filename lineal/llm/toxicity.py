@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from .common import materialize, unused
 
 #: Labelled rows that the model is fitted on at most (the first by a hash of the key); terms that it weighs.
-SAMPLE, TERMS = 12_000, 384
+SAMPLE, TERMS = 12_000, 1_024
 #: Terms are whole words, and beginnings of words of these lengths (marked by a trailing "*").
 PREFIXES = range(4, 9)
 #: A term is looked at if this many sampled documents hold it.
-LEAST_DOCS = 6
-#: Standard deviations by which a term's share of toxic rows must exceed that of others: among some hundred thousand
-#: terms, chance alone gives hardly one.
-LEAST_Z = 5.0
+LEAST_DOCS = 3
+#: Standard deviations by which a term's share of toxic rows exceeds that of others, at which it is telling: among some hundred
+#: thousand terms, chance alone gives hardly one. Mentions of telling terms make the grades; weights have no such
+#: edge, but a prior of a width in proportion to the deviations (1 at this many), so that what may be chance weighs little.
+TELLING_Z = 5.0
+#: Width of the prior of the weight of log(1 + words), and how narrow all priors are.
+LENGTH_PRIOR, RIDGE = 0.3, 0.002
 #: Mentions from which a toxic document is of grade 2 and of grade 3 (below: grade 1).
 GRADE_EDGES = (3, 6)
 #: Words whose terms a worker remembers.
@@ -66,8 +69,8 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - eta[:, None], -50, 50)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 0.02, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds of a cumulative logit model, by Adam on the penalised likelihood.
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = RIDGE, steps: int = 400, most: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, at most `most` each, and ordered thresholds of a cumulative logit model, by Adam on the penalised likelihood.
     Thresholds are a first one plus exponentials, and so stay ordered."""
     n, m = x.shape
     p = np.zeros(m + n_grades - 1)
@@ -89,6 +92,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 0.0
         g = np.concatenate([x.T @ d_eta + l2 / n * w * 50, [d_theta.sum()], [d_theta[i + 1 :].sum() * gaps[i] for i in range(n_grades - 2)]])
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         p -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        p[:m] = np.minimum(p[:m], most)
     return p[:m], p[m] + np.concatenate([[0.0], np.cumsum(np.exp(p[m + 1 :]))])
 
 
@@ -100,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     re-learns counts of its own features; what labels can tell of the model is whether rows are toxic, see the held-out tests.
     Repeated labels of a key count once, as toxic if any is.
     Term statistics of the sample are counted on Spark; the driver gets the chosen terms and, per sampled
-    row, the counts of those alone. Null texts are empty; null labels and labels without a document are
+    row, the counts of those alone: the `terms` most over-represented in toxic rows, each with a prior as wide as it is
+    telling. Null texts are empty; null labels and labels without a document are
     left out. No toxic row, none that isn't, or no telling term: a model that finds nothing.
     """
     known = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(toxic).alias("_y"))
@@ -130,11 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     stats = rows.mapInArrow(held, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = (F.col("a") + F.col("b")) / (n0 + n1)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    best = stats.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
+    best = stats.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("z", z).orderBy(F.desc("z"), "term").limit(terms).collect()
     if not best:
         return Model()
     model = Model({r.term: i for i, r in enumerate(best)}, np.zeros(len(best) + 1))
-    telling = {i for i, r in enumerate(best) if (r.a / n1) > 8 * (r.b + 0.5) / n0}
+    telling = {i for i, r in enumerate(best) if r.z >= TELLING_Z and (r.a / n1) > 8 * (r.b + 0.5) / n0}
+    wide = np.array([*(r.z / TELLING_Z for r in best), LENGTH_PRIOR])
 
     def count(batches):
         memo: dict = {}
@@ -156,7 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         x[i, r["at"]] = r["x"]
     mean = x[:, -1].mean()
     x[:, -1] -= mean
-    w, theta = fit_ordinal(x, np.array([r.grade for r in got]), 4)
+    x *= wide[None, :]  # a penalty on w / wide
+    most = np.append(np.full(len(best), np.inf), 0.0)  # more words don't make a text worse, however long it is
+    w, theta = fit_ordinal(x, np.array([r.grade for r in got]), 4, most=most)
+    w = w * wide
     model.weights, model.thresholds = w, theta + w[-1] * mean
     return model
 

@@ -89,3 +89,15 @@ def test_toxic_rows_held_out_of_the_given_tables(spark):
     told = {(r.toxic, r.is_toxic): r["count"] for r in tx.score(docs.join(labels.where("doc_id % 2 = 1").select("doc_id", "toxic"), "doc_id"), model).groupBy("toxic", "is_toxic").count().collect()}
     hit, miss, wrong, right = (told.get(k, 0) for k in ((1, True), (1, False), (0, True), (0, False)))
     assert hit / (hit + miss) >= 0.9 and wrong / (wrong + right) <= 0.01, told
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no such tables")
+@pytest.mark.parametrize("fold", [0, 1])
+def test_few_toxic_rows_are_enough_for_most_of_the_others(spark, fold):
+    """Fitted on one half of some fifty labelled toxic rows, seven of ten in the other half are told and no other row; each grade occurs."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = tx.fit(docs, labels.where(f"doc_id % 2 = {fold}"))
+    rows = tx.score(docs.join(labels.where(f"doc_id % 2 <> {fold}").select("doc_id", "toxic"), "doc_id"), model).select("toxic", "grade").collect()
+    toxic = [r.grade for r in rows if r.toxic]
+    assert sum(g > 0 for g in toxic) >= 0.7 * len(toxic) and set(toxic) >= {1, 2, 3}
+    assert not any(r.grade for r in rows if not r.toxic)
