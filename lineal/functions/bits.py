@@ -156,3 +156,9 @@ def chunk_of(idx: Column) -> Column:
 def place_in_chunk(idx: Column) -> Column:
     """Place of marker idx in its chunk, from 1 to 64."""
     return (F.pmod(idx - 1, F.lit(CHUNK)) + 1).cast("int")
+
+
+def set_places(x: Column) -> Column:
+    """Places (0 to CHUNK - 1, rising) of the ones of a chunk: only these are exploded by who lists them."""
+    one = lambda i: F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.filter(F.sequence(F.lit(0), F.lit(CHUNK - 1)), one)

@@ -28,7 +28,7 @@ def vertex_sequences(closure_: DataFrame, haplotypes: DataFrame, markers: DataFr
 def long_sequences(sequences: DataFrame) -> DataFrame:
     """(v, idx, derived) at the markers that each vertex is ancestral at."""
     bit = lambda c, i: F.call_function("shiftrightunsigned", F.col(c), i).bitwiseAND(F.lit(1).cast("long")) == 1
-    every = sequences.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bits.CHUNK - 1)))).where(bit("mask", F.col("i")))
+    every = sequences.withColumn("i", F.explode(bits.set_places(F.col("mask"))))
     return every.select("v", (F.col("chunk") * bits.CHUNK + F.col("i") + 1).cast("int").alias("idx"), bit("bits", F.col("i")).alias("derived"))
 
 
@@ -44,9 +44,8 @@ def edge_differences(edges: DataFrame, sequences: DataFrame, markers: DataFrame)
 
 def mutation_edges(differences: DataFrame) -> DataFrame:
     """(idx, src, dst) of each mutation."""
-    some = differences.where("x <> 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bits.CHUNK - 1))))
-    on = F.call_function("shiftrightunsigned", F.col("x"), F.col("i")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return some.where(on).select((F.col("chunk") * bits.CHUNK + F.col("i") + 1).cast("int").alias("idx"), "src", "dst")
+    some = differences.where("x <> 0").withColumn("i", F.explode(bits.set_places(F.col("x"))))
+    return some.select((F.col("chunk") * bits.CHUNK + F.col("i") + 1).cast("int").alias("idx"), "src", "dst")
 
 
 def next_inconsistent(mutations: DataFrame, events: DataFrame, idx: int = 1) -> DataFrame:
@@ -122,10 +121,9 @@ def bound_stops(pairs: DataFrame, sequences: DataFrame, markers: DataFrame) -> D
     met = pairs.select("pair", "rdst", "cdst").join(masks, "pair").join(s, ["rdst", "chunk"], "left").join(d, ["cdst", "chunk"], "left")
     zero = F.lit(0).cast("long")
     x = F.coalesce("a", zero).bitwiseXOR(F.coalesce("b", zero)).bitwiseOR(F.bitwise_not("m"))
-    every = met.withColumn("x", x).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bits.CHUNK - 1))))
+    every = met.withColumn("x", x).withColumn("i", F.explode(bits.set_places(F.col("x"))))
     idx = (F.col("chunk") * bits.CHUNK + F.col("i") + 1).cast("int")
-    on = F.call_function("shiftrightunsigned", F.col("x"), F.col("i")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return every.where(on & (idx <= F.col("n"))).select("pair", idx.alias("idx"))
+    return every.where(idx <= F.col("n")).select("pair", idx.alias("idx"))
 
 
 def pair_mutations(a: Column, b: Column, mask: Column | None = None) -> Column:

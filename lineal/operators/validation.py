@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import degrees, with_latitudes
@@ -15,20 +15,33 @@ TREE_RULES = ["latitudes rise with vertex numbers", "children lie below parents"
 GRAPH_RULES = ["leaves have a parent alone", "leaves carry all places", "coalescences have two children and a parent, if any", "recombinations have a child and two parents", "children lie below parents", "parental intervals are unions of child intervals", "states are those that all children have", "leaf sequences are those of the sample", "one mutation per marker", "one root"]
 
 
-def _counted(rules: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations") for name, df in rules.items()])
+def _broken(df: DataFrame, **rules: Column) -> DataFrame:
+    """(at, violations): one row for each rule, r and its number, all counted in one pass by its aggregate; null is none."""
+    one = df.agg(*(F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in rules.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("at"), F.col(k).alias("violations")) for k in rules))))
+
+
+def _named(names: list[str], parts: list[DataFrame]) -> DataFrame:
+    """(rule, violations) of parts whose column `at` is r and the rule's number."""
+    named = F.element_at(F.array(*map(F.lit, names)), F.substring("at", 2, 2).cast("int") + 1)
+    return reduce(DataFrame.unionByName, parts).select(named.alias("rule"), "violations")
+
+
+def _roots() -> Column:
+    return F.when(F.count_if(F.col("n_dads") == 0) != 1, 1)
 
 
 def tree_violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rule, violations) of a tree."""
-    d = degrees(edges, vertices)
-    lat = with_latitudes(edges, vertices)
-    root = F.col("n_dads") == 0
-    inner = vertices.where("kind = 'coal'")
+    """(rule, violations) of a tree. Rules on degrees are one pass over vertices."""
+    n, inner = F.count(F.lit(1)), vertices.where("kind = 'coal'")
     before = inner.select((F.col("v") + 1).alias("v"), F.col("latitude").alias("below"))
-    falls = inner.join(before, "v").where("latitude < below")
-    checks = (falls, lat.where("dst_lat > src_lat"), edges.where("dst >= src"), d.where(root & (F.col("n_children") != 2)), d.where("kind = 'coal' and n_dads > 0 and (n_children <> 2 or n_dads <> 1)"), d.where("kind = 'leaf' and (n_children <> 0 or n_dads <> 1)"), d.where(root).groupBy().count().where("count <> 1"))
-    return _counted(dict(zip(TREE_RULES, checks, strict=True)))
+    by_degree = {"r3": "n_dads = 0 and n_children <> 2", "r4": "kind = 'coal' and n_dads > 0 and (n_children <> 2 or n_dads <> 1)", "r5": "kind = 'leaf' and (n_children <> 0 or n_dads <> 1)"}
+    return _named(TREE_RULES, [
+        _broken(inner.join(before, "v").where("latitude < below"), r0=n),
+        _broken(with_latitudes(edges, vertices).where("dst_lat > src_lat"), r1=n),
+        _broken(edges.where("dst >= src"), r2=n),
+        _broken(degrees(edges, vertices), **{r: F.count_if(F.expr(c)) for r, c in by_degree.items()}, r6=_roots()),
+    ])
 
 
 def _unlike_intervals(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -54,21 +67,17 @@ def _unlike_states(edges: DataFrame, sequences: DataFrame, markers: DataFrame) -
 def graph_violations(vertices: DataFrame, edges: DataFrame, sequences: DataFrame, mutations: DataFrame, haplotypes: DataFrame, markers: DataFrame) -> DataFrame:
     """(rule, violations) of a recombination graph. A consistent one has one mutation per marker; others
     are told how many markers have more or none."""
-    d = degrees(edges, vertices)
-    lat = with_latitudes(edges, vertices)
+    n, none = F.count(F.lit(1)), F.lit(0).cast("long")
     leaf = vertices.where("kind = 'leaf'").select(F.col("v").alias("dst"))
     h = haplotypes.select("v", F.posexplode("chunks").alias("chunk", "b"))
     per = markers.select("idx").join(mutations.groupBy("idx").count(), "idx", "left")
-    checks = (
-        d.where("kind = 'leaf' and (n_children <> 0 or n_dads <> 1)"),
-        edges.join(leaf, "dst", "left_semi").where((F.col("lo") != 0) | (F.col("hi") != float("inf"))),
-        d.where("kind = 'coal' and (n_children <> 2 or n_dads > 1)"),
-        d.where("kind = 'rec' and (n_children <> 1 or n_dads <> 2)"),
-        lat.where("dst_lat > src_lat"),
-        _unlike_intervals(edges, vertices),
-        _unlike_states(edges, sequences, markers),
-        h.join(sequences, ["v", "chunk"], "left").where(F.coalesce("bits", F.lit(0).cast("long")) != F.col("b")),
-        per.where(F.coalesce("count", F.lit(0)) != 1),
-        d.where("n_dads = 0").groupBy().count().where("count <> 1"),
-    )
-    return _counted(dict(zip(GRAPH_RULES, checks, strict=True)))
+    by_degree = {"r0": "kind = 'leaf' and (n_children <> 0 or n_dads <> 1)", "r2": "kind = 'coal' and (n_children <> 2 or n_dads > 1)", "r3": "kind = 'rec' and (n_children <> 1 or n_dads <> 2)"}
+    return _named(GRAPH_RULES, [
+        _broken(degrees(edges, vertices), **{r: F.count_if(F.expr(c)) for r, c in by_degree.items()}, r9=_roots()),
+        _broken(edges.where((F.col("lo") != 0) | (F.col("hi") != float("inf"))).join(leaf, "dst", "left_semi"), r1=n),
+        _broken(with_latitudes(edges, vertices).where("dst_lat > src_lat"), r4=n),
+        _broken(_unlike_intervals(edges, vertices), r5=n),
+        _broken(_unlike_states(edges, sequences, markers), r6=n),
+        _broken(h.join(sequences, ["v", "chunk"], "left").where(F.coalesce("bits", none) != F.col("b")), r7=n),
+        _broken(per, r8=F.count_if(F.coalesce("count", none) != 1)),
+    ])
