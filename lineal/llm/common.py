@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import gc
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.storage import fresh_path, materialize, unused
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "components", "fresh_path", "materialize", "offsets", "unused"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "components", "delete", "fresh_path", "materialize", "offsets", "tidy", "unused"]
 
 #: A word: a maximal run of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +49,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def delete(table: DataFrame) -> None:
+    """Delete a table of materialize() that nothing will read again."""
+    sc = table.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more, which it does when the driver's memory is collected; a driver
+    with little to do is seldom collected by itself. For steps that each leave large shuffles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def offsets(counts: DataFrame, keys: list[str], part: str, value: str, per: int = 1_000) -> DataFrame:
     """(keys, part, off): for each key, the sum of `value` over the parts, whole numbers, before each. In two levels, blocks of
     `per` parts and parts within a block, so that a key with most of the parts is spread over tasks."""

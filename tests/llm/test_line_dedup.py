@@ -206,3 +206,44 @@ def test_lines_that_share_a_passage_only_do_not_meet(spark, frame):
     lines = ld.materialize(ld._lines(df, "doc_id", "text", ld.SIMILARITY, ld.SURE))
     assert ld.shared_keys(lines).count() == 0
     assert all(r.n_dropped == 0 for r in ld.dedup_lines(df).collect())
+
+
+@pytest.mark.parametrize("seed,alphabet", [(31, "abcdefghij"), (32, "abc")])
+def test_all_links_of_the_query_are_found(frame, seed, alphabet):
+    """With the parameters of the query: as many edits as the similarity allows, of each kind, in lines of few or many different words; brute
+    force knows no keys."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(alphabet) * rng.randint(1, 12)
+    rows = []
+    for k in range(110):
+        x = [word() for _ in range(rng.choice([5, 9, 10, 14, 15, 20, 25, 30, 35, 50, 90]))]
+        rows.append((2 * k, " ".join(x)))
+        mode, first = rng.randrange(4), len(x)
+        for _ in range(first // (4 if mode == 2 else 5)):
+            at, kind = rng.randrange(len(x)), mode if mode < 3 else rng.randrange(3)
+            x[at : at + (kind < 2)] = [word()] * (kind != 1)
+        rows.append((2 * k + 1, " ".join(x)))
+    want = brute(rows)
+    assert sum(not t for t in want.values()) > 90
+    assert {r.doc_id: r.text for r in ld.dedup_lines(frame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_prefixes_share_pairs():
+    """Lines that similarity allows share a pair among the first ones of each, and two with one more of each, repeats or not."""
+    rng = random.Random(5)
+    marks = ld.LineMarks({"w1": 3, "w2": 1}, {}, 0.8, 0.8)
+    one, two = [], []
+    while len(one) < 1500:
+        own = rng.choice([3, 8, 50, 2000])
+        x = [f"w{rng.randrange(own)}" for _ in range(rng.choice([*range(4, 21), 24, 25, 29, 30, 34, 40, 60]))]
+        y, mode = list(x), rng.randrange(4)
+        for _ in range(rng.randint(1, max(1, len(x) // 4))):
+            at, kind = rng.randrange(len(y)), mode if mode < 3 else rng.randrange(3)
+            y[at : at + (kind < 2)] = [f"w{rng.randrange(own)}"] * (kind != 1 or len(y) == 1)
+        if x != y and ld.alike(x, y, 0.8):
+            one.append(x)
+            two.append(y)
+    a, b = ([c.to_pylist() for c in marks(ld.listed([(0, i, x) for i, x in enumerate(lines)]))] for lines in (one, two))
+    for i in range(len(one)):
+        assert set(a[1][i][: a[2][i]]) & set(b[1][i][: b[2][i]]) and len(set(a[1][i]) & set(b[1][i])) >= 2
+    assert sum(a[2]) < sum(ld.takes(len(x), 0.8, 0.8) for x in one)
