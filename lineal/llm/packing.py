@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ WIDTH = 4
 REMEMBERED, LONG = 400_000, 48
 #: Marks that are tokens of their own after a letter or digit.
 MARKS = ".,;:!?"
+#: Such a mark at the end of a chunk, after a letter or digit of Latin-1.
+_LAST_MARK = re.compile(rf"[{MARKS}](?!\S)(?<=[{''.join(c for c in map(chr, range(256)) if c.isalnum())}].)")
 #: Bytes of ids in one batch of rows.
 BATCH = 4 << 20
 #: What str.split() takes for white space and the tokenizer doesn't.
@@ -62,7 +65,7 @@ class Chunks(dict):
             text = text.lower()  # as the tokenizer does; letters beyond have rules of their own
         except UnicodeEncodeError:
             pass
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, _LAST_MARK.sub(r" \g<0>", text).split()))  # words ahead of a mark are met without it
 
 
 _chunks: dict[str, Chunks] = {}

@@ -135,3 +135,13 @@ def test_the_query(spark, sf_dir):
     for r in rows:
         ids = np.array([*plain(docs[r.doc_id]), 1], "<u4")
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
+def test_words_ahead_of_a_mark_are_met_without_it():
+    """One memory for a word and the word with a mark, without a call for each: ids stay the tokenizer's."""
+    chunks = packing.Chunks(PATH)
+    asked = []
+    chunks.__class__ = type("Told", (packing.Chunks,), {"__missing__": lambda self, c: asked.append(c) or packing.Chunks.__missing__(self, c)})
+    text = "word word, Word. (word) word... é; é x.y. a)! 9:"
+    assert np.frombuffer(chunks.ids(text), "<u4").tolist() == plain(text)
+    assert "word," not in asked and "é;" not in asked and "9:" not in asked and "a)!" in asked and "word..." in asked
