@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from .graph import LEVELS
-from .intervals import Cells, simplify
-from .storage import followed, materialize, unused
+from .intervals import overlaps
+from .storage import followed, materialize, ranked, unused
 
 
 def _levels(first: DataFrame, step) -> DataFrame:
@@ -55,29 +56,43 @@ def edges_up(edges: DataFrame, starts: DataFrame, within: Column, admits: Column
     return _levels(first.select(*cols), lambda level: onward.join(level.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*cols))
 
 
-def edges_down_each(edges: DataFrame, roots: DataFrame, sets: DataFrame, key: str, admits: Column | None = None) -> DataFrame:
-    """(key, src, dst): many walks in one pass, each from its root (key, v) downwards at its own set of places (key, lo, hi).
+def walks_down(edges: DataFrame, roots: DataFrame, sets: DataFrame, key: str, admits: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(_walk, src, dst) and (key, _walk): many walks in one pass, each from its root (key, v) downwards at its own set of places (key, lo, hi).
 
     As edges_down: child edges that overlap any interval of the walk's set are taken, and the only child edge of a recombination vertex in any case.
-    A level's rows are (key, vertex) for all walks; they meet edges by vertex, and the sets by key and dyadic cell, so neither a walk with many
-    intervals nor an edge of many walks is a group of its own. A walk without a non-empty interval has no first edge. Null keys walk nowhere.
+    A set matters by which of the edges' different stretches it overlaps, one bit each; different intervals are looked up once, and keys whose bits and roots
+    are the same are one walk, named by the least of them. A level's rows are (walk, vertex) for all walks; they meet edges by vertex, and what is overlapped by walk and
+    stretch. A walk without a non-empty interval has no first edge. Null keys walk nowhere.
     """
     ok = edges if admits is None else edges.where(admits)
-    places = simplify(sets, [key]).select(key, F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    ok, places = materialize(ok.select("src", "dst", "lo", "hi", "src_kind").where("lo < hi")), materialize(places)
-    cells = Cells(ok, places)
-    onward = materialize(cells.cut(ok, "lo", "hi", cells.homes[1], "_level", "_cell", "_home"))
-    asked = materialize(cells.cut(places, "lo2", "hi2", cells.homes[0], "_level", "_cell", "_home2"))
+    ok = materialize(ok.select("src", "dst", "lo", "hi", "src_kind").where("lo < hi"))
+    stretches = materialize(ranked(ok.select("lo", "hi").distinct(), ["lo", "hi"], "_no"))
+    places = materialize(sets.where(F.col(key).isNotNull() & (F.col("lo") < F.col("hi"))).select(F.col(key).alias("_key"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).distinct())
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), bits.place_in_chunk(F.col("_no")) - 1)
+    held = overlaps(stretches, places.select("lo2", "hi2").distinct(), []).groupBy("lo2", "hi2", bits.chunk_of(F.col("_no")).alias("chunk")).agg(F.bit_or(bit).alias("bits"))
+    told = places.join(held, ["lo2", "hi2"]).groupBy("_key", "chunk").agg(F.bit_or("bits").alias("bits")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("chunk", "bits"))).alias("_held"))
+    begin = roots.select(F.col(key).alias("_key"), "v").groupBy("_key").agg(F.sort_array(F.collect_set("v")).alias("_roots"))
+    told = materialize(told.join(begin, "_key"))
+    walks = materialize(told.groupBy("_held", "_roots").agg(F.min("_key").alias("_walk")))
+    members = told.join(walks, ["_held", "_roots"]).select(F.col("_key").alias(key), "_walk")
+    at = F.explode(bits.set_places(F.col("x.bits"))).alias("_at")
+    asked = materialize(walks.select("_walk", F.explode("_held").alias("x")).select("_walk", "x.chunk", at).select("_walk", ((F.col("chunk") - 1) * bits.CHUNK + F.col("_at") + 1).cast("long").alias("_no")))
+    onward = materialize(ok.join(stretches, ["lo", "hi"]).select("src", "dst", "_no"))
     passing = ok.where("src_kind = 'rec'").select("src", "dst")
-    meet = (F.col("lo") < F.col("hi2")) & (F.col("lo2") < F.col("hi")) & (F.col("e._level") == F.greatest("_home", "_home2"))
 
     def step(level: DataFrame, always: bool = True) -> DataFrame:
-        at = level.select(key, F.col("dst").alias("src"))
-        found = at.join(onward, "src").alias("e").join(asked.alias("s"), (F.col(f"e.{key}") == F.col(f"s.{key}")) & (F.col("e._level") == F.col("s._level")) & (F.col("e._cell") == F.col("s._cell")) & meet, "left_semi").select(key, "src", "dst")
-        return found.unionByName(at.join(passing, "src").select(key, "src", "dst")) if always else found
+        at = level.select("_walk", F.col("dst").alias("src"))
+        found = at.join(onward, "src").join(asked, ["_walk", "_no"], "left_semi").select("_walk", "src", "dst")
+        return found.unionByName(at.join(passing, "src").select("_walk", "src", "dst")) if always else found
+
+    first = step(walks.select("_walk", F.explode("_roots").alias("dst")), always=False)
+    return _levels(first, step), members
 
-    first = step(roots.select(F.col(key), F.col("v").alias("dst")), always=False)
-    return _levels(first, step)
+
+def edges_down_each(edges: DataFrame, roots: DataFrame, sets: DataFrame, key: str, admits: Column | None = None) -> DataFrame:
+    """(key, src, dst): the edges of walks_down for each key."""
+    walked, members = walks_down(edges, roots, sets, key, admits)
+    return members.join(walked, "_walk").select(key, "src", "dst")
 
 
 def with_kinds(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -73,13 +73,15 @@ ok AS (SELECT user_id, src, dst, len, false AS passing FROM (SELECT ak.*, sl - d
 td AS (SELECT user_id, src, dst, len FROM ok, n WHERE src = 2 * n - 1 AND NOT passing UNION SELECT ok.user_id, ok.src, ok.dst, ok.len FROM td JOIN ok ON ok.user_id = td.user_id AND ok.src = td.dst)
 SELECT user_id, count(*) AS n_edges, round(sum(len), 4) AS length FROM td GROUP BY user_id""")
 def edges_interval_each(spark, sf_dir):
-    """Edges at each user's own set of stretches, from the highest vertex downwards, and their length; all users in one pass."""
+    """Edges at each user's own set of stretches, from the highest vertex downwards, and their length; all users in one pass, those whose sets overlap
+    the same stretches of edges as one."""
     c, e = _walk(spark, sf_dir)
     sets = fx.place_sets(spark, sf_dir)
     roots = sets.select("user_id", F.lit(2 * c.n - 1).alias("v")).distinct()
     length = e.select("src", "dst", (F.col("src_lat") - F.col("dst_lat")).alias("len")).distinct()
-    walked = tr.edges_down_each(e, roots, sets, "user_id").join(length, ["src", "dst"])
-    return walked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("len"), 4).alias("length"))
+    walked, members = tr.walks_down(e, roots, sets, "user_id")
+    sums = walked.join(length, ["src", "dst"]).groupBy("_walk").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("len"), 4).alias("length"))
+    return members.join(sums, "_walk").select("user_id", "n_edges", "length")
 
 
 _REC = f"""st AS (SELECT v, derived FROM vs WHERE idx = {IDX}), ok AS (SELECT ak.* FROM ak LEFT JOIN st ON st.v = dst LEFT JOIN ev ON ev.rv = dst
