@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,9 +72,110 @@ def _either(base: DataFrame, name: str, touched: DataFrame, new: DataFrame) -> D
     return base.join(touched.select(F.col("v").alias(name)), name, "left_anti").select(*base.columns).unionByName(new.select(*base.columns))
 
 
+#: Rows on which the rounds that are left are done by one task.
+ALONE = 100_000
+_ARROW = pa.schema([("v", pa.int32()), ("what", pa.string()), ("src", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("a", pa.int32()), ("b", pa.int32()), ("chunk", pa.int32()), ("bits", pa.int64()), ("mask", pa.int64()), ("changed", pa.bool_()), ("round", pa.int32())])
 _STATE = "v int, what string, src int, lo double, hi double, a int, b int, chunk int, bits long, mask long, changed boolean, round int"
 
 
+def _above(vertices: DataFrame, front: DataFrame, edges: DataFrame, seqs: DataFrame, masks: DataFrame, wide) -> DataFrame | None:
+    """Rows that the rounds from a frontier upwards read, as those of a state: kinds (k) of the vertices that are as high as it or higher, edges (e) below them, states (s) of
+    both ends, masks (m) and the frontier (f). None if there are more than ALONE, or if an edge leads from one of the vertices to a lower one."""
+    low = vertices.join(front, "v", "left_semi").agg(F.min("latitude").alias("low"), F.count("latitude").alias("n")).first()
+    if low.n < front.count():
+        return None
+    high = vertices.where(F.col("latitude") >= low.low).select("v", "kind")
+    if high.limit(ALONE + 1).count() > ALONE:
+        return None
+    high = materialize(high, "high")
+    own = high.select("v")
+    below = materialize(edges.join(own.select(F.col("v").alias("src")), "src", "left_semi"), "below")
+    if not edges.join(own.select(F.col("v").alias("dst")), "dst", "left_semi").join(own.select(F.col("v").alias("src")), "src", "left_anti").isEmpty():
+        return None
+    ends = own.unionByName(below.select(F.col("dst").alias("v"))).distinct()
+    parts = [wide(high.where("kind <> 'leaf'").select("v", F.when(F.col("kind") == "rec", 1).otherwise(0).alias("src")), "k"), wide(below.withColumnRenamed("dst", "v"), "e"), wide(seqs.join(ends, "v", "left_semi"), "s"), wide(masks.join(own, "v", "left_semi"), "m"), wide(front, "f")]
+    rest = materialize(reduce(DataFrame.unionByName, parts), "rest")
+    return rest if rest.limit(ALONE + 1).count() <= ALONE else None
+
+
+def _joined(rows: list[tuple]) -> list[tuple]:
+    """islands() of one owner's (lo, hi, a, b)."""
+    out = []
+    for lo, hi, a, b in sorted(x for x in rows if x[0] < x[1]):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi), min(out[-1][2], a), max(out[-1][3], b))
+        else:
+            out.append((lo, hi, a, b))
+    return out
+
+
+def _rounds(first: int):
+    """A function for mapInArrow that does the rounds of propagate(), from number `first` on, on all rows of _above(), and gives the state of what it touched."""
+    whole = (1 << bits.CHUNK) - 1
+    signed = lambda x: x - (1 << bits.CHUNK) if x >> bits.CHUNK - 1 else x
+
+    def again(v, rec, edges, below, states, masks):
+        """Parental edges {src: [(lo, hi, a, b)]} and states {chunk: (bits, mask)} of a vertex, from its children."""
+        children = {c: edges[c, v] for c in below.get(v, ())}
+        carried = _joined([x for rows in children.values() for x in rows])
+        under = lambda src: [(max(lo, w), min(hi, h), max(a, x), min(b, y)) for lo, hi, a, b in carried for w, h, x, y in masks.get((v, src), ())]
+        up = {src: (_joined(under(src)) if rec else carried) or [(0.0, 0.0, 1, 1)] for src in edges.above.get(v, ())}
+        told = {}
+        for c, rows in children.items():
+            flat = {}
+            for _, _, a, b in rows:
+                for chunk in range((a - 1) // bits.CHUNK, (b - 2) // bits.CHUNK + 1) if a < b else ():
+                    lo, hi = max(a - 1 - chunk * bits.CHUNK, 0), min(b - 1 - chunk * bits.CHUNK, bits.CHUNK)
+                    flat[chunk] = flat.get(chunk, 0) | (1 << hi) - (1 << lo)
+            for chunk, m in flat.items():
+                if chunk in states.get(c, {}):
+                    s, own = states[c][chunk]
+                    x, y = told.get(chunk, (whole, 0))
+                    told[chunk] = x & (s | ~(m & own) & whole), y | m & own
+        return up, {chunk: (s & m, m) for chunk, (s, m) in told.items() if m}
+
+    class Edges(dict):
+        """(dst, src) -> [(lo, hi, a, b)]; above: dst -> [src]."""
+
+        def __init__(self):
+            super().__init__()
+            self.above = {}
+
+    def run(batches):
+        edges, below, states, masks, rec, front = Edges(), {}, {}, {}, {}, set()
+        for batch in batches:
+            for r in batch.to_pylist():
+                v, src, row = r["v"], r["src"], (r["lo"], r["hi"], r["a"], r["b"])
+                if r["what"] == "e":
+                    if (v, src) not in edges:
+                        edges.above.setdefault(v, []).append(src)
+                        below.setdefault(src, []).append(v)
+                    edges.setdefault((v, src), []).append(row)
+                elif r["what"] == "s":
+                    states.setdefault(v, {})[r["chunk"]] = r["bits"] & whole, r["mask"] & whole
+                elif r["what"] == "m":
+                    masks.setdefault((v, src), []).append(row)
+                elif r["what"] == "k":
+                    rec[v] = src == 1
+                else:
+                    front.add(v)
+        seen, k = {}, first
+        carries = lambda x: {src: {row[:2] for row in rows} for src, rows in x.items()}
+        while front:
+            new = {v: again(v, rec[v], edges, below, states, masks) for v in front}
+            changed = {v for v, (up, told) in new.items() if carries(up) != carries({s: edges[v, s] for s in up}) or told != states.get(v, {})}
+            for v, (up, told) in new.items():
+                edges.update({(v, src): rows for src, rows in up.items()})
+                states[v], seen[v] = told, (k, v in changed)
+            front, k = {p for v in changed for p in edges.above.get(v, ()) if p in rec}, k + 1
+        out = [{"v": v, "what": "t", "round": n, "changed": c} for v, (n, c) in seen.items()]
+        out += [{"v": v, "what": "e", "src": src} | dict(zip(_WIDE, row, strict=True)) for v in seen for src in edges.above.get(v, ()) for row in edges[v, src]]
+        out += [{"v": v, "what": "s", "chunk": c, "bits": signed(s), "mask": signed(m)} for v in seen for c, (s, m) in states[v].items()]
+        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+    return run
+
+
 def propagate(g: Graph, start: DataFrame, markers: DataFrame) -> tuple[Graph, DataFrame]:
     """The graph after its vertices `start` (v) have something new below them, and (v, round, changed) of all vertices looked at, as of the last time.
 
@@ -81,7 +183,8 @@ def propagate(g: Graph, start: DataFrame, markers: DataFrame) -> tuple[Graph, Da
     edge's mask; states are those that all children have. A round makes the vertices of a frontier again, from their children as they are then; those whose
     fingerprint (of states and parental intervals) has changed pass on to their parents, and the others end it there. A vertex with several changed
     ones below it may be looked at more than once; the result is the same whatever the order, as it depends on the children alone. A round is one
-    table with what was touched so far; all that is not above the start is left as it is.
+    table with what was touched so far; all that is not above the start is left as it is. Once all that stands as high as the frontier or higher is ALONE
+    rows at most, one task does the remaining rounds on them, however many there are: a chain of vertices above a root takes a round for each.
     """
     spark = g.edges.sparkSession
     edges, masks = _numbered(g, markers)
@@ -91,6 +194,7 @@ def propagate(g: Graph, start: DataFrame, markers: DataFrame) -> tuple[Graph, Da
     inner = lambda df: df.join(kinds.where("kind <> 'leaf'").select("v"), "v", "left_semi").distinct()
     front = materialize(inner(start.select(F.col("v").cast("int").alias("v"))), "front")
     state, k = spark.createDataFrame([], _STATE), 0
+    small = lambda df: df.limit(ALONE + 1).count() <= ALONE
     cols = state.columns
     wide = lambda df, what: df.select(*(F.lit(what).alias("what") if c == "what" else F.col(c) if c in df.columns else F.lit(None).cast(state.schema[c].dataType).alias(c) for c in cols))
     while not front.isEmpty():
@@ -98,6 +202,12 @@ def propagate(g: Graph, start: DataFrame, markers: DataFrame) -> tuple[Graph, Da
         touched = state.where("what = 't'").select("v")
         of_edges = state.where("what = 'e'").select("src", F.col("v").alias("dst"), *_WIDE)
         now_e, now_s = _either(edges, "dst", touched, of_edges), _either(seqs, "v", touched, state.where("what = 's'"))
+        rest = _above(g.vertices, front, now_e, now_s, masks, wide) if small(front) else None
+        if rest is not None:
+            done = materialize(rest.repartition(1).mapInArrow(_rounds(k), _STATE), "above")
+            kept = state.join(done.where("what = 't'").select("v"), "v", "left_anti").select(*cols)
+            state = materialize(kept.unionByName(done), "state")
+            break
         below = now_e.join(front.select(F.col("v").alias("src")), "src", "left_semi")
         carried = islands(below.select(F.col("src").alias("v"), *_WIDE), ["v"])
         above = parents.join(front.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", F.col("dst").alias("v")).join(kinds, "v")
